@@ -78,7 +78,7 @@ UNKNOWN = "unknown"
 FAMILIES = (UNKNOWN, *TEMPLATES)
 SHINGLE, LEAST_SIMILARITY = 5, 0.8
 #: Paragraphs of the corpus that training may see, and variants of each template.
-SAMPLE_DOCUMENTS, SAMPLE_PARAGRAPHS, VARIANTS = 400, 2000, 60
+SAMPLE_PARAGRAPHS, VARIANTS = 2000, 60
 #: Of held-out paragraphs without a licence, the share that may pass the least probability.
 FALSE_SHARE = 0.001
 SEED = 7
@@ -216,9 +216,9 @@ def train(paragraphs: list[str]) -> Scanner:
 
 
 def training_paragraphs(docs: DataFrame) -> list[str]:
-    """At most SAMPLE_PARAGRAPHS paragraphs of SAMPLE_DOCUMENTS documents, those with the least hash of their text."""
-    texts = docs.where(F.length("text") > 0).select(F.xxhash64("text").alias("h"), F.left("text", F.lit(20_000)).alias("text")).orderBy("h").limit(SAMPLE_DOCUMENTS).collect()
-    return [m[0] for r in texts for m in _paragraphs(r.text)][:SAMPLE_PARAGRAPHS]
+    """At most SAMPLE_PARAGRAPHS paragraphs, of all that the documents have those with the least hash."""
+    each = docs.select("doc_id", F.explode(F.split("text", r"[\n\r\x0B\x0C]+")).alias("p")).where(F.col("p").rlike(r"\w"))
+    return [r.p for r in each.select(F.xxhash64("doc_id", "p").alias("h"), "p").orderBy("h", "p").limit(SAMPLE_PARAGRAPHS).collect()]
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
