@@ -732,7 +732,7 @@ def _acat_rows(f: Fixture) -> DataFrame:
 
 @query(f"""{SUMSTAT}, {GENES}, mem AS (SELECT name AS gene, sid FROM genes JOIN (SELECT sid, chr AS c, bp FROM snp) ON c = chr AND bp BETWEEN lo AND hi),
 w AS (SELECT gene, greatest(p, 1e-300) AS p, pow(25 * pow(1 - least(freq, 1 - freq), 24) * pi() * sqrt(least(freq, 1 - freq) * (1 - least(freq, 1 - freq))), 2) AS w FROM ma JOIN mem ON mem.sid = ma.sid WHERE trait = 'y' AND least(freq, 1 - freq) <= 0.2 AND floor(2 * n * 100 * least(freq, 1 - freq)) >= 20),
-t AS (SELECT gene, count(*) AS n_snps, sum(w * CASE WHEN p < 1e-15 THEN 1 / (p * pi()) ELSE tan((0.5 - p) * pi()) END) / sum(w) AS t FROM w GROUP BY gene) SELECT gene, n_snps, {R('0.5 - atan(t) / pi()', 'p')} FROM t""")
+acat AS (SELECT gene, count(*) AS n_snps, sum(w * CASE WHEN p < 1e-15 THEN 1 / (p * pi()) ELSE tan((0.5 - p) * pi()) END) / sum(w) AS t FROM w GROUP BY gene) SELECT gene, n_snps, {R('0.5 - atan(t) / pi()', 'p')} FROM acat""")
 def m9_acat_v(f: Fixture) -> DataFrame:
     return rounded(ss.acat_v(_acat_rows(f), ss.members(f.snp, f.genes, 0), most_maf=0.2), "p")
 
