@@ -196,27 +196,40 @@ def bivariate_reml(y1: np.ndarray, y2: np.ndarray, matrix: np.ndarray, rounds: i
     a = [np.kron(u, matrix) for u in unit] + [np.kron(u, np.eye(n)) for u in unit]
     v1, v2 = np.var(y1, ddof=1), np.var(y2, ddof=1)
     theta = np.array([v1 / 2, v2 / 2, 0, v1 / 2, v2 / 2, 0.3 * np.cov(y1, y2)[0, 1]])
-    last = -np.inf
-    for _ in range(rounds):
-        v = sum(t * m for t, m in zip(theta, a))
+
+    def bent(t: np.ndarray) -> np.ndarray:
+        """Variances above zero, and correlations within one."""
+        t = t.copy()
+        for i, j, c in ((0, 1, 2), (3, 4, 5)):
+            t[i], t[j] = max(t[i], 1e-6 * v1), max(t[j], 1e-6 * v2)
+            most = 0.999 * np.sqrt(t[i] * t[j])
+            t[c] = np.clip(t[c], -most, most)
+        return t
+
+    def at(t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        v = sum(k * m for k, m in zip(t, a))
         inverse = np.linalg.inv(v)
         vx = inverse @ x
         xvx = x.T @ vx
         p = inverse - vx @ np.linalg.solve(xvx, vx.T)
         py = p @ y
-        logl = -0.5 * (np.linalg.slogdet(v)[1] + np.linalg.slogdet(xvx)[1] + y @ py)
         apy = [m @ py for m in a]
+        logl = -0.5 * (np.linalg.slogdet(v)[1] + np.linalg.slogdet(xvx)[1] + y @ py)
         score = 0.5 * np.array([py @ u - (p * m).sum() for u, m in zip(apy, a)])
-        info = 0.5 * np.array([[u @ (p @ w) for w in apy] for u in apy])
-        if abs(logl - last) < 1e-6:
-            break
+        return logl, score, 0.5 * np.array([[u @ (p @ w) for w in apy] for u in apy])
+
+    theta = bent(theta)
+    logl, score, info = at(theta)
+    for _ in range(rounds):
         d = np.linalg.lstsq(info, score, rcond=None)[0]
-        theta = theta + (0.316 * d if abs(logl - last) > 1 else d)
-        for i, j, c, vv in ((0, 1, 2, 0.5), (3, 4, 5, 0.5)):
-            theta[i], theta[j] = max(theta[i], 1e-6 * v1), max(theta[j], 1e-6 * v2)
-            most = 0.999 * np.sqrt(theta[i] * theta[j])
-            theta[c] = np.clip(theta[c], -most, most)
-        last = logl
+        for step in 0.5 ** np.arange(12):  # the longest step that raises the likelihood
+            new = bent(theta + step * d)
+            found = at(new)
+            if found[0] > logl:
+                break
+        if found[0] - logl < 1e-6:
+            break
+        theta, (logl, score, info) = new, found
     cov = np.linalg.pinv(info)
     rg = theta[2] / np.sqrt(theta[0] * theta[1])
     grad = np.array([-rg / (2 * theta[0]), -rg / (2 * theta[1]), 1 / np.sqrt(theta[0] * theta[1]), 0, 0, 0])
