@@ -228,3 +228,31 @@ def burden(g: DataFrame, members: DataFrame, most_maf: float = 1.0) -> DataFrame
     minor = F.when(F.col("af") > 0.5, 2 - x).otherwise(x)
     j = g.join(f, "sid").join(members.select("gene", "sid"), "sid")
     return j.groupBy("gene", "iid").agg(F.sum(25 * F.pow(1 - F.col("maf"), 24) * minor).alias("score"))
+
+
+def mixed_interaction_scan(g: DataFrame, y: DataFrame, env: DataFrame, vg: float, ve: float, matrix: np.ndarray, ids: np.ndarray, robust: bool = True) -> DataFrame:
+    """The interaction scan of a phenotype with its polygenic part taken off: y becomes Ve V^-1 (y - mean)."""
+    rows = y.orderBy("iid").toPandas().set_index("iid").reindex(ids)["y"].to_numpy(float)
+    res = ve * np.linalg.solve(vg * matrix + ve * np.eye(len(ids)), rows - rows.mean())
+    left = g.sparkSession.createDataFrame([(int(i), float(v)) for i, v in zip(ids, res)], "iid long, y double")
+    return interaction_scan(g, left, env, robust)
+
+
+def joint_covariate_scan(g: DataFrame, y: DataFrame, x: np.ndarray, inverse: np.ndarray, ids: np.ndarray) -> DataFrame:
+    """The exact mixed scan with covariates x (rows by ids) fitted beside each marker."""
+    yv = y.orderBy("iid").toPandas().set_index("iid").reindex(ids)["y"].to_numpy(float)
+    vx = inverse @ x
+    p = inverse - vx @ np.linalg.solve(x.T @ vx, vx.T)
+    known = g.sparkSession.sparkContext.broadcast((p, p @ yv))
+
+    def fit(sids: np.ndarray, m: np.ndarray) -> pd.DataFrame:
+        p, py = known.value
+        m = np.nan_to_num(m - np.nanmean(m, axis=1, keepdims=True))
+        xx = ((m @ p) * m).sum(1)
+        b = np.divide(m @ py, xx, out=np.full(len(m), np.nan), where=xx > 1e-12)
+        chi = b * b * xx
+        return pd.DataFrame({"sid": sids, "b": b, "se": 1 / np.sqrt(np.maximum(xx, 1e-300)), "chi2": chi, "p": [chi2_tail(v) for v in chi]})
+
+    kept = g.join(F.broadcast(g.sparkSession.createDataFrame([(int(i),) for i in ids], "iid long")), "iid")
+    snp = kept.select("sid").distinct().select("sid", F.lit(0).alias("chr"), F.lit(0).alias("bp"))
+    return scan(packed(kept, snp), fit, "sid long, b double, se double, chi2 double, p double")

@@ -386,3 +386,39 @@ def probe_blup(b: np.ndarray, r: np.ndarray, n: float, lam: float) -> np.ndarray
     a = np.array(r, float)
     np.fill_diagonal(a, 1 + m * (1 / lam - 1) / n)
     return np.linalg.solve(a, b)
+
+
+def top_of_middle(s: DataFrame, bins: int = 5) -> DataFrame:
+    """The marker of the greatest chi2 among those whose ratio by / bx lies in the middle of so many quantile bins; s has
+    sid, bx, by and chi2."""
+    ratio = F.col("by") / F.col("bx")
+    low, high = (bins // 2) / bins, (bins // 2 + 1) / bins
+    q = F.broadcast(s.agg(F.percentile(ratio, F.lit(low)).alias("lo"), F.percentile(ratio, F.lit(high)).alias("hi")))
+    j = s.join(q).where((ratio >= F.col("lo")) & (ratio <= F.col("hi")))
+    return j.agg(F.max(F.struct("chi2", (-F.col("sid")).alias("minus"))).alias("t")).select((-F.col("t.minus")).alias("sid"), F.col("t.chi2").alias("chi2"))
+
+
+def pc_adjust(s: DataFrame, pcs: DataFrame, values: dict[int, float], pairs: DataFrame) -> DataFrame:
+    """Effects without what principal components carry: (sid, b, bc). s: sid, b, freq, n; pcs: (sid, k, b), effects of
+    markers on each component; values: eigenvalues.
+
+    A component's effect on the trait is n times the sum over markers of products of standardised effects, over number and
+    eigenvalue; what it carries to a marker is averaged over the markers of the LD window, weighted by r."""
+    h = 2 * F.col("freq") * (1 - F.col("freq"))
+    lam = F.broadcast(s.sparkSession.createDataFrame([(k, float(v)) for k, v in values.items()], "k int, lam double"))
+    t = s.select("sid", "b", "n", F.sqrt(h).alias("sd"))
+    j = pcs.select("sid", "k", F.col("b").alias("bk")).join(t, "sid")
+    bxy = j.groupBy("k").agg((F.avg("n") * F.sum(F.col("sd") * F.col("bk") * F.col("sd") * F.col("b")) / F.count("*")).alias("t")).join(lam, "k").select("k", (F.col("t") / F.col("lam")).alias("bxy"))
+    carried = j.join(F.broadcast(bxy), "k").groupBy("sid", "sd").agg(F.sum(F.col("bxy") * F.col("bk") * F.col("sd")).alias("delta"))
+    both = pairs.unionByName(pairs.select(F.col("sid2").alias("sid1"), F.col("sid1").alias("sid2"), "r")).unionByName(carried.select(F.col("sid").alias("sid1"), F.col("sid").alias("sid2"), F.lit(1.0).alias("r")))
+    near = both.join(carried.select(F.col("sid").alias("sid2"), "delta"), "sid2").groupBy(F.col("sid1").alias("sid")).agg((F.sum(F.col("r") * F.col("delta")) / F.count("*")).alias("w"))
+    return t.join(near, "sid").select("sid", "b", (F.col("b") - F.col("w") / F.col("sd")).alias("bc"))
+
+
+def probe_stepwise(b: np.ndarray, se: np.ndarray, r: np.ndarray, n: np.ndarray, vp: float = 1.0, most_p: float = 5e-6, most: float = 0.9) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Stepwise choice among probes by their correlations: their numbers, joint effects and errors."""
+    m = len(b)
+    g = Region(np.arange(m), np.asarray(b, float), np.asarray(se, float), np.asarray(n, float), np.ones(m), np.ones(m), np.asarray(r, float), vp)
+    chosen = g.stepwise(most_p, most)
+    joint = g.joint(chosen) if chosen else (np.zeros(0), np.zeros(0))
+    return chosen, *joint

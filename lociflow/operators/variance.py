@@ -296,3 +296,124 @@ def he_regression(y: DataFrame, *matrices: DataFrame) -> DataFrame:
         jack = np.sqrt(((left - left.mean(axis=0)) ** 2).sum(axis=0) * (n - 1) / n)
         out += [(response, i, float(b[i]) * (scale if i else 1.0), float(se[i]) * (abs(scale) if i else 1.0), float(jack[i]) * (abs(scale) if i else 1.0)) for i in range(k)]
     return y.sparkSession.createDataFrame(out, "response string, term int, estimate double, se_ols double, se_jackknife double")
+
+
+def pair_table(y: DataFrame, a: DataFrame, traits: tuple[str, ...] = ("y",)) -> DataFrame:
+    """Off-diagonal pairs (i, j, value) with each trait standardised: z_TRAIT_i and z_TRAIT_j."""
+    m = F.broadcast(y.agg(*[f(t).alias(f"{k}_{t}") for t in traits for k, f in (("m", F.avg), ("s", F.stddev_samp))]))
+    z = y.join(m).select("iid", *[((F.col(t) - F.col(f"m_{t}")) / F.col(f"s_{t}")).alias(t) for t in traits])
+    side = lambda k: z.select(F.col("iid").alias(k), *[F.col(t).alias(f"z_{t}_{k}") for t in traits])
+    return a.where("i <> j").select("i", "j", "value").join(side("i"), "i").join(side("j"), "j")
+
+
+def he_bivariate(y: DataFrame, a: DataFrame, one: str, two: str) -> DataFrame:
+    """(response, intercept, slope): cross products of each trait with itself and of both, in either order, on the
+    matrix, and the genetic correlation that the slopes give."""
+    p = pair_table(y, a, (one, two))
+    z = lambda t, k: F.col(f"z_{t}_{k}")
+    rows = {"one": z(one, "i") * z(one, "j"), "two": z(two, "i") * z(two, "j")}
+    both = p.select("value", (z(one, "i") * z(two, "j")).alias("c")).unionByName(p.select("value", (z(two, "i") * z(one, "j")).alias("c")))
+    fits = None
+    for name, d in [*((k, p.select("value", c.alias("c"))) for k, c in rows.items()), ("both", both)]:
+        f = d.agg(F.lit(name).alias("response"), F.regr_intercept("c", "value").alias("intercept"), F.regr_slope("c", "value").alias("slope"))
+        fits = f if fits is None else fits.unionByName(f)
+    return fits
+
+
+def he_sparse(y: DataFrame, a: DataFrame, cutoff: float) -> DataFrame:
+    """Regression of cross products on the relationships of at least the cutoff: vg, its error, and pairs."""
+    p = pair_table(y, a).where(F.col("value") >= cutoff).select("value", (F.col("z_y_i") * F.col("z_y_j")).alias("c"))
+    s = p.agg(F.count("*").alias("pairs"), F.regr_slope("c", "value").alias("vg"), F.regr_syy("c", "value").alias("syy"), F.regr_sxx("c", "value").alias("sxx"))
+    return s.select("pairs", "vg", F.sqrt((F.col("syy") - F.col("vg") * F.col("vg") * F.col("sxx")) / ((F.col("pairs") - 2) * F.col("sxx"))).alias("se"))
+
+
+@dataclass
+class BinaryMixed:
+    """A binary trait's mixed null model: variance of the random effect, fitted means, fixed effects and covariance P."""
+
+    tau: float
+    mu: np.ndarray
+    alpha: np.ndarray
+    p: np.ndarray
+
+
+def fit_binary_mixed(y: np.ndarray, x: np.ndarray, matrix: np.ndarray, rounds: int = 20, grid: int = 51, refine: int = 6) -> BinaryMixed:
+    """Penalised quasi-likelihood: each round linearises the logistic model about the current effects and finds the random
+    effect's variance by a refined grid of the restricted likelihood, until it moves by less than 5e-5 of itself."""
+    beta = np.zeros(x.shape[1])
+    for _ in range(50):
+        mu = 1 / (1 + np.exp(-x @ beta))
+        w = np.maximum(mu * (1 - mu), 1e-10)
+        step = np.linalg.solve((x * w[:, None]).T @ x, x.T @ (y - mu))
+        beta = beta + step
+        if np.abs(step).max() < 1e-9:
+            break
+    eta, tau, zeros = x @ beta, 1.0, 0
+
+    def solve(t: float, w: np.ndarray, z: np.ndarray):
+        v = t * matrix + np.diag(1 / w)
+        inverse = np.linalg.inv(v)
+        vx = inverse @ x
+        xvx = x.T @ vx
+        p = inverse - vx @ np.linalg.solve(xvx, vx.T)
+        logl = -0.5 * (np.linalg.slogdet(v)[1] + np.linalg.slogdet(xvx)[1] + z @ p @ z)
+        return logl, p, np.linalg.solve(xvx, vx.T @ z), inverse
+
+    for _ in range(rounds):
+        mu = 1 / (1 + np.exp(-eta))
+        w = np.maximum(mu * (1 - mu), 1e-10)
+        z = eta + (y - mu) / w
+        points = np.linspace(0, 4 * max(tau, 0.25), grid)
+        for _ in range(refine):
+            k = int(np.argmax([solve(t, w, z)[0] for t in points]))
+            points = np.linspace(points[max(k - 1, 0)], points[min(k + 1, len(points) - 1)], 9)
+        new = float(points[len(points) // 2])
+        _, p, beta, inverse = solve(new, w, z)
+        eta = x @ beta + new * matrix @ (inverse @ (z - x @ beta))
+        zeros = zeros + 1 if new < 1e-6 else 0
+        settled = abs(new - tau) < 5e-5 * max(new, 1e-6) or zeros >= 5
+        tau = new
+        if settled:
+            break
+    mu = 1 / (1 + np.exp(-eta))
+    return BinaryMixed(tau, mu, beta, solve(tau, np.maximum(mu * (1 - mu), 1e-10), z)[1])
+
+
+def fixed_correlation_test(y1: np.ndarray, y2: np.ndarray, matrix: np.ndarray, rg: float = 0.0) -> tuple[float, float]:
+    """Likelihood ratio (1 df) of the genetic correlation against a fixed value: the fit without the bound against the best
+    fit whose covariance is rg times the root of both variances, found by coordinate steps."""
+    n = len(y1)
+    y, x = np.concatenate([y1, y2]), np.kron(np.eye(2), np.ones((n, 1)))
+    w, u = np.linalg.eigh(matrix)
+    ur = np.kron(np.eye(2), u.T)
+    yr, xr = ur @ y, ur @ x
+
+    def logl(t: np.ndarray) -> float:
+        """In the matrix' eigenbasis V is 2 x 2 blocks."""
+        a, d = w * t[0] + t[3], w * t[1] + t[4]
+        c = w * t[2] + t[5]
+        det = a * d - c * c
+        if (det <= 0).any() or (a <= 0).any():
+            return -np.inf
+        inv = lambda v: np.concatenate([(d[:, None] * v[:n] - c[:, None] * v[n:]) / det[:, None], (a[:, None] * v[n:] - c[:, None] * v[:n]) / det[:, None]])
+        vx, vy = inv(xr), inv(yr[:, None])
+        xvx = xr.T @ vx
+        b = np.linalg.solve(xvx, xr.T @ vy)
+        return float(-0.5 * (np.log(det).sum() + np.linalg.slogdet(xvx)[1] + (yr @ vy)[0] - (b.T @ xr.T @ vy)[0, 0]))
+
+    theta, _, _ = bivariate_reml(y1, y2, matrix)
+    free = logl(theta)
+    t, width = theta.copy(), 0.5
+    fix = lambda v: np.concatenate([v[:2], [rg * np.sqrt(v[0] * v[1])], v[3:]])
+    best = logl(fix(t))
+    while width > 1e-4:
+        moved = False
+        for k in (0, 1, 3, 4, 5):
+            for s in (1 + width, 1 / (1 + width)):
+                new = t.copy()
+                new[k] *= s
+                if (v := logl(fix(new))) > best + 1e-9:
+                    t, best, moved = new, v, True
+        width = width if moved else width / 2
+    lrt = max(2 * (free - best), 0.0)
+    return lrt, chi2_tail(lrt)

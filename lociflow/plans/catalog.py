@@ -717,6 +717,83 @@ def a28_he_regression(f: Fixture) -> DataFrame:
     return rounded(var.he_regression(f.pheno, rel.grm(f.g)), "estimate", "se_ols", "se_jackknife")
 
 
+@query(f"{GRM}, zy AS (SELECT ind.iid, (y - avg(y) OVER ()) / stddev_samp(y) OVER () AS a, (bal - avg(bal) OVER ()) / stddev_samp(bal) OVER () AS b FROM ind JOIN pheno ON pheno.iid = ind.iid), pr AS (SELECT value, x.a AS ai, x.b AS bi, y.a AS aj, y.b AS bj FROM grm JOIN zy x ON x.iid = i JOIN zy y ON y.iid = j WHERE i <> j), c AS (SELECT 'one' AS response, value, ai * aj AS c FROM pr UNION ALL SELECT 'two', value, bi * bj FROM pr UNION ALL SELECT 'both', value, ai * bj FROM pr UNION ALL SELECT 'both', value, bi * aj FROM pr) SELECT response, {R('regr_intercept(c, value)', 'intercept')}, {R('regr_slope(c, value)', 'slope')} FROM c GROUP BY response")
+def a29_he_bivariate(f: Fixture) -> DataFrame:
+    y = f.pheno.join(f.ind.select("iid", "bal"), "iid")
+    return rounded(var.he_bivariate(y, rel.grm(f.g), "y", "bal"), "intercept", "slope")
+
+
+@query(f"{GRM}, zy AS (SELECT iid, (y - avg(y) OVER ()) / stddev_samp(y) OVER () AS a FROM pheno), c AS (SELECT value, x.a * y.a AS c FROM grm JOIN zy x ON x.iid = i JOIN zy y ON y.iid = j WHERE i <> j AND value >= 0.02) SELECT count(*) AS pairs, {R('regr_slope(c, value)', 'vg')}, {R('sqrt((regr_syy(c, value) - regr_slope(c, value) * regr_slope(c, value) * regr_sxx(c, value)) / ((count(*) - 2) * regr_sxx(c, value)))', 'se')} FROM c")
+def a30_he_sparse(f: Fixture) -> DataFrame:
+    return rounded(var.he_sparse(f.pheno, rel.grm(f.g), 0.02), "vg", "se")
+
+
+@query()
+def g10_mixed_interaction_scan(f: Fixture) -> DataFrame:
+    ids, a, y, x = _null(f)
+    m = var.reml(y, x, [a])
+    d = assoc.mixed_interaction_scan(f.g, f.pheno, f.env, m.theta[0], m.theta[1], a, ids)
+    return rounded(d, *d.columns[1:])
+
+
+@query()
+def g12_binary_mixed_model(f: Fixture) -> DataFrame:
+    ids, a, _, x = _null(f)
+    y = _binary(f).orderBy("iid").toPandas().set_index("iid").reindex(ids)["y"].to_numpy()
+    m = var.fit_binary_mixed(y, x, a)
+    return rounded(f.ind.sparkSession.createDataFrame([(int(i), float(v), m.tau) for i, v in zip(ids, m.mu)], "iid long, mu double, tau double"), "mu", "tau")
+
+
+@query()
+def g17_mixed_scan_with_covariates(f: Fixture) -> DataFrame:
+    import numpy as np
+
+    ids, a, y, one = _null(f)
+    bal = f.ind.orderBy("iid").toPandas().set_index("iid").reindex(ids)["bal"].to_numpy()
+    x = np.column_stack([one, bal / 1000])
+    d = assoc.joint_covariate_scan(f.g, f.pheno, x, var.reml(y, x, [a]).inverse, ids)
+    return rounded(d, *d.columns[1:])
+
+
+@query()
+def v15_fixed_correlation(f: Fixture) -> DataFrame:
+    ids, a, y, _ = _null(f)
+    bal = f.ind.orderBy("iid").toPandas().set_index("iid").reindex(ids)["bal"].to_numpy() / 1000
+    lrt, p = var.fixed_correlation_test(y, bal, a)
+    return rounded(f.ind.sparkSession.createDataFrame([(lrt, p)], "lrt double, p double"), "lrt", "p")
+
+
+@query(f"{DOSE} SELECT iid, sid, CAST(CASE WHEN p2 >= 0.9 THEN 2 WHEN p1 >= 0.9 THEN 1 WHEN 1 - p1 - p2 >= 0.9 THEN 0 END AS INT) AS gt FROM d")
+def sk2_probability_calls(f: Fixture) -> DataFrame:
+    d = _dosages(f)
+    return d.select("iid", "sid", mk.probability_call(1 - F.col("p1") - F.col("p2"), F.col("p1"), F.col("p2")).alias("gt"))
+
+
+@query(f"{SUMSTAT}, q AS (SELECT x.sid, x.b AS bx, y.b AS byy, x.chi2 FROM ma x JOIN ma y ON x.sid = y.sid AND x.trait = 'y' AND y.trait = 'bal' WHERE x.b <> 0), k AS (SELECT quantile_cont(byy / bx, 0.4) AS lo, quantile_cont(byy / bx, 0.6) AS hi FROM q) SELECT arg_max(sid, (chi2, -sid)) AS sid, {R('max(chi2)', 'chi2')} FROM q CROSS JOIN k WHERE byy / bx BETWEEN lo AND hi")
+def t5_top_of_middle(f: Fixture) -> DataFrame:
+    s = _sumstat(f)
+    j = s.where("trait = 'y' and b <> 0").select("sid", F.col("b").alias("bx"), "chi2").join(s.where("trait = 'bal'").select("sid", F.col("b").alias("by")), "sid")
+    return rounded(ss.top_of_middle(j), "chi2")
+
+
+@query()
+def w13_inverse_normal(f: Fixture) -> DataFrame:
+    return rounded(stats.inverse_normal(f.pheno, "y"), "y", "z")
+
+
+@query()
+def w14_m17_pc_adjust(f: Fixture) -> DataFrame:
+    ids, a = rel.dense(rel.grm(f.g))
+    w, u = var.pca(ids, a, 2)
+    pcs = None
+    for k in range(2):
+        y = f.ind.sparkSession.createDataFrame([(int(i), float(u[r, k])) for r, i in enumerate(ids)], "iid long, y double")
+        d = assoc.linear_scan(f.g, y).select("sid", F.lit(k + 1).alias("k"), "b")
+        pcs = d if pcs is None else pcs.unionByName(d)
+    s = _sumstat(f, "y").select("sid", "b", "freq", "n")
+    return rounded(ss.pc_adjust(s, pcs, {1: w[0], 2: w[1]}, ld.window_pairs(f.g, f.snp, 200_000, "cosine")), "b", "bc")
+
+
 # summary statistics
 
 
@@ -875,6 +952,28 @@ QUERIES["m19_probe_correlations"] = m19_probe_correlations
 ORACLES["m19_probe_correlations"] = f"WITH {ERM.split(', m AS')[0]} SELECT CAST(a.probe AS INT) AS probe1, CAST(b.probe AS INT) AS probe2, {R('corr(a.val, b.val)', 'r')} FROM p a JOIN p b ON a.iid = b.iid AND a.probe < b.probe GROUP BY 1, 2"
 
 
+def m18_m20_probe_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stepwise choice and BLUP of the components of `embeddings` for the label as a trait."""
+    import numpy as np
+
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    p = e.select(F.col("vec_id").alias("iid"), F.col("label").cast("double").alias("y"), F.posexplode("embedding").alias("probe", "val"))
+    b = stats.regression(p.withColumn("val", F.col("val").cast("double")), "val", "y", "probe").orderBy("probe").toPandas()  # a row for each probe
+    r = np.eye(len(b))
+    for x in m19_probe_correlations(spark, sf_dir).collect():
+        r[x.probe1, x.probe2] = r[x.probe2, x.probe1] = x.r
+    z, n = b["t"].to_numpy(), b["n"].to_numpy(float)
+    be, se = z / np.sqrt(z * z + n), 1 / np.sqrt(z * z + n)
+    chosen, joint, errors = ss.probe_stepwise(be, se, r, n, most_p=0.05)
+    blup = ss.probe_blup(be, r, float(n.mean()), 0.5)
+    at = dict(zip(chosen, zip(joint, errors)))
+    rows = [(k, float(be[k]), float(se[k]), float(blup[k]), *(map(float, at[k]) if k in at else (None, None))) for k in range(len(b))]
+    return rounded(spark.createDataFrame(rows, "probe int, b double, se double, b_blup double, bj double, bj_se double"), "b", "se", "b_blup", "bj", "bj_se")
+
+
+QUERIES["m18_m20_probe_choice"] = m18_m20_probe_choice
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequency and call-rate filters, the linear scan, and the strongest marker of each gene."""
     f = fixture(spark, sf_dir)
