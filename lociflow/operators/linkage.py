@@ -49,13 +49,15 @@ def window_pairs(g: DataFrame, snp: DataFrame, window: int = 1_000_000, scaling:
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bp", "sid"])
         z = standard_columns(np.stack(list(pdf["x"])).T, scaling)
+        varies = (z != 0).any(axis=0)  # a constant marker has no correlation
+        pdf, z = pdf[varies], z[:, varies]
         bp, sid, lead = pdf["bp"].to_numpy(), pdf["sid"].to_numpy(), pdf["lead"].to_numpy()
         out = []
         for s in range(0, len(pdf), 512):
             r = z[:, s : s + 512].T @ z
             i, j = np.nonzero((np.arange(len(pdf))[None, :] > np.arange(s, min(s + 512, len(pdf)))[:, None]) & (bp[None, :] - bp[s : s + 512, None] <= window) & lead[s : s + 512, None] & (r * r >= least_r2))
             out.append(pd.DataFrame({"sid1": sid[i + s], "sid2": sid[j], "r": r[i, j]}))
-        return pd.concat(out)
+        return pd.concat(out) if out else pd.DataFrame({"sid1": [], "sid2": [], "r": []})
 
     return stretches(packed(g, snp), window).groupBy("chr", "bin").applyInPandas(pairs, "sid1 long, sid2 long, r double")
 
@@ -99,7 +101,8 @@ def block_pairs(g: DataFrame, snp: DataFrame, placed: DataFrame, scaling: str =
         pdf = pdf.sort_values("sid")
         z = standard_columns(np.stack(list(pdf["x"])).T, scaling)
         r, sid = z.T @ z, pdf["sid"].to_numpy()
-        keep = ~np.eye(len(sid), dtype=bool)
+        varies = (z != 0).any(axis=0)
+        keep = ~np.eye(len(sid), dtype=bool) & varies[:, None] & varies[None, :]
         if pdf["kind"].iat[0] == 1:  # pairs of one first block are there already
             b = pdf["own"].to_numpy()
             keep &= b[:, None] != b[None, :]

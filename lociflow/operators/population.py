@@ -36,7 +36,7 @@ def inbreeding(g: DataFrame) -> DataFrame:
 
 def fst(g: DataFrame, ind: DataFrame, population: str = "pop") -> DataFrame:
     """Fixation index of each marker from variance components over populations, whose sizes count all individuals;
-    missing calls take the marker's mean."""
+    missing calls take the marker's mean. A marker that doesn't vary has a null index."""
     sizes = ind.groupBy(population).agg(F.count("*").cast("double").alias("size"))
     n = sizes.agg(F.count("*").alias("r"), F.avg("size").alias("nbar"), F.sum(F.col("size") * F.col("size")).alias("sq"))
     n = F.broadcast(n.withColumn("nc", (F.col("nbar") * F.col("r") - F.col("sq") / (F.col("nbar") * F.col("r"))) / (F.col("r") - 1)))
@@ -49,7 +49,7 @@ def fst(g: DataFrame, ind: DataFrame, population: str = "pop") -> DataFrame:
     nb = F.col("nbar")
     a = nb / F.col("nc") * (F.col("s") - (F.col("d") - F.col("h") / 4) / (nb - 1))
     b = nb / (nb - 1) * (F.col("d") - (2 * nb - 1) * F.col("h") / (4 * nb))
-    return m.select("sid", "pbar", (a / (a + b + F.col("h") / 2)).alias("fst"))
+    return m.select("sid", "pbar", F.try_divide(a, a + b + F.col("h") / 2).alias("fst"))
 
 
 def ancestral(g: DataFrame, snp: DataFrame) -> DataFrame:

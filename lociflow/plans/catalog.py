@@ -449,7 +449,7 @@ fx AS (SELECT iid, sid, coalesce(gt, avg(gt) OVER (PARTITION BY sid)) AS x FROM
 m AS (SELECT sid, sum(p * size) / sum(size) AS pb, sum(size * p * p) AS s2, sum(2 * p * (1 - p) * size) / sum(size) AS h FROM sub JOIN sz ON sz.pop = sub.pop GROUP BY sid),
 q AS (SELECT sid, pb, h, r, nb, nc, (s2 - nb * r * pb * pb) / ((r - 1) * nb) AS s FROM m CROSS JOIN k), e AS (SELECT *, pb * (1 - pb) - (r - 1) * s / r AS d FROM q),
 abc AS (SELECT sid, pb, nb / nc * (s - (d - h / 4) / (nb - 1)) AS a, nb / (nb - 1) * (d - (2 * nb - 1) * h / (4 * nb)) AS b, h / 2 AS c FROM e)
-SELECT sid, {R('pb', 'pbar')}, {R('a / (a + b + c)', 'fst')} FROM abc""")
+SELECT sid, {R('pb', 'pbar')}, {R('a / nullif(a + b + c, 0)', 'fst')} FROM abc""")
 def a21_fst(f: Fixture) -> DataFrame:
     return rounded(popn.fst(f.g, f.ind), "pbar", "fst")
 
@@ -530,7 +530,7 @@ def w5_ld_scores_by_set(f: Fixture) -> DataFrame:
     return rounded(d, "mean_rsq", "ldscore")
 
 
-@query(f"{BLOCK_R}, sc AS (SELECT sid1 AS sid, 1 + sum(CASE WHEN r * r >= 0.01 THEN r * r ELSE 0 END) AS s FROM bp_ GROUP BY sid1) SELECT sid, {R('s', 'ldscore')}, {R('(x + y) / 2', 'ldscore_region')} FROM (SELECT sc.sid, s, avg(s) OVER (PARTITION BY chr, bp // 100000) AS x, avg(s) OVER (PARTITION BY chr, (bp + 50000) // 100000) AS y FROM sc JOIN snp ON snp.sid = sc.sid)")
+@query(f"{BLOCK_R}, sc AS (SELECT snp.sid, 1 + coalesce(sum(CASE WHEN r * r >= 0.01 THEN r * r ELSE 0 END), 0) AS s FROM snp LEFT JOIN bp_ ON sid1 = snp.sid GROUP BY snp.sid) SELECT sid, {R('s', 'ldscore')}, {R('(x + y) / 2', 'ldscore_region')} FROM (SELECT sc.sid, s, avg(s) OVER (PARTITION BY chr, bp // 100000) AS x, avg(s) OVER (PARTITION BY chr, (bp + 50000) // 100000) AS y FROM sc JOIN snp ON snp.sid = sc.sid)")
 def w6_regional_scores(f: Fixture) -> DataFrame:
     s = ld.ld_scores(ld.block_pairs(f.g, f.snp, ld.blocks(f.snp)), f.snp, 0.01)
     return rounded(ld.regional_scores(s, f.snp), "ldscore", "ldscore_region")
