@@ -72,7 +72,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-SA": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-ND": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
-    "Proprietary": ("All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited.", "This software is proprietary and confidential."),
+    "Proprietary": ("All rights reserved.", "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited.", "This software is proprietary and confidential."),
 }
 UNKNOWN = "unknown"
 FAMILIES = (UNKNOWN, *TEMPLATES)
