@@ -1,18 +1,25 @@
-"""Licence scans: a trained paragraph classifier, whose finds a comparison with templates confirms.
+"""Licence scans: a trained classifier of passages, whose finds a comparison with templates confirms.
 
-Paragraphs (lines with words) are scored by a multinomial logistic regression on sparse word n-grams; its classes are
-licence families and `unknown`. It is trained here, on variants of the templates below, on scrambled templates, and on
-a bounded sample of the corpus' own paragraphs without any template. Its temperature and the least probability of a
-family are calibrated on variants and paragraphs held out. A predicted family stands only if the paragraph holds at
-least LEAST_SIMILARITY of the five-word shingles of one of its templates.
+Passages are scored by a multinomial logistic regression on sparse word n-grams; its classes are licence families and
+`unknown`. It is trained here, on variants of the templates below, on scrambled templates, and on a bounded sample of
+the corpus' own paragraphs (lines with words) without any template. Its temperature and the least probability of a
+family are calibrated on variants and paragraphs held out. A predicted family stands only if the passage holds at least
+LEAST_SIMILARITY of the five-word shingles of one of its templates.
+
+Passages are any runs of words, over line breaks and comment marks, so wrapped texts count whole. As both conditions
+must hold, the shingles are looked up first and only passages that pass are scored.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +84,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 UNKNOWN = "unknown"
 FAMILIES = (UNKNOWN, *TEMPLATES)
 SHINGLE, LEAST_SIMILARITY = 5, 0.8
+#: A passage is at most so many times as long as its template.
+REACH = 2
+#: Words that few texts without a licence hold, to tell those without reading them word for word.
+HARDLY_PROSE = frozenset("license licensed permission redistribution copyright reserved proprietary unencumbered bsd cc0 gnu software".split())
 #: Paragraphs of the corpus that training may see, and variants of each template.
 SAMPLE_PARAGRAPHS, VARIANTS = 2000, 60
 #: Of held-out paragraphs without a licence, the share that may pass the least probability.
@@ -84,12 +95,15 @@ FALSE_SHARE = 0.001
 SEED = 7
 
 _tokens = re.compile(r"[^\W_]+").findall
+_words = re.compile(r"[^\W_]+").finditer
+#: Words that mark a comment at the start of a line; other marks aren't words.
+_marks = re.compile(r"(?im)^[ \t]*(?:dnl|rem)(?=[ \t\r\n])").finditer
 _paragraphs = re.compile(r"[^\n\r\x0b\x0c]*\w[^\n\r\x0b\x0c]*").finditer
 
 
-def shingles(tokens: list[str]) -> set[tuple[str, ...]]:
-    """Five-word shingles; a shorter text is one."""
-    return {tuple(tokens[i : i + SHINGLE]) for i in range(max(1, len(tokens) - SHINGLE + 1))}
+def shingles(tokens: list[str]) -> tuple[tuple[str, ...], ...]:
+    """Distinct five-word shingles in order; a shorter text is one."""
+    return tuple(dict.fromkeys(tuple(tokens[i : i + SHINGLE]) for i in range(max(1, len(tokens) - SHINGLE + 1))))
 
 
 @dataclass(frozen=True)
@@ -101,7 +115,31 @@ class Scanner:
     bias: np.ndarray
     temperature: float
     least: float
-    templates: tuple[tuple[int, frozenset], ...]
+    templates: tuple[tuple[int, tuple[tuple[str, ...], ...]], ...]
+
+    @cached_property
+    def places(self) -> dict[tuple[str, ...], list[tuple[int, int]]]:
+        """Numbers of the templates that hold a shingle, and its place in each."""
+        out: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+        for i, (_, t) in enumerate(self.templates):
+            for place, s in enumerate(t):
+                out.setdefault(s, []).append((i, place))
+        return out
+
+    @cached_property
+    def marks(self) -> tuple[str, ...]:
+        """Words, one of which every passage holds that is similar to a template: without them too few shingles are left."""
+        common: Counter = Counter(w for _, t in self.templates for w in {w for s in t for w in s})
+        out: set[str] = set()
+        for _, t in self.templates:
+            left, own = set(t), set()
+            while len(left) >= LEAST_SIMILARITY * len(t):
+                held = Counter(w for s in left for w in set(s))
+                w = max(held, key=lambda w: (w in out, w in HARDLY_PROSE, len(w) > 3, held[w], common[w], w))
+                own.add(w)
+                left = {s for s in left if w not in s}
+            out |= own
+        return tuple(sorted(w for w in out if not any(v != w and v in w for v in out)))
 
     def features(self, tokens: list[str]) -> list[int]:
         """Numbers of the known n-grams (of 1 to 3 words) of a paragraph; longer ones only where their words are known."""
@@ -126,23 +164,63 @@ class Scanner:
         p = np.exp(z - z.max())
         return p / p.sum()
 
-    def scan(self, text: str | None) -> list[tuple[int, int, str, float, float]]:
-        """(start, end, family, probability, similarity) of confirmed paragraphs, as characters of the text."""
-        found = []
-        for m in _paragraphs(text or ""):
-            tokens = _tokens(m[0].lower())
-            f = self.features(tokens)
-            if len(f) < 2:
-                continue
-            p = self.probabilities(f)
-            k = int(p.argmax())
-            if k == 0 or p[k] < self.least:
+    def passages(self, tokens: list[str]) -> Iterator[tuple[bool, int, int, int, float]]:
+        """(astray, first, end, template, similarity) of runs of tokens that hold enough of a template's shingles.
+
+        A run begins at any shingle and goes as far as they follow in the template's order, or if that isn't enough
+        (astray) in any order, within REACH times the template's length."""
+        hits: dict[int, list[tuple[int, int]]] = {}
+        get = self.places.get
+        for n in {len(s) for s in self.places}:
+            for i, s in enumerate(zip(*(tokens[k:] for k in range(n)))):
+                for t, place in get(s, ()):
+                    hits.setdefault(t, []).append((i, place))
+        for t, found in hits.items():
+            k, size = len(self.templates[t][1]), len(next(iter(self.templates[t][1])))
+            if len({place for _, place in found}) < LEAST_SIMILARITY * k:
                 continue
-            own = {tuple(tokens[i : i + n]) for n in {len(next(iter(t))) for c, t in self.templates if c == k} for i in range(len(tokens) - n + 1)}
-            similarity = max(len(own & t) / len(t) for c, t in self.templates if c == k)
-            if similarity >= LEAST_SIMILARITY:
-                found.append((m.start(), m.end(), FAMILIES[k], round(float(p[k]), 6), round(similarity, 6)))
-        return found
+            for j, (first, last) in enumerate(found):
+                seen, end, astray = set(), first, False
+                for i, place in itertools.islice(found, j, None):
+                    if i - first > REACH * (k + size):
+                        break
+                    if i > first and place <= last:
+                        if len(seen) >= LEAST_SIMILARITY * k:
+                            break
+                        astray = True
+                    if place not in seen:
+                        seen.add(place)
+                        end = i + size
+                    last = place
+                if len(seen) >= LEAST_SIMILARITY * k:
+                    yield astray, first, end, t, len(seen) / k
+
+    def scan(self, text: str | None) -> list[tuple[int, int, str, float, float]]:
+        """(start, end, family, probability, similarity) of confirmed passages, as characters of the text, in order.
+
+        Of passages that overlap, those in order, more similar to their template, then of the longer template, stand;
+        one of the same family widens it."""
+        low = (text or "").lower()
+        if not any(w in low for w in self.marks):
+            return []
+        skip = {m.end() for m in _marks(text)}
+        at = [(m[0].lower(), m.start(), m.end()) for m in _words(text) if m.end() not in skip]
+        tokens = [t for t, _, _ in at]
+        scored = []
+        for astray, first, end, t, similarity in self.passages(tokens):
+            k = self.templates[t][0]
+            p = self.probabilities(self.features(tokens[first:end]))
+            if p.argmax() == k and p[k] >= self.least:
+                scored.append((astray, -similarity, -len(self.templates[t][1]), end - first, -float(p[k]), first, end, k))
+        taken: list[list] = []  # first, end, family, probability, similarity; apart from each other, in order
+        for astray, less, _, _, q, first, end, k in sorted(scored):
+            lo = bisect.bisect_right(taken, first, key=lambda x: x[1])
+            hi = bisect.bisect_left(taken, end, key=lambda x: x[0])
+            if lo == hi:
+                taken.insert(lo, [first, end, k, -q, -less])
+            elif hi == lo + 1 and taken[lo][2] == k and not astray:
+                taken[lo][:2] = min(first, taken[lo][0]), max(end, taken[lo][1])
+        return [(at[first][1], at[end - 1][2], FAMILIES[k], round(p, 6), round(s, 6)) for first, end, k, p, s in taken]
 
 
 def variants(rng: random.Random, prose: list[list[str]]) -> list[tuple[list[str], int]]:
@@ -169,7 +247,7 @@ def train(paragraphs: list[str]) -> Scanner:
     """Fit and calibrate, with paragraphs of the corpus as examples of no family (those with a template inside are left
     out). The same paragraphs give the same scanner."""
     rng = random.Random(SEED)
-    templates = tuple((k, frozenset(shingles(_tokens(t.lower())))) for k, (_, texts) in enumerate(TEMPLATES.items(), 1) for t in texts)
+    templates = tuple((k, shingles(_tokens(t.lower()))) for k, (_, texts) in enumerate(TEMPLATES.items(), 1) for t in texts)
     known = {s for _, t in templates for s in t}
     prose = []
     for p in paragraphs:
@@ -233,7 +311,8 @@ def training_paragraphs(docs: DataFrame) -> list[str]:
 def scan_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_paragraphs, licence, families and findings of each row of docs (doc_id, text; others aren't read).
 
-    findings are the confirmed paragraphs (start and end characters, family, probability, similarity), in order;
+    findings are the confirmed passages (start and end characters, family, probability, similarity), in order;
+    n_paragraphs counts lines with words;
     families are their distinct families, sorted, and licence is the family of the most findings, the first in order
     of those with as many, or null. Null and empty texts have no paragraphs. Repeated rows give repeated rows.
     """

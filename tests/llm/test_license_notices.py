@@ -1,5 +1,7 @@
 """Licence scans: the notices that documents hold, wrapped texts, and several notices in one line."""
 
+import textwrap
+
 import pytest
 
 from lociflow.llm import license_scan
@@ -29,3 +31,17 @@ def test_all_five_notices_of_the_documents(spark):
 def test_short_notice_alone(scanner):
     assert [x[2] for x in scanner.scan("some words go before it\nAll rights reserved.\nand after")] == ["Proprietary"]
     assert not scanner.scan("all the rights were reserved for later")
+
+
+@pytest.mark.parametrize("mark", ["", "// ", " * ", "# ", "dnl "])
+def test_wrapped_texts(scanner, mark):
+    for family, texts in license_scan.TEMPLATES.items():
+        for t in texts:
+            for width in (44, 72):
+                lines = textwrap.wrap(t, width, break_long_words=False, break_on_hyphens=False)
+                body = "int main()\n" + "\n".join(mark + x for x in lines) + "\n\nreturn 0;"
+                for text in (body, body.replace("\n", "\r\n")):
+                    found = scanner.scan(text)
+                    assert [x[2] for x in found] == [family], (t, width)
+                    start, end = found[0][:2]
+                    assert lines[0].split()[0].strip('("') in text[start:end] and lines[-1].split()[-1].strip('".,)') in text[start:end]
