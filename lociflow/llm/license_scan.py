@@ -1,10 +1,11 @@
 """Licence scans: a trained classifier of passages, whose finds a comparison with templates confirms.
 
 Passages are scored by a multinomial logistic regression on sparse word n-grams; its classes are licence families and
-`unknown`. It is trained here, on variants of the templates below, on scrambled templates, and on a bounded sample of
-the corpus' own paragraphs (lines with words) without any template. Its temperature and the least probability of a
-family are calibrated on variants and paragraphs held out. A predicted family stands only if the passage holds at least
-LEAST_SIMILARITY of the five-word shingles of one of its templates.
+`unknown`, and a family's score is its probability against `unknown` alone. It is trained here, on variants of the
+templates below, on scrambled templates, and on a bounded sample of the corpus' own paragraphs (lines with words)
+without any template. Its temperature and the least probability of a family are calibrated on variants and paragraphs
+held out. A predicted family stands only if the passage holds at least LEAST_SIMILARITY of the five-word shingles of
+one of its templates.
 
 Passages are any runs of words, over line breaks and comment marks, so wrapped texts count whole. As both conditions
 must hold, the shingles are looked up first and only passages that pass are scored.
@@ -106,6 +107,11 @@ def shingles(tokens: list[str]) -> tuple[tuple[str, ...], ...]:
     return tuple(dict.fromkeys(tuple(tokens[i : i + SHINGLE]) for i in range(max(1, len(tokens) - SHINGLE + 1))))
 
 
+def against_unknown(z: np.ndarray) -> np.ndarray:
+    """Of logits of all classes, the probability of each against the first."""
+    return 1 / (1 + np.exp(np.clip(z[..., :1] - z, -500, 500)))
+
+
 @dataclass(frozen=True)
 class Scanner:
     """A trained classifier: n-grams with rows of weights, biases, and what calibration found."""
@@ -160,9 +166,8 @@ class Scanner:
         return sorted(found)
 
     def probabilities(self, features: list[int]) -> np.ndarray:
-        z = (self.bias + self.weights[features].sum(axis=0)) / self.temperature
-        p = np.exp(z - z.max())
-        return p / p.sum()
+        """Of each family against `unknown` alone, so that families don't take from each other."""
+        return against_unknown((self.bias + self.weights[features].sum(axis=0)) / self.temperature)
 
     def passages(self, tokens: list[str]) -> Iterator[tuple[bool, int, int, int, float]]:
         """(astray, first, end, template, similarity) of runs of tokens that hold enough of a template's shingles.
@@ -210,7 +215,7 @@ class Scanner:
         for astray, first, end, t, similarity in self.passages(tokens):
             k = self.templates[t][0]
             p = self.probabilities(self.features(tokens[first:end]))
-            if p.argmax() == k and p[k] >= self.least:
+            if p[k] >= self.least:
                 scored.append((astray, -similarity, -len(self.templates[t][1]), end - first, -float(p[k]), first, end, k))
         taken: list[list] = []  # first, end, family, probability, similarity; apart from each other, in order
         for astray, less, _, _, q, first, end, k in sorted(scored):
@@ -287,7 +292,7 @@ def train(paragraphs: list[str]) -> Scanner:
 
     loss = lambda t: -np.log(np.maximum(probabilities(t)[np.arange(len(z)), y[cut:]], 1e-12)).mean()
     temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=loss)
-    p = probabilities(temperature)
+    p = against_unknown(z / temperature)
     none = np.sort(p[y[cut:] == 0][:, 1:].max(axis=1)) if (y[cut:] == 0).any() else np.array([0.0])
     least = float(np.clip(none[max(0, int(len(none) * (1 - FALSE_SHARE)) - 1)], 0.3, 0.6))
     return Scanner(grams, w.astype(np.float64), b.astype(np.float64), temperature, least, templates)

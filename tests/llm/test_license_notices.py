@@ -1,5 +1,6 @@
 """Licence scans: the notices that documents hold, wrapped texts, and several notices in one line."""
 
+import math
 import textwrap
 
 import pytest
@@ -45,3 +46,20 @@ def test_wrapped_texts(scanner, mark):
                     assert [x[2] for x in found] == [family], (t, width)
                     start, end = found[0][:2]
                     assert lines[0].split()[0].strip('("') in text[start:end] and lines[-1].split()[-1].strip('".,)') in text[start:end]
+
+
+def test_every_family_of_a_line(scanner):
+    assert [x[2] for x in scanner.scan("Released under the MIT License. Licensed under the Apache License, Version 2.0.")] == ["MIT", "Apache-2.0"]
+    texts = [(k, t) for k, ts in license_scan.TEMPLATES.items() for t in ts if t != "All rights reserved."]
+    assert [x[2] for x in scanner.scan(" ".join(t for _, t in texts))] == [k for k, _ in texts]
+    twice = license_scan.TEMPLATES["ISC"][1]
+    found = scanner.scan(f"{twice} {twice}")
+    assert [x[:3] for x in found] == [(0, len(twice), "ISC"), (len(twice) + 1, 2 * len(twice) + 1, "ISC")]
+
+
+def test_scores_are_against_unknown(scanner):
+    for k, (family, texts) in enumerate(license_scan.TEMPLATES.items(), 1):
+        for t in texts:
+            z = scanner.bias + scanner.weights[scanner.features(license_scan._tokens(t.lower()))].sum(axis=0)
+            (found,) = scanner.scan(t)
+            assert found[3] == pytest.approx(1 / (1 + math.exp((z[0] - z[k]) / scanner.temperature)), abs=1e-6), family
