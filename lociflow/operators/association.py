@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from lociflow.functions.stats import chi2_tail
 from lociflow.operators.linkage import packed, scan
+from lociflow.operators.relatedness import grm_sums
+from lociflow.operators.variance import reml
 
 
 def linear_scan(g: DataFrame, y: DataFrame, covariates: int = 0) -> DataFrame:
@@ -96,6 +99,15 @@ def standard_environment(env: DataFrame) -> DataFrame:
     return env.join(m).select("iid", ((F.col("e") - F.col("m")) / F.col("s")).alias("e"))
 
 
+def _mixed_rows(sids: np.ndarray, x: np.ndarray, p: np.ndarray | None, py: np.ndarray, gamma: float | None = None) -> pd.DataFrame:
+    x = np.nan_to_num(x - np.nanmean(x, axis=1, keepdims=True))
+    xy = x @ py
+    xx = ((x @ p) * x).sum(1) if gamma is None else (x * x).sum(1) * gamma
+    b = np.divide(xy, xx, out=np.full_like(xy, np.nan), where=xx > 1e-12)
+    chi = b * xy
+    return pd.DataFrame({"sid": sids, "b": b, "se": np.abs(b) / np.sqrt(chi), "chi2": chi, "p": [chi2_tail(v) for v in chi]})
+
+
 def mixed_scan(g: DataFrame, y: DataFrame, inverse: np.ndarray, ids: np.ndarray, gamma: float | None = None) -> DataFrame:
     """Mixed-model scan with the inverse covariance of y over ids: exact, b = x'Py / x'Px; or with gamma approximate,
     b = x'(Vi y / gamma) / x'x, whose chi2 is b * x'Vi y. y is centred by generalised least squares."""
@@ -106,19 +118,69 @@ def mixed_scan(g: DataFrame, y: DataFrame, inverse: np.ndarray, ids: np.ndarray,
     known = g.sparkSession.sparkContext.broadcast((p if gamma is None else None, p @ yv))
 
     def fit(sids: np.ndarray, x: np.ndarray) -> pd.DataFrame:
-        p, py = known.value
-        x = np.nan_to_num(x - np.nanmean(x, axis=1, keepdims=True))
-        xy = x @ py
-        xx = ((x @ p) * x).sum(1) if gamma is None else (x * x).sum(1) * gamma
-        b = np.divide(xy, xx, out=np.full_like(xy, np.nan), where=xx > 1e-12)
-        chi = b * xy
-        return pd.DataFrame({"sid": sids, "b": b, "se": np.abs(b) / np.sqrt(chi), "chi2": chi, "p": [chi2_tail(v) for v in chi]})
+        return _mixed_rows(sids, x, *known.value, gamma)
 
     kept = g.join(F.broadcast(g.sparkSession.createDataFrame([(int(i),) for i in ids], "iid long")), "iid")
     snp = kept.select("sid").distinct().select("sid", F.lit(0).alias("chr"), F.lit(0).alias("bp"))
     return scan(packed(kept, snp), fit, "sid long, b double, se double, chi2 double, p double")
 
 
+def leave_one_chromosome_out(g: DataFrame, snp: DataFrame, y: DataFrame, store: Callable[[DataFrame], DataFrame], limit: int = 20_000, most_bytes: int = 2**28) -> DataFrame:
+    """Mixed-model scans of the markers of every chromosome, each against the matrix of all other chromosomes' markers.
+
+    The sums of all chromosomes' matrices come from one pass and go to a table by `store`, from which a chromosome's
+    are gathered in turn. Models are broadcast, as many at once as most_bytes hold (one at least), and each such lot
+    scans its chromosomes' markers once.
+    """
+    chrs = sorted(r[0] for r in snp.select("chr").distinct().collect())
+    if len(chrs) < 2:
+        raise ValueError("leaving one chromosome out takes two at least")
+    sums = store(grm_sums(g, snp))
+    everything = store(sums.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
+    ids = np.array(sorted(r[0] for r in everything.where("i = j").select("i").limit(limit + 1).collect()), np.int64)
+    if len(ids) > limit:
+        raise ValueError(f"a dense matrix of over {limit} individuals is not gathered")
+
+    def full(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        i, j = np.searchsorted(ids, rows["i"]), np.searchsorted(ids, rows["j"])
+        n, s = np.zeros((len(ids), len(ids))), np.zeros((len(ids), len(ids)))
+        n[i, j] = n[j, i] = rows["n"]
+        s[i, j] = s[j, i] = rows["s"]
+        return n, s
+
+    yv = y.orderBy("iid").toPandas().set_index("iid").reindex(ids)["y"].to_numpy(float)
+    n_all, s_all = full(everything.toPandas())
+    spark = g.sparkSession
+    kept = g.join(F.broadcast(spark.createDataFrame([(int(i),) for i in ids], "iid long")), "iid")
+    markers = store(packed(kept, snp))
+    schema = "sid long, b double, se double, chi2 double, p double"
+    step, out = max(1, most_bytes // (8 * len(ids) ** 2)), None
+    for at in range(0, len(chrs), step):
+        models = {}
+        for c in chrs[at : at + step]:
+            n, s = full(sums.where(F.col("chr") == c).select("i", "j", "n", "s").toPandas())
+            others = np.divide(s_all - s, n_all - n, out=np.zeros_like(s), where=n_all > n)
+            inverse = reml(yv, np.ones((len(yv), 1)), [others]).inverse
+            one = inverse.sum(axis=1)
+            p = inverse - np.outer(one, one) / one.sum()
+            models[c] = (p, p @ yv)
+        known = spark.sparkContext.broadcast(models)
+
+        def run(batches: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for c, rows in b.groupby("chr"):
+                    for k in range(0, len(rows), 1024):
+                        part = rows.iloc[k : k + 1024]
+                        yield _mixed_rows(part["sid"].to_numpy(), np.stack(list(part["x"])), *known.value[c])
+
+        d = markers.where(F.col("chr").isin(list(models))).select("sid", "chr", "x").mapInPandas(run, schema)
+        if len(chrs) > step:  # several lots: each is written, and its models are freed
+            d = store(d)
+            known.destroy()
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
 def null_markers(g: DataFrame, count: int = 2000, seed: int = 1) -> DataFrame:
     """Markers with the least hashes: a fixed pseudorandom choice."""
     return g.select("sid").distinct().orderBy(F.xxhash64(F.lit(seed), "sid"), "sid").limit(count)

@@ -14,22 +14,23 @@ from pyspark.sql import functions as F
 TILE, MARKERS = 512, 1024
 
 
-def pair_products(x: DataFrame) -> DataFrame:
+def pair_products(x: DataFrame, *by: str) -> DataFrame:
     """(i, j, n, s) over rows x(iid, sid, x): markers that both have, and the sum of products, by tiles of the matrix.
+    With columns `by` of the markers, those of each of their values apart.
 
     Values of a marker block and individual tile are gathered to dense rows; each pair of tiles meets by block, and a
     matrix product gives the tile's sums. Missing values (null) count neither in n nor in s. The long self-join over
     pairs of individuals would make n^2 m rows; here the shuffle holds each value once for each tile of individuals.
     """
-    cells = x.where("x is not null").select((F.col("sid") / MARKERS).cast("long").alias("b"), (F.col("iid") / TILE).cast("long").alias("t"), "iid", "sid", F.col("x").cast("double").alias("x"))
-    packed = cells.groupBy("b", "t").agg(F.collect_list(F.struct("iid", "sid", "x")).alias("cells"))
+    cells = x.where("x is not null").select((F.col("sid") / MARKERS).cast("long").alias("b"), (F.col("iid") / TILE).cast("long").alias("t"), *by, "iid", "sid", F.col("x").cast("double").alias("x"))
+    packed = cells.groupBy("b", "t", *by).agg(F.collect_list(F.struct("iid", "sid", "x")).alias("cells"))
     tiles = packed.select("t").distinct()
     pairs = tiles.join(tiles.select(F.col("t").alias("u")), F.col("u") <= F.col("t"))
-    left = packed.join(pairs, "t").select("b", "t", "u", F.lit(0).alias("side"), "cells")
-    right = packed.withColumnRenamed("t", "u").join(pairs.where("u < t"), "u").select("b", "t", "u", F.lit(1).alias("side"), "cells")
+    left = packed.join(pairs, "t").select("b", "t", "u", *by, F.lit(0).alias("side"), "cells")
+    right = packed.withColumnRenamed("t", "u").join(pairs.where("u < t"), "u").select("b", "t", "u", *by, F.lit(1).alias("side"), "cells")
 
     def product(key: tuple, table: pa.Table) -> pa.Table:
-        b, t, u = (k.as_py() for k in key)
+        b, t, u, *of = (k.as_py() for k in key)
         sides = {}
         for r in range(table.num_rows):
             c = table["cells"][r].values
@@ -41,14 +42,15 @@ def pair_products(x: DataFrame) -> DataFrame:
             sides[table["side"][r].as_py()] = (who, dense, have)
         first, second = sides.get(0), sides.get(1, sides.get(0) if t == u else None)
         if first is None or second is None:
-            return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "s": pa.array([], pa.float64())})
+            return pa.table({**{c: pa.array([], table[c].type) for c in by}, "i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "s": pa.array([], pa.float64())})
         s, n = first[1] @ second[1].T, first[2] @ second[2].T
         i, j = np.broadcast_arrays(first[0][:, None], second[0][None, :])
         lower = (j <= i) & (n > 0)
-        return pa.table({"i": i[lower], "j": j[lower], "n": n[lower].astype(np.int64), "s": s[lower]})
+        return pa.table({**{c: pa.array([v] * int(lower.sum()), table[c].type) for c, v in zip(by, of)}, "i": i[lower], "j": j[lower], "n": n[lower].astype(np.int64), "s": s[lower]})
 
-    blocks = left.unionByName(right).groupBy("b", "t", "u").applyInArrow(product, "i long, j long, n long, s double")
-    return blocks.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    kinds = "".join(f"{c} {x.schema[c].dataType.simpleString()}, " for c in by)
+    blocks = left.unionByName(right).groupBy("b", "t", "u", *by).applyInArrow(product, kinds + "i long, j long, n long, s double")
+    return blocks.groupBy(*by, "i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
 
 
 def centred(g: DataFrame) -> DataFrame:
@@ -68,6 +70,12 @@ def grm(g: DataFrame, algorithm: int = 0) -> DataFrame:
     return p.join(mean).select("i", "j", "n", (F.col("s") / F.col("n") / F.col("mean_var")).alias("value"))
 
 
+def grm_sums(g: DataFrame, snp: DataFrame) -> DataFrame:
+    """(chr, i, j, n, s): what each chromosome adds to the number and the sum of the additive matrix."""
+    x = centred(g).join(snp.select("sid", "chr"), "sid")
+    return pair_products(x.select("chr", "iid", "sid", ((F.col("gt") - F.col("mu")) / F.sqrt("var")).alias("x")), "chr")
+
+
 def grm_dominance(g: DataFrame) -> DataFrame:
     mu = F.col("mu")
     code = F.when(F.col("gt") == 1, mu).when(F.col("gt") == 2, 2 * mu - 2).otherwise(0.0)

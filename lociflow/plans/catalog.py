@@ -16,6 +16,7 @@ from lociflow.operators import relatedness as rel
 from lociflow.operators import summary as ss
 from lociflow.operators import variance as var
 from lociflow.plans.fixture import DUCKDB, Fixture, fixture
+from lociflow.plans.storage import keep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -649,15 +650,8 @@ def g15_burden(f: Fixture) -> DataFrame:
 
 @query()
 def g18_leave_one_chromosome_out(f: Fixture) -> DataFrame:
-    """Mixed scans of the first two chromosomes against the matrix of all others."""
-    _, _, y, x = _null(f)
-    whole = rel.grm(f.g)
-    out = None
-    for c in (1, 2):
-        own = mk.keep(f.g, f.snp.where(F.col("chr") == c), "sid")
-        ids, a = rel.dense(rel.subtract(whole, rel.grm(own)))
-        d = assoc.mixed_scan(own, f.pheno, var.reml(y, x, [a]).inverse, ids)
-        out = d if out is None else out.unionByName(d)
+    """Mixed scans of every chromosome against the matrix of all others."""
+    out = assoc.leave_one_chromosome_out(f.g, f.snp, f.pheno, keep)
     return rounded(out, *out.columns[1:])
 
 
