@@ -346,6 +346,33 @@ def sblup(s: DataFrame, pairs: DataFrame, snp: DataFrame, shrink: float) -> Data
     return regions(s, pairs, snp).mapInPandas(solve, "sid long, u double")
 
 
+def instrument_ld(sids, pairs, n: int, most_r2: float = 0.05, fdr: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    """(kept, r): instruments that stay and their correlations, of which those that chance explains are zero.
+
+    pairs: a pandas frame (sid1, sid2, r) of all pairs of sids, of any chromosomes, over n individuals. Of each pair with
+    r2 over most_r2 the one in more such pairs goes, of a tie the later. Of the rest, r is zero where the
+    Benjamini-Hochberg rate of its p-value, of r2 n as chi-square, is at least fdr."""
+    sids = np.asarray(sids)
+    place = {s: k for k, s in enumerate(sids)}
+    r = np.eye(len(sids))
+    i, j = pairs["sid1"].map(place).to_numpy(int), pairs["sid2"].map(place).to_numpy(int)
+    r[i, j] = r[j, i] = pairs["r"]
+    over = (r * r > most_r2) & ~np.eye(len(sids), dtype=bool)
+    degree = over.sum(axis=1)
+    a, b = np.nonzero(np.tril(over))
+    gone = np.where(degree[a] < degree[b], b, a)
+    kept = np.setdiff1d(np.arange(len(sids)), gone)
+    r = r[np.ix_(kept, kept)]
+    i, j = np.tril_indices(len(kept), -1)
+    p = np.array([chi2_tail(float(v)) for v in r[i, j] ** 2 * n])
+    down = np.argsort(-p, kind="stable")
+    rate = np.empty(len(p))
+    rate[down] = np.minimum.accumulate(np.minimum(1.0, p[down] * len(p) / np.arange(len(p), 0, -1)))
+    zero = rate >= fdr
+    r[i[zero], j[zero]] = r[j[zero], i[zero]] = 0
+    return kept, r
+
+
 def gsmr(bzx, bzx_se, bzy, bzy_se, r: np.ndarray | None = None, heidi_p: float = 0.01) -> dict:
     """Effect of exposure on outcome over instruments: generalised least-squares mean of bzy / bzx, with the covariance of
     ratios from both errors and LD; instruments whose ratio departs (HEIDI) are left out first, the worst at a time."""

@@ -872,9 +872,13 @@ def m11_m13_gsmr(f: Fixture) -> DataFrame:
     s = _sumstat(f)
     x = s.where("trait = 'y'").select("sid", F.col("b").alias("bzx"), F.col("se").alias("bzx_se"), "chi2")
     yv = s.where("trait = 'bal'").select("sid", F.col("b").alias("bzy"), F.col("se").alias("bzy_se"))
-    lead = ld.clump(x.select("sid", "chi2"), ld.window_pairs(f.g, f.snp, 10_000_000, "mean"), f.snp, 3.0)
+    lead = keep(ld.clump(x.select("sid", "chi2"), ld.window_pairs(f.g, f.snp, 10_000_000, "mean"), f.snp, 3.0))
     rows = x.drop("chi2").join(yv, "sid").join(lead.select("sid"), "sid").orderBy("sid").toPandas()  # instruments
-    out = ss.gsmr(rows.bzx, rows.bzx_se, rows.bzy, rows.bzy_se) if len(rows) > 1 else {"bxy": float("nan"), "se": float("nan"), "p": float("nan"), "n": 0}
+    # all in one place, so that pairs of any distance and of two chromosomes get an r
+    near = ld.window_pairs(mk.keep(f.g, lead, "sid"), lead.select("sid", F.lit(0).alias("chr"), F.lit(0).alias("bp")), 0, "cosine").toPandas()
+    kept, r = ss.instrument_ld(rows.sid, near, f.ind.count())
+    rows = rows.iloc[kept]
+    out = ss.gsmr(rows.bzx, rows.bzx_se, rows.bzy, rows.bzy_se, r) if len(rows) > 1 else {"bxy": float("nan"), "se": float("nan"), "p": float("nan"), "n": 0}
     return rounded(f.ind.sparkSession.createDataFrame([(float(out["bxy"]), float(out["se"]), float(out["p"]), int(out["n"]))], "bxy double, se double, p double, n int"), "bxy", "se", "p")
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lociflow.operators import association, relatedness, variance
+from lociflow.operators import association, relatedness, summary, variance
 from lociflow.plans import catalog
 from lociflow.plans.fixture import fixture
 
@@ -33,3 +33,25 @@ def test_lots_of_chromosomes_give_the_same(spark):
     one = {r.sid: r.b for r in association.leave_one_chromosome_out(f.g, f.snp, f.pheno, keep).collect()}
     lots = {r.sid: r.b for r in association.leave_one_chromosome_out(f.g, f.snp, f.pheno, keep, most_bytes=1).collect()}
     assert lots == pytest.approx(one, nan_ok=True)
+
+
+def test_instrument_ld():
+    import pandas as pd
+
+    pairs = pd.DataFrame([(1, 2, 0.5), (1, 3, 0.1), (1, 4, 0.0), (2, 3, 0.3), (2, 4, -0.1), (3, 4, 0.2)], columns=["sid1", "sid2", "r"])
+    kept, r = summary.instrument_ld([1, 2, 3, 4], pairs, 1000)  # 2 is over 0.05 with 1 and 3
+    assert list(kept) == [0, 2, 3]
+    assert np.array_equal(r, [[1, 0.1, 0], [0.1, 1, 0.2], [0, 0.2, 1]])
+    kept, r = summary.instrument_ld([1, 2, 3, 4], pairs, 100)  # p of 0.1 is 0.32, its rate 0.48; p of 0.2 0.046, its rate 0.14
+    assert list(kept) == [0, 2, 3] and np.array_equal(r, np.eye(3))
+
+
+def test_gsmr_takes_ld(spark, monkeypatch):
+    seen, plain = [], summary.gsmr
+    monkeypatch.setattr(summary, "gsmr", lambda *a, **k: seen.append(a) or plain(*a, **k))
+    f = fixture(spark, "/root/testdata/sf0.01")
+    got = catalog.QUERIES["m11_m13_gsmr"](spark, "/root/testdata/sf0.01").first()
+    bzx, sx, bzy, sy, r = seen[0]
+    assert r.shape == (len(bzx), len(bzx)) and np.array_equal(r, r.T) and (np.diag(r) == 1).all()
+    assert got.bxy == pytest.approx(plain(bzx, sx, bzy, sy, r)["bxy"], abs=1e-6)
+    assert f.g.select("iid").distinct().count() == 100 and (r[~np.eye(len(r), dtype=bool)] ** 2 <= 0.05).all()
