@@ -55,3 +55,14 @@ def test_gsmr_takes_ld(spark, monkeypatch):
     assert r.shape == (len(bzx), len(bzx)) and np.array_equal(r, r.T) and (np.diag(r) == 1).all()
     assert got.bxy == pytest.approx(plain(bzx, sx, bzy, sy, r)["bxy"], abs=1e-6)
     assert f.g.select("iid").distinct().count() == 100 and (r[~np.eye(len(r), dtype=bool)] ** 2 <= 0.05).all()
+
+
+def test_ld_search_takes_every_marker(spark):
+    from lociflow.operators import linkage
+
+    f = fixture(spark, SF)
+    pairs = linkage.window_pairs(f.g, f.snp, 200_000).where(F.col("r") * F.col("r") > linkage._critical_r2(f.ind.count(), 0.05))
+    want = pairs.select(F.explode(F.array("sid1", "sid2")).alias("sid")).groupBy("sid").count().collect()
+    got = catalog.QUERIES["w8_ld_search"](spark, SF).collect()
+    assert len(got) == len({r.sid for r in got}) and {r.sid: r.n_snps for r in got} == {r.sid: r["count"] for r in want}
+    assert any(r.sid % 25 for r in got)
