@@ -24,9 +24,9 @@ from lociflow.llm.common import materialise, offsets
 
 CAPACITY = 2048
 END = 1
-#: Sizes times columns that the linear program may generate, and times patterns that fill up what rounding leaves; a
-#: round costs time in proportion to the sizes, so either takes some 10 seconds of the driver at most.
-EFFORT, FILL_EFFORT = 100_000, 200_000
+#: Sizes times columns that the linear program may generate; a round costs time in proportion to the sizes, so it takes
+#: some 10 seconds of the driver at most.
+EFFORT = 100_000
 #: What a cut costs beside the tokens, in sequences.
 CUT_COST = 1e-3
 #: Tails without a pattern, by which the lookup of their ids is broadcast: 16 bytes each, 4 MB at most.
@@ -205,11 +205,13 @@ def best_pattern(sizes: np.ndarray, most: np.ndarray, value: np.ndarray, capacit
     return float(f[capacity]), counts
 
 
-def cutting_stock(demand: dict[int, int], capacity: int = CAPACITY, effort: int = EFFORT, fill_effort: int = FILL_EFFORT) -> Plan:
+def cutting_stock(demand: dict[int, int], capacity: int = CAPACITY, effort: int = EFFORT) -> Plan:
     """Patterns for a demand (size: count) by column generation; their uses never exceed the demand.
 
     The first basis pairs each size with what it lacks to the capacity. Each round prices a pattern by the duals, brings
-    it into the basis, and updates the basis inverse. Any basis is a feasible solution, so the effort bounds the time, not what is packed.
+    it into the basis, and updates the basis inverse. Any basis is a feasible solution, so the
+    effort bounds the time, not what is packed: patterns then fill up what is left until none can be filled. (On skewed
+    synthetic demand more rounds, short of the optimum, left more unpacked.)
     """
     plan = Plan()
     sizes = np.array(sorted(s for s, n in demand.items() if n > 0), np.int64)
@@ -266,7 +268,7 @@ def cutting_stock(demand: dict[int, int], capacity: int = CAPACITY, effort: int
             used = min(used, int((left[column > 0] // column[column > 0]).min()))
             plan.use(np.repeat(sizes, column), used)
             left -= column * max(used, 0)
-    for _ in range(fill_effort // m):
+    while True:
         worth, counts = best_pattern(sizes, left, sizes * (1 + sizes / capacity), capacity)
         if not np.isfinite(worth):
             break
