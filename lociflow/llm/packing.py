@@ -24,9 +24,16 @@ from lociflow.llm.common import materialise, offsets
 
 CAPACITY = 2048
 END = 1
-#: Sizes times columns that the linear program may generate; a round costs time in proportion to the sizes, so it takes
-#: some 10 seconds of the driver at most.
-EFFORT = 100_000
+#: Pricing rounds of the linear program, whatever the sizes; a plan says how far from the optimum it stopped.
+ROUNDS = 60
+#: Columns that a pricing round may bring in, and rounds after which the basis is inverted anew.
+COLUMNS, INVERT_EVERY = 40, 10
+#: Sizes that fill patterns among themselves at first.
+GROUP = 24
+#: Distance to a proven bound, as a share of the cost, at which the linear program counts as solved.
+SOLVED = 1e-6
+#: Shares of the greatest demand by which demands are moved apart, so that steps of the program aren't empty.
+APART = 1e-5
 #: What a cut costs beside the tokens, in sequences.
 CUT_COST = 1e-3
 #: Tails without a pattern, by which the lookup of their ids is broadcast: 16 bytes each, 4 MB at most.
@@ -160,10 +167,14 @@ def crc(ids: np.ndarray) -> int:
 
 @dataclass
 class Plan:
-    """Patterns: arrays of sizes (ascending, repeated) with how often each is used; fill: all have size capacity."""
+    """Patterns: arrays of sizes (ascending, repeated, capacity in sum) with how often each is used. cost is the linear
+    program's, bound what no solution of it is below, and rounds the pricing rounds it took."""
 
     patterns: list[np.ndarray] = field(default_factory=list)
     times: list[int] = field(default_factory=list)
+    cost: float = 0.0
+    bound: float = 0.0
+    rounds: int = 0
 
     def use(self, sizes: np.ndarray, times: int) -> None:
         if times > 0:
@@ -171,110 +182,189 @@ class Plan:
             self.times.append(int(times))
 
 
+class Knapsack:
+    """Counts, at most `most` of each size, of the greatest value for every capacity that they fill exactly.
+
+    A dynamic program over capacities; a size's count is made of items of 1, 2, 4 ... and the rest. best has the value
+    of each capacity, -inf where none fills it.
+    """
+
+    def __init__(self, sizes: np.ndarray, most: np.ndarray, value: np.ndarray, capacity: int):
+        self.kinds = len(sizes)
+        self.best = np.full(capacity + 1, -np.inf)
+        self.best[0] = 0
+        self.items: list[tuple[int, int, int, np.ndarray]] = []
+        for i in np.flatnonzero(most > 0):
+            left, k = int(min(most[i], capacity // sizes[i])), 1
+            while left > 0:
+                k = min(k, left)
+                w = int(sizes[i]) * k
+                if w > capacity:
+                    break
+                new = self.best[:-w] + value[i] * k
+                better = new > self.best[w:] + 1e-12
+                np.copyto(self.best[w:], new, where=better)
+                self.items.append((i, k, w, better))
+                left -= k
+                k *= 2
+
+    def fillings(self, capacities: np.ndarray) -> np.ndarray:
+        """The counts of all sizes, a row for each capacity, which must have a finite best."""
+        counts = np.zeros((len(capacities), self.kinds), np.int64)
+        at = capacities.copy()
+        for i, k, w, better in reversed(self.items):
+            taken = (at >= w) & better[np.minimum(np.maximum(at - w, 0), len(better) - 1)]
+            counts[taken, i] += k
+            at[taken] -= w
+        return counts
+
+
+def patterns_of(sizes: np.ndarray, most: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
+    """Counts of the most valuable pattern first, then, for each size, of one with it and the best filling of the rest.
+    The first keeps to `most`; others may exceed it by the one that they begin with. No rows if nothing fills."""
+    knapsack = Knapsack(sizes, most, value, capacity)
+    if not np.isfinite(knapsack.best[capacity]):
+        return np.zeros((0, len(sizes)), np.int64)
+    begins = np.flatnonzero((most > 0) & np.isfinite(knapsack.best[capacity - sizes]))[::-1]
+    counts = knapsack.fillings(np.concatenate(([capacity], capacity - sizes[begins])))
+    counts[np.arange(1, len(counts)), begins] += 1
+    return counts
+
+
 def best_pattern(sizes: np.ndarray, most: np.ndarray, value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The counts, at most `most` of each size, that fill the capacity exactly at the greatest value (-inf: none do).
+    """The counts, at most `most` of each size, that fill the capacity exactly at the greatest value (-inf: none do)."""
+    found = patterns_of(sizes, most, value, capacity)
+    return (float(found[0] @ value), found[0]) if len(found) else (-np.inf, np.zeros(len(sizes), np.int64))
+
 
-    A knapsack by dynamic programming over capacities; a size's count is made of items of 1, 2, 4 ... and the rest.
+def fill(sizes: np.ndarray, left: np.ndarray, capacity: int, whole: bool) -> list[tuple[np.ndarray, float, int]]:
+    """(counts, times, a size that they use up) of patterns, large sizes first, until none can be filled; takes them
+    from left. whole: times are whole numbers, and what is used up may leave fewer than a pattern takes.
+
+    Pairs come first, which need no program. Groups of GROUP sizes spread over all of them are then filled apart, as
+    their programs are small, and regrouped until all that is left has been one group.
     """
-    f = np.full(capacity + 1, -np.inf)
-    f[0] = 0
-    item_size, item_count, take = [], [], []
-    for i in np.flatnonzero(most > 0):
-        left, k = int(min(most[i], capacity // sizes[i])), 1
-        while left > 0:
-            k = min(k, left)
-            w = int(sizes[i]) * k
-            if w > capacity:
-                break
-            new = f[:-w] + value[i] * k
-            better = new > f[w:] + 1e-12
-            np.copyto(f[w:], new, where=better)
-            item_size.append(i)
-            item_count.append((k, w))
-            take.append(better)
-            left -= k
-            k *= 2
-    counts = np.zeros(len(sizes), np.int64)
-    if not np.isfinite(f[capacity]):
-        return -np.inf, counts
-    at = capacity
-    for i, (k, w), better in zip(reversed(item_size), reversed(item_count), reversed(take)):
-        if at >= w and better[at - w]:
-            counts[i] += k
-            at -= w
-    return float(f[capacity]), counts
-
-
-def cutting_stock(demand: dict[int, int], capacity: int = CAPACITY, effort: int = EFFORT) -> Plan:
+    out = []
+
+    def take(counts: np.ndarray) -> bool:
+        some = np.flatnonzero(counts)
+        ratio = left[some] // counts[some] if whole else left[some] / counts[some]
+        times = ratio.min()
+        if times <= 1e-9:
+            return False
+        left[some] -= counts[some] * times
+        gone = int(some[ratio.argmin()])
+        if not whole:
+            left[gone] = 0
+            left[left < 1e-9] = 0
+        out.append((counts, times, gone))
+        return True
+
+    at = {int(s): i for i, s in enumerate(sizes)}
+    for s, i in at.items():
+        j = at.get(capacity - s, -1)
+        if j >= i:
+            counts = np.zeros(len(sizes), np.int64)
+            counts[i] += 1
+            counts[j] += 1
+            take(counts)
+    order, progress = np.random.default_rng(1), True
+    while True:
+        open_ = order.permutation(np.flatnonzero(left > 1e-9))
+        groups = max(1, len(open_) // GROUP) if progress else 1
+        before = len(out)
+        for g in range(groups):
+            own = np.sort(open_[g::groups])
+            while len(found := patterns_of(sizes[own], np.ceil(left[own] - 1e-9).astype(np.int64), sizes[own] * (1 + sizes[own] / capacity), capacity)):
+                for counts in found:
+                    spread = np.zeros(len(sizes), np.int64)
+                    spread[own] = counts
+                    take(spread)
+                own = own[left[own] > 1e-9]
+        if groups == 1:
+            return out
+        progress = len(out) > before
+
+
+def cutting_stock(demand: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
     """Patterns for a demand (size: count) by column generation; their uses never exceed the demand.
 
-    The first basis pairs each size with what it lacks to the capacity. Each round prices a pattern by the duals, brings
-    it into the basis, and updates the basis inverse. Any basis is a feasible solution, so the
-    effort bounds the time, not what is packed: patterns then fill up what is left until none can be filled. (On skewed
-    synthetic demand more rounds, short of the optimum, left more unpacked.)
+    The linear program covers the demand by patterns, at one sequence each, and by cuts of single tails, at their share
+    of a sequence and CUT_COST. The first basis comes from filling patterns, each of which uses up a size: in the order
+    of their sizes' ends they make a triangle. A round then prices patterns for all sizes by the duals in one dynamic
+    program, and brings in those that still pay. No solution costs less than the total size over the capacity, nor than
+    the duals' value over the most that a column is worth by them; at that bound, or when no column pays, it is solved.
+    cost and bound are of demands that are moved apart by APART. Uses are rounded down, and patterns then fill up what that leaves until none can be filled.
     """
     plan = Plan()
     sizes = np.array(sorted(s for s, n in demand.items() if n > 0), np.int64)
     m = len(sizes)
     if not m:
         return plan
-    d = np.array([demand[int(s)] for s in sizes], np.float64)
-    at = {int(s): i for i, s in enumerate(sizes)}
+    whole = np.array([demand[int(s)] for s in sizes], np.int64)
+    d = whole + APART * whole.max() * np.random.default_rng(2).random(m)
     cut = sizes / capacity + CUT_COST
-    inverse, cost, x = np.eye(m), cut.copy(), d.copy()
+    basis, cost, x = np.eye(m), cut.copy(), d.copy()
     columns: list[np.ndarray | None] = [None] * m
-    for i, s in enumerate(sizes):
-        j = at.get(capacity - int(s))
-        if j is None or j < i:
-            continue
-        column = np.zeros(m, np.int64)
-        column[i] += 1
-        column[j] += 1
-        small, large = (i, j) if d[i] <= d[j] else (j, i)
-        columns[small], cost[small] = column, 1.0
-        if i == j:
-            inverse[i, i], x[i] = 0.5, d[i] / 2
-        else:
-            inverse[large, small] = -1.0
-            x[large] -= d[small]
-    for _ in range(effort // m):
-        duals = cost @ inverse
-        over = int(np.argmax(duals - cut))
-        if duals[over] > cut[over] + 1e-9:
-            entering, price, column = np.eye(m)[over], cut[over], None
-        else:
-            worth, counts = best_pattern(sizes, d, duals, capacity)
-            if worth <= 1 + 1e-9:
-                break
-            entering, price, column = counts.astype(np.float64), 1.0, counts
-        way = inverse @ entering
+    for counts, times, gone in fill(sizes, x, capacity, whole=False):
+        basis[:, gone], cost[gone], columns[gone] = counts, 1.0, counts
+    inverse = np.linalg.inv(basis)
+    x = inverse @ d
+    if x.min() < -1e-6 * d.max():  # not in a triangle that doubles can hold: start from cuts
+        basis, inverse, x, cost, columns = np.eye(m), np.eye(m), d.copy(), cut.copy(), [None] * m
+    plan.bound = float(sizes @ d) / capacity
+
+    def enter(column: np.ndarray, price: float, counts: np.ndarray | None) -> None:
+        way = inverse @ column
         ok = way > 1e-9
         if not ok.any():
-            break
+            return
         ratio = np.full(m, np.inf)
         ratio[ok] = np.maximum(x[ok], 0) / way[ok]
         least = ratio.min()
         leave = int(np.argmax(np.where(ratio <= least + 1e-12, way, -1)))
-        x -= least * way
+        x[:] -= least * way
         x[leave] = least
         row = inverse[leave] / way[leave]
-        inverse -= np.outer(way, row)
+        inverse[:] -= np.outer(way, row)
         inverse[leave] = row
-        columns[leave], cost[leave] = column, price
-    left = d.astype(np.int64)
+        basis[:, leave], columns[leave], cost[leave] = column, counts, price
+
+    while plan.rounds < rounds:
+        plan.rounds += 1
+        if plan.rounds % INVERT_EVERY == 0:
+            inverse[:] = np.linalg.inv(basis)
+            x[:] = inverse @ d
+        duals = cost @ inverse
+        found = patterns_of(sizes, whole, duals, capacity)
+        worth = found @ duals
+        most = max(1.0, float(worth.max(initial=0)), float((duals / cut).max()))
+        plan.cost, plan.bound = float(cost @ x), max(plan.bound, float(duals @ d) / most)
+        if plan.cost - plan.bound <= SOLVED * plan.cost:
+            break
+        pays = np.flatnonzero((worth > 1 + 1e-9) & (found <= whole).all(axis=1))
+        over = np.flatnonzero(duals > cut + 1e-9)
+        if not len(pays) and not len(over):
+            break
+        for i in over[np.argsort(cut[over] - duals[over])][:COLUMNS]:
+            if cost @ inverse[:, i] > cut[i] + 1e-9:
+                enter(np.eye(1, m, i)[0], cut[i], None)
+        seen: set[bytes] = set()
+        for i in pays[np.argsort(-worth[pays], kind="stable")]:
+            if len(seen) >= COLUMNS:
+                break
+            if found[i].tobytes() not in seen and cost @ (inverse @ found[i]) > 1 + 1e-9:
+                seen.add(found[i].tobytes())
+                enter(found[i].astype(np.float64), 1.0, found[i])
+    plan.cost = float(cost @ x)
+    left = whole.copy()
     for column, n in zip(columns, x):
         if column is not None:
-            used = int(np.floor(n + 1e-6))
-            used = min(used, int((left[column > 0] // column[column > 0]).min()))
+            used = min(int(np.floor(n + 1e-3)), int((left[column > 0] // column[column > 0]).min()))
             plan.use(np.repeat(sizes, column), used)
             left -= column * max(used, 0)
-    while True:
-        worth, counts = best_pattern(sizes, left, sizes * (1 + sizes / capacity), capacity)
-        if not np.isfinite(worth):
-            break
-        used = int((left[counts > 0] // counts[counts > 0]).min())
-        plan.use(np.repeat(sizes, counts), used)
-        left -= counts * used
+    for counts, times, _ in fill(sizes, left, capacity, whole=True):
+        plan.use(np.repeat(sizes, counts), int(times))
     return plan
 
 

@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from lociflow.llm import hilbert_shards, license_scan, mixing, packing, url_rules
 from lociflow.llm.queries import vocabulary
@@ -261,9 +263,94 @@ def test_mixing(spark, docs, odd):
     assert mixing.mix_counts(odd.limit(0)).count() == 0
 
 
-def test_permutation_and_slots(spark):
-    from pyspark.sql import functions as F
+def long_hash(*values):
+    """What the engine's 64-bit hash gives for longs (and, in a tuple of one, an int): each seeds the next."""
+    h = 42
+    for v in values:
+        raw = v[0].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
+        h = xxhash.xxh64_intdigest(raw, h)
+    return h - (h >> 63 << 64)
+
+
+def plain_permuted(x, n, *key):
+    for r in range(1, mixing.ROUNDS + 1) if n > 1 else ():
+        other = (long_hash((mixing.SEED,), *key, (r,)) - x) % n
+        if long_hash((mixing.SEED + 1,), *key, (r,), max(x, other)) % 2:
+            x = other
+    return x
+
+
+def plain_mix(rows, block, shard):
+    """Of rows (source, size) in order, what each slot takes: {(row number, out_shard, out_slot): (at, n)}."""
+    names = sorted({s for s, _ in rows if s is not None}, key=lambda x: [ord(c) for c in x]) + [None] * any(s is None for s, _ in rows)
+    sizes = {s: sum(n for t, n in rows if t == s) for s in names}
+    want = plain_targets(sizes)
+    sources = []
+    for sid, s in enumerate(names):
+        words = math.floor(want[s] + 0.5)
+        if sizes[s]:
+            passes, rest = divmod(words, sizes[s])
+            blocks = -(-sizes[s] // block)
+            n = passes * blocks + -(-rest // block)
+            sources.append((sid, s, passes, rest, blocks, n))
+    every = sum(x[-1] for x in sources)
+    owner = [sid for sid, *_, n in sources for _ in range(n)]
+    drawn = defaultdict(lambda: defaultdict(int))
+    for i in range(every):
+        drawn[i // shard][owner[long_hash((mixing.SEED + 2,), i) % every]] += 1
+    total = {x[0]: sum(d[x[0]] for d in drawn.values()) for x in sources}
+    open_ = [(sid, j) for sid, *_, n in sources for j in range(total[sid], n)]
+    over_before, so_far = {}, 0
+    for sid, *_, n in sources:
+        over_before[sid] = so_far
+        so_far += max(0, total[sid] - n)
+    of = {x[0]: x for x in sources}
+    line, slots = Counter(), {}
+    for k in sorted(drawn):
+        slot = 0
+        for sid in sorted(drawn[k]):
+            for _ in range(drawn[k][sid]):
+                j = plain_permuted(line[sid], total[sid], (-2,), (sid,))
+                n = of[sid][-1]
+                slots[k, plain_permuted(slot, min(shard, every - k * shard), (-1,), k)] = (sid, j) if j < n else open_[j - n + over_before[sid]]
+                line[sid] += 1
+                slot += 1
+    start, stretches = Counter(), defaultdict(list)
+    for i, (s, n) in enumerate(rows):
+        for b in range(start[s] // block, -(-(start[s] + n) // block)) if n else ():
+            low, high = max(start[s], b * block), min(start[s] + n, (b + 1) * block)
+            stretches[s, b].append((i, low - start[s], low - b * block, high - low))
+        start[s] += n
+    out = {}
+    for (k, slot), (sid, j) in slots.items():
+        _, s, passes, rest, blocks, _ = of[sid]
+        turn = min(j // blocks, passes)
+        rank, whole = j - turn * blocks, sizes[s] // block
+        b = plain_permuted(rank, whole, (sid,), turn) if rank < whole else rank
+        most = rest % block if turn == passes and rank == rest // block else block
+        for i, at, inside, n in stretches[s, b]:
+            if min(n, most - inside) > 0:
+                out[i, k, slot] = (at, min(n, most - inside))
+    return out
+
+
+def test_every_slot(spark, docs, odd):
+    """Draws, permutations, blocks and words of the whole mix, made again in plain Python."""
+    extra = spark.createDataFrame([(100 + i, f"word{i} " * (7 * i % 90), "en", "bcd"[i % 3], 1, "a", "b") for i in range(60)], DOCS)
+    for frame, block in ((docs, 16), (odd.where("doc_id <> 6 or doc_id is null").unionByName(extra), 4)):
+        rows = [(r.rid, r.source, r["size"]) for r in mixing.numbered(frame.coalesce(1)).orderBy("rid").collect()]
+        want = plain_mix([r[1:] for r in rows], block, mixing.SHARD)
+        got = {}
+        for r in mixing.mix_counts(frame.coalesce(1), block=block).collect():
+            for p in r.places:
+                got[r.doc_id, r["size"], p.out_shard, p.out_slot, p.at] = p.n
+            assert r.taken == sum(p.n for p in r.places)
+        ids = [r.doc_id for r in frame.coalesce(1).collect()]
+        assert got == {(ids[i], rows[i][2], k, slot, at): n for (i, k, slot), (at, n) in want.items()}
+        assert block == 4 or len({k for _, k, _ in want}) > 1
+
 
+def test_permutation_and_slots(spark):
     for n in (1, 2, 3, 17, 1000):
         got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(9)).alias("p")).collect()
         assert sorted(r.p for r in got) == list(range(n))
@@ -271,12 +358,16 @@ def test_permutation_and_slots(spark):
     sources = mixing.targets(spark.createDataFrame([("a", 100_000), ("b", 40_000), (None, 30)], "source string, source_size long"))
     slots = mixing.slots(sources, block=16).collect()
     assert sorted((r.out_shard * mixing.SHARD + r.out_slot) for r in slots) == list(range(len(slots)))
-    shares = Counter((r.out_shard, r.sid) for r in slots)
     whole = Counter(r.sid for r in slots)
-    for (shard, sid), k in shares.items():
-        if shard < max(r.out_shard for r in slots):
-            p = whole[sid] / len(slots)
-            assert abs(k - mixing.SHARD * p) <= 6 * math.sqrt(mixing.SHARD * p * (1 - p)) + 1
+    # the draw of a shard is multinomial: every count within six deviations, and their spread as such a law has it
+    counts = mixing.draws(mixing.places(sources, 16), 64).collect()
+    scores = [(r.drawn - 64 * whole[r.sid] / len(slots)) ** 2 / (64 * whole[r.sid] / len(slots) * (1 - whole[r.sid] / len(slots))) for r in counts if (r.out_shard + 1) * 64 <= len(slots) and whole[r.sid] > 1000]
+    assert max(scores) < 36 and 0.8 < sum(scores) / len(scores) < 1.2 and len(scores) > 200
+    # totals are exact: each source's places, once each
+    for sid, size in enumerate((100_000, 40_000, 30)):
+        words = next(r.words for r in sources.collect() if r.sid == sid)
+        assert whole[sid] == words // size * -(-size // 16) + -(-(words % size) // 16)
+        assert max(Counter((r["pass"], r.block) for r in slots if r.sid == sid).values()) == 1
 
 
 def test_mixed_documents(spark, docs, odd):
