@@ -90,13 +90,13 @@ def plain_judge(urls):
                 counts[c] += 1
                 both[c, v] += 1
     least = max(url_rules.MIN_SUPPORT * len(labelled), url_rules.LEAST_PAGES)
-    mined = [(both[c, v] / counts[c], both[c, v] / len(labelled), len(c), c, v) for c, v in both if both[c, v] >= math.ceil(least) and both[c, v] / counts[c] >= url_rules.MIN_CONFIDENCE]
+    mined = [(both[c, v] / counts[c], both[c, v] / len(labelled), v, c) for c, v in both if both[c, v] >= math.ceil(least) and both[c, v] / counts[c] >= url_rules.MIN_CONFIDENCE]
     out = []
     for i, h, p in parsed:
         r, v = rule(h, p)
         if r is None:
             fits = [m for m in mined if set(m[3]) <= items(h, p)]
-            v = max(fits)[4] if fits else url_rules.DEFAULT
+            v = max(fits)[2] if fits else url_rules.DEFAULT
         out.append((str(i), h, p, r, v))
     return sorted(out, key=str)
 
@@ -111,6 +111,25 @@ def test_url_filter(spark, sf_dir):
     assert url_rules.judge(wide.limit(0)).count() == 0
 
 
+def test_long_equal_urls(spark):
+    """Labelled URLs of many segments, equal and with parts in common, and unlisted ones with some of their items."""
+    rng = random.Random(4)
+    part = lambda k, n: "/".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{k}" for i in range(n))
+    urls = ["http://q.net/es/" + part("u", 120)] * 12 + ["http://r.com/" + part("v", 40)] * 9
+    urls += ["http://s.com/" + "/".join(rng.sample(part("w", 25).split("/"), 14)) for _ in range(60)] + ["http://t.net/fr/" + "/".join(rng.sample(part("w", 25).split("/"), 12)) for _ in range(60)]
+    urls += ["http://x.org/" + "/".join(rng.sample(part("u", 120).split("/") + part("v", 40).split("/") + part("w", 25).split("/"), k)) for k in range(1, 60)] + ["http://y.org/none"]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = sorted(((str(r[0]), *r[1:]) for r in url_rules.judge(frame).collect()), key=str)
+    assert got == plain_judge(list(enumerate(urls))) and {r[4] for r in got if r[3] is None} == {"allow", "block"}
+
+
+def test_very_long_equal_urls(spark):
+    """A class of 20,000 items is one item to the miner."""
+    urls = ["http://q.net/es/" + "/".join(f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{'efghijklmn'[i // 1000 % 10]}{'ab'[i // 10000]}" for i in range(20_000))] * 30 + ["http://x.org/akuea", "http://x.org/akueb/z", "http://x.org/z"]
+    out = {r.page_id: r.verdict for r in url_rules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert [out[i] for i in (0, 30, 31, 32)] == ["block", "block", "block", "allow"]
+
+
 # 8 packing
 
 
