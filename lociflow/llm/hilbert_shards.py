@@ -2,9 +2,13 @@
 
 Language, source and size are quantised to BITS bits each: the first two by equal shares of all bytes over their sorted
 values, so that codes keep their order, the size by powers of two. Rows are sorted by curve index, then by a hash of
-the text (equal texts of a cell stand together) and doc_id, and the order is cut into runs of nearly equal bytes. Files
-of such shards cover small ranges of each of the three, which lets readers skip by the ranges in their footers. A hot
-cell is no hot task, as the sort also runs over hash and doc_id.
+the text and doc_id, and the order is cut into runs of nearly equal bytes. Files of such shards cover small ranges of
+each of the three, which lets readers skip by the ranges in their footers. A hot cell is no hot task, as the sort also
+runs over hash and doc_id.
+
+Equal texts of one language and source have one cell and one hash: no other text (but for equal hashes) stands between
+them, in one shard or in shards that follow each other. Equal texts of other languages or sources stand where those are,
+as the order serves skipping; nothing is promised of them.
 """
 
 from __future__ import annotations
@@ -15,8 +19,6 @@ from pyspark.sql import functions as F
 from lociflow.llm.common import materialise, offsets
 
 BITS, DIMENSIONS = 4, 3
-#: Distinct values of a dimension are ranked by this many first characters.
-VALUE_CHARACTERS = 64
 
 
 def hilbert_index(point: tuple[int, ...], bits: int) -> int:
@@ -50,21 +52,25 @@ def hilbert_index(point: tuple[int, ...], bits: int) -> int:
 
 
 def codes(rows: DataFrame, column: str) -> DataFrame:
-    """(column, column_code): distinct values by order, as equal shares of size; null is a value, the first one."""
+    """(column_value, column_code): distinct values by order, as equal shares of size; null is a value, the first one.
+
+    Values are sorted by ranges, and only the ranges' sums run through one task, so they may be many."""
     top = (1 << BITS) - 1
     shares = rows.groupBy(column).agg(F.sum("size").alias("bytes"))
-    run = Window.orderBy(F.col(column).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.sum("bytes").over(Window.partitionBy())
-    middle = F.sum("bytes").over(run) - F.col("bytes") / 2
-    return shares.select(F.col(column).alias(f"{column}_value"), F.least(F.lit(top), F.floor(middle / total * (top + 1))).cast("int").alias(f"{column}_code"))
+    shares = materialise(shares.repartitionByRange(F.col(column).asc_nulls_first()).withColumn("part", F.spark_partition_id()))
+    parts = offsets(shares.groupBy("part").agg(F.sum("bytes").alias("n")), "part", "n").withColumn("total", F.sum("n").over(Window.partitionBy()))
+    run = Window.partitionBy("part").orderBy(F.col(column).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    middle = F.sum("bytes").over(run) + F.col("n_before") - F.col("bytes") / 2
+    placed = shares.join(parts.select("part", "n_before", "total"), "part")
+    return placed.select(F.col(column).alias(f"{column}_value"), F.least(F.lit(top), F.floor(middle / F.col("total") * (top + 1))).cast("int").alias(f"{column}_code"))
 
 
 def ordered(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, size, text_crc32, curve, tie, part) in the order's partitions, written."""
+    """Rows (rid, doc_id, size, text_crc32, curve, tie, part) in the order's partitions, written. docs may have a rid."""
     spark = docs.sparkSession
     text = F.col("text")
-    cut = lambda c: F.left(F.col(c).cast("string"), F.lit(VALUE_CHARACTERS))
-    rows = materialise(docs.select("doc_id", cut("lang").alias("lang"), cut("source").alias("source"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"), F.xxhash64(text).alias("tie")))
+    rid = "rid" if "rid" in docs.columns else F.monotonically_increasing_id().alias("rid")
+    rows = materialise(docs.select(rid, "doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"), F.xxhash64(text).alias("tie")))
     top = (1 << BITS) - 1
     keyed = rows
     for c in ("lang", "source"):
@@ -74,36 +80,47 @@ def ordered(docs: DataFrame) -> DataFrame:
     axis = range(top + 1)
     curve = spark.createDataFrame([(x, y, z, hilbert_index((x, y, z), BITS)) for x in axis for y in axis for z in axis], "lang_code int, source_code int, size_code int, curve int")
     keyed = keyed.join(F.broadcast(curve), ["lang_code", "source_code", "size_code"])  # 2 ** (BITS * DIMENSIONS) rows
-    keyed = materialise(keyed.select("doc_id", "size", "text_crc32", "curve", "tie"))
+    keyed = materialise(keyed.select("rid", "doc_id", "size", "text_crc32", "curve", "tie"))
     return materialise(keyed.repartitionByRange("curve", "tie", "doc_id").withColumn("part", F.spark_partition_id()))
 
 
-def assign(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and grown_shard of each row of docs (doc_id, text, lang, source).
-
-    size is the UTF-8 bytes of the text plus 1. A null text has size 1 and the checksum of no bytes, 0, as an empty one
-    has; null lang or source are a value of their own. Shards take runs of the order of nearly equal bytes (law `bytes`:
-    within a document's size); slot counts from 0 in each. Some shards stay empty if single documents exceed a shard's
-    share or there are few rows. Repeated rows are rows of their own; other columns aren't read.
-    """
+def placed_rows(docs: DataFrame, shards: int) -> DataFrame:
+    """(rid, doc_id, size, text_crc32, shard, slot) of each row of docs (doc_id, text, lang, source, and rid or not)."""
     rows = ordered(docs)
     parts = offsets(rows.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "part", "bytes", "n")
     parts = parts.withColumn("total", F.sum("bytes").over(Window.partitionBy()))
-    w = Window.partitionBy("part").orderBy("curve", "tie", "doc_id", "size")
+    w = Window.partitionBy("part").orderBy("curve", "tie", "doc_id", "size", "rid")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.join(parts.select("part", "bytes_before", "n_before", "total"), "part")
     placed = placed.withColumn("end", F.sum("size").over(run) + F.col("bytes_before")).withColumn("place", F.row_number().over(w) - 1 + F.col("n_before"))
     middle = F.col("end") - F.col("size") / 2
-    placed = materialise(placed.select("doc_id", "size", "text_crc32", "place", F.least(F.lit(shards - 1), F.floor(middle * shards / F.col("total"))).cast("int").alias("shard")))
+    placed = materialise(placed.select("rid", "doc_id", "size", "text_crc32", "place", F.least(F.lit(shards - 1), F.floor(middle * shards / F.col("total"))).cast("int").alias("shard")))
     first = placed.groupBy("shard").agg(F.min("place").alias("first"))
     out = placed.join(F.broadcast(first), "shard")  # a row for each shard
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("place") - F.col("first")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("rid", "doc_id", "size", "text_crc32", "shard", (F.col("place") - F.col("first")).cast("long").alias("slot"))
+
+
+def assign(docs: DataFrame, shards: int = 16) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard of each row of docs (doc_id, text, lang, source).
+
+    size is the UTF-8 bytes of the text plus 1. A null text has size 1 and the checksum of no bytes, 0, as an empty one
+    has; null lang or source are a value of their own. Shards take runs of the order of nearly equal bytes (law `bytes`:
+    within a document's size); slot counts from 0 in each. Some shards stay empty if single documents exceed a shard's
+    share or there are few rows. Repeated rows are rows of their own; other columns aren't read.
+    """
+    out = placed_rows(docs.select("doc_id", "text", "lang", "source"), shards)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, file_rows: int = 100_000) -> DataFrame:
-    """Write docs as Parquet folders shard=K under path, sorted by slot in files of file_rows rows; returns assign()'s
-    rows. docs must have distinct doc_ids that aren't null."""
-    where = materialise(assign(docs, shards))
-    named = docs.join(where.select(F.col("doc_id").alias("__id"), F.col("shard").alias("shard"), F.col("slot").alias("slot")), F.col("doc_id") == F.col("__id")).drop("__id")
-    named.repartition("shard", F.floor(F.col("slot") / file_rows)).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
-    return where
+    """Write docs, whole rows, as Parquet folders shard=K under path, sorted by slot in files of file_rows rows; returns
+    (doc_id, shard, slot). Rows without doc_id and repeated rows are rows of their own. Where docs has a column `shard`,
+    the folders are named shard_=K (with as many more underscores as it takes)."""
+    whole = materialise(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
+    where = materialise(placed_rows(whole.select("rid", "row.doc_id", "row.text", "row.lang", "row.source"), shards))
+    folder = "shard"
+    while folder in {c.lower() for c in docs.columns}:
+        folder += "_"
+    named = whole.join(where.select("rid", "shard", "slot"), "rid").repartition("shard", F.floor(F.col("slot") / file_rows)).sortWithinPartitions("shard", "slot")
+    named.select("row.*", F.col("shard").alias(folder)).write.mode("overwrite").partitionBy(folder).parquet(path)
+    return where.select("doc_id", "shard", "slot")

@@ -74,6 +74,19 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the Mozilla Public License, Version 2.0.",
     ),
     "ISC": ("Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    "EPL": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "Licensed under the Eclipse Public License 2.0.",
+    ),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Licensed under the zlib License.",
+    ),
+    "Artistic-2.0": ("This program is free software; you may redistribute it and/or modify it under the terms of the Artistic License 2.0.", "Licensed under the Artistic License 2.0."),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.",),
+    "EUPL": ("Licensed under the EUPL, Version 1.2 or later",),
+    "WTFPL": ("This work is free. You can redistribute it and/or modify it under the terms of the Do What The Fuck You Want To Public License, Version 2",),
+    "OFL": ("This Font Software is licensed under the SIL Open Font License, Version 1.1.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "CC0": ("Released under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     "CC-BY": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -89,8 +102,9 @@ SHINGLE, LEAST_SIMILARITY = 5, 0.8
 REACH = 2
 #: Words that few texts without a licence hold, to tell those without reading them word for word.
 HARDLY_PROSE = frozenset("license licensed permission redistribution copyright reserved proprietary unencumbered bsd cc0 gnu software".split())
-#: Paragraphs of the corpus that training may see, and variants of each template.
-SAMPLE_PARAGRAPHS, VARIANTS = 2000, 60
+#: Paragraphs of the corpus that training may see, characters of the longest that may be one (20 MB in all at most),
+#: documents that they come from on average, and variants of each template.
+SAMPLE_PARAGRAPHS, SAMPLE_CHARACTERS, SAMPLE_DOCUMENTS, VARIANTS = 2000, 10_000, 1000, 60
 #: Of held-out paragraphs without a licence, the share that may pass the least probability.
 FALSE_SHARE = 0.001
 SEED = 7
@@ -258,7 +272,7 @@ def train(paragraphs: list[str]) -> Scanner:
     for p in paragraphs:
         tokens = _tokens(p.lower())
         if not any(tuple(tokens[i : i + n]) in known for n in range(3, SHINGLE + 1) for i in range(len(tokens) - n + 1)):
-            prose.append(tokens[:400])
+            prose.append(tokens)
     grams: dict[tuple[str, ...], int] = {}
     for texts in TEMPLATES.values():
         for t in texts:
@@ -299,18 +313,15 @@ def train(paragraphs: list[str]) -> Scanner:
 
 
 def training_paragraphs(docs: DataFrame) -> list[str]:
-    """At most SAMPLE_PARAGRAPHS paragraphs, of all that the documents have those with the least hash.
-
-    Hashes over what gives four times as many, at a paragraph for each document, are left where they are, so that tasks
-    don't each send a full list to the driver.
-    """
+    """At most SAMPLE_PARAGRAPHS paragraphs, those with the least hash of the documents whose ids have the least hashes
+    (about SAMPLE_DOCUMENTS of them, all if there are fewer). So what tasks send to the driver doesn't grow."""
     n = docs.count()
     if not n:
         return []
-    most = int(min(1.0, 4 * SAMPLE_PARAGRAPHS / n) * 2**63) - 1
-    each = docs.select("doc_id", F.explode(F.split("text", r"[\n\r\x0B\x0C]+")).alias("p")).where(F.col("p").rlike(r"\w"))
-    h = F.xxhash64("doc_id", "p").bitwiseAND(F.lit(2**63 - 1))
-    return [r.p for r in each.select(h.alias("h"), "p").where(F.col("h") <= most).orderBy("h", "p").limit(SAMPLE_PARAGRAPHS).collect()]
+    positive = lambda *c: F.xxhash64(*c).bitwiseAND(F.lit(2**63 - 1))
+    some = docs.where(positive("doc_id") <= int(min(1.0, SAMPLE_DOCUMENTS / n) * 2**63) - 1)
+    each = some.select("doc_id", F.explode(F.split("text", r"[\n\r\x0B\x0C]+")).alias("p")).where(F.col("p").rlike(r"\w") & (F.length("p") <= SAMPLE_CHARACTERS))
+    return [r.p for r in each.select(positive("doc_id", "p").alias("h"), "p").orderBy("h", "p").limit(SAMPLE_PARAGRAPHS).collect()]
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:

@@ -170,14 +170,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """docs without the rows that score under the threshold, columns as they were."""
-    model = docs.sparkSession.sparkContext.broadcast(train(materialise(measured(docs)), labels))
-    text = "text"
+    """docs without the rows that score under the threshold, columns as they were. Texts are measured once: the
+    statistics are written beside the rows, which the model then reads."""
+    vector = "array<double>"
+
+    @F.pandas_udf(vector)
+    def measure(texts: pd.Series) -> pd.Series:
+        return pd.Series([statistics(t) for t in texts], dtype=object)
+
+    whole = materialise(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), measure(F.col("text")).alias("x")))
+    model = docs.sparkSession.sparkContext.broadcast(train(whole.select(F.col("row.doc_id").cast("long").alias("doc_id"), "x"), labels))
 
     @F.pandas_udf("boolean")
-    def good(texts: pd.Series) -> pd.Series:
-        if not len(texts):
-            return pd.Series([], dtype=bool)
-        return pd.Series(model.value.score(np.array([statistics(t) for t in texts])) >= threshold)
+    def good(x: pd.Series) -> pd.Series:
+        return pd.Series(model.value.score(np.stack(list(x))) >= threshold if len(x) else [], dtype=bool)
 
-    return docs.where(good(F.col(text)))
+    return whole.where(good(F.col("x"))).select("row.*")

@@ -4,8 +4,8 @@ A piece model without pieces that cross a word start merges only inside a pre-to
 that follows it; a line feed is no piece and cuts as well). So the count of a text is the sum of its pre-tokens'
 counts, and pre-tokens repeat. Tier one is a table of frequent pre-tokens and their lengths, broadcast to the workers;
 tier two is a cache in each worker for the pre-tokens it meets beyond that, which the library encodes once. No
-pre-token is shuffled: the first pass gives, for each task, at most 1 / share of its pre-tokens (those that may fill
-that share of them), whose counts are added to pick the table. The table only saves time; counts don't depend on it.
+pre-token is shuffled: the table comes from a bounded sample of documents, those with the least hashes of their ids.
+It only saves time; counts cover all texts and don't depend on it.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ LONGEST_CACHED = 64
 CACHE_ENTRIES = 300_000
 #: Entries of the broadcast table: with 12 bytes or so each, 2 MB at most.
 TABLE_ENTRIES = 131_072
-#: A task reports the pre-tokens that may hold this share of its own: 50,000 at most.
-REPORT_SHARE = 1 / 50_000
+#: Documents that the table is made from, and bytes of the longest that may be one: 32 MB in all at most.
+SAMPLE_DOCUMENTS, SAMPLE_BYTES = 2048, 16_384
 
 _workers: dict[str, PieceCounter] = {}
 
@@ -123,35 +123,27 @@ def worker(model_file: str) -> PieceCounter:
     return _workers[model_file]
 
 
-def frequent_pretokens(docs: DataFrame, model_file: str, entries: int = TABLE_ENTRIES) -> tuple[str, bytes]:
-    """The table of tier one, from the texts of all documents."""
-
-    def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        total = lost = 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                tokens = PieceCounter.split(text)[0] if text else []
-                total += len(tokens)
-                seen.update(tokens)
-                while len(seen) > CACHE_ENTRIES:  # lossy counting: a count may lack `lost` at most
-                    lost += 1
-                    seen = Counter({t: n - 1 for t, n in seen.items() if n > 1})
-        least = max(total * REPORT_SHARE - lost, 2)
-        kept = [(t, n) for t, n in seen.items() if n >= least and len(t) <= LONGEST_CACHED and "\0" not in t]
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["token", "n"])
-
-    top = docs.select("text").mapInArrow(heavy, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(entries).collect()
+def frequent_pretokens(docs: DataFrame, model_file: str, entries: int = TABLE_ENTRIES, documents: int = SAMPLE_DOCUMENTS) -> tuple[str, bytes]:
+    """The table of tier one, from a sample of documents: pre-tokens that it holds twice or more, most frequent first."""
+    n = docs.count()
+    if not n:
+        return "", b""
+    h = F.xxhash64("doc_id").bitwiseAND(F.lit(2**63 - 1))
+    some = docs.where((h <= int(min(1.0, 2 * documents / n) * 2**63) - 1) & (F.octet_length("text") <= SAMPLE_BYTES))
+    seen: Counter = Counter()
+    for r in some.orderBy(h, "doc_id", F.xxhash64("text")).limit(documents).select("text").collect():
+        seen.update(PieceCounter.split(r.text)[0] if r.text else [])
+    top = [t for t, k in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if k > 1 and len(t) <= LONGEST_CACHED and "\0" not in t][:entries]
     counter = worker(model_file)
-    lengths = counter.encode([r.token for r in top]) if counter.exact else []
-    kept = [(r.token, n) for r, n in zip(top, lengths) if n < 256]
-    return "\0".join(t for t, _ in kept), bytes(n for _, n in kept)
+    lengths = counter.encode(top) if counter.exact else []
+    kept = [(t, k) for t, k in zip(top, lengths) if k < 256]
+    return "\0".join(t for t, _ in kept), bytes(k for _, k in kept)
 
 
 def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of each row of docs (doc_id, text; others aren't read).
 
-    Null and empty texts have no bytes and no tokens; a null doc_id stays null; repeated rows give repeated rows; an
+    doc_id comes out as a long. Null and empty texts have no bytes and no tokens; a null doc_id stays null; repeated rows give repeated rows; an
     empty table gives an empty one. model_file must be found at the same path on every executor, as it is when the
     package of vocabularies is installed there.
     """
@@ -164,5 +156,5 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFra
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counter.count(texts), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    sized = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     return sized.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
