@@ -1,16 +1,16 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-A vector is described by its DEPTH nearest reference points (pivots), nearest first. Inverted lists hold, for each
-label and pair of pivots, the vectors with both among theirs; so vectors that share two pivots or more meet in a list,
-and a pair counts where the two pivots are the smallest that it shares. In a list, matrix products verify all pairs by
-cosine. Lists over LIST_ROWS are cut into parts, and each pair of parts is a task of its own. Pairs are never rows:
-a task returns, for each vector, how many it links with, and edges that span the components it found. Equal vectors
-of one label are one entry, which counts for all its copies.
+A vector is described by its DEPTH nearest reference points (pivots), nearest first: its permutation. Inverted lists
+hold, for each label and pivot, the vectors that have it among their POSTED nearest. Two vectors of a list are
+candidates if their permutations share at least SHARED pivots; the list of the smallest pivot that both are posted under
+owns the pair. Lists hold numbers and permutations alone. Vectors then travel only to lists where they have a candidate,
+and matrix products verify candidates by cosine. Lists over LIST_ROWS are cut into parts, and each pair of parts is a
+task of its own. Pairs are never rows: a task returns, for each vector, how many it links with, and edges that span the
+components it found. Equal vectors of one label are one entry, which counts for all its copies.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 from lociflow.llm.common import connected_components, materialise
 from lociflow.llm.simhash_dedup import by_key, union
 
-DEPTH = 5
+DEPTH, POSTED, SHARED = 8, 3, 4
 LIST_ROWS = 2048
-#: Pivots grow with the square root of the vectors, between these bounds; 64 dimensions of 4096 doubles are 2 MB.
-LEAST_PIVOTS, MOST_PIVOTS = 64, 4096
+#: Pivots grow with the square root of the vectors, between these bounds, and take at most PIVOT_BYTES for each length.
+LEAST_PIVOTS, MOST_PIVOTS, PIVOT_BYTES = 64, 16_384, 16 << 20
+#: Rows of a tile that are compared with all others at once.
+BLOCK = 256
 
 
 def usable(vector: str) -> F.Column:
@@ -51,98 +53,131 @@ def describe(rows: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
     return np.take_along_axis(top, order, 1).astype(np.int32)
 
 
-def tile_links(t: pd.DataFrame, least: float) -> Iterator[pd.DataFrame]:
-    """Link counts and spanning edges of one tile: columns rep, copies, vector, pivots, part, x, y, p, q."""
-    first, second = int(t["x"].iat[0]), int(t["y"].iat[0])
-    t = t.sort_values("rep", kind="stable")
-    part = t["part"].to_numpy()
-    rep, copies = t["rep"].to_numpy(), t["copies"].to_numpy()
-    rows = unit(np.stack([np.frombuffer(v, np.float64) for v in t["vector"]]))
-    pivots = np.stack([np.frombuffer(v, np.int32) for v in t["pivots"]])
-    p, q = int(t["p"].iat[0]), int(t["q"].iat[0])
-    # Pivots below the greater of the list's two, but for the lesser: a pair that shares one belongs to another list.
-    lower = np.where((pivots < q) & (pivots != p), pivots, -1)
-    columns = {c: i for i, c in enumerate(np.unique(lower[lower >= 0]))}
-    marks = np.zeros((len(t), max(len(columns), 1)), np.float32)
-    for c, i in columns.items():
-        marks[(lower == c).any(axis=1), i] = 1
+def candidates(a: np.ndarray, b: np.ndarray, pivot: int, posted: int, shared: int) -> np.ndarray:
+    """Of permutations a and b (rows) in the list of a pivot: which pairs share enough pivots and belong to this list."""
+    count = np.zeros((len(a), len(b)), np.int8)
+    owned = np.ones((len(a), len(b)), bool)
+    for i in range(a.shape[1]):
+        for j in range(b.shape[1]):
+            same = a[:, i, None] == b[None, :, j]
+            count += same
+            if i < posted and j < posted:
+                owned &= ~(same & (a[:, i, None] < pivot))
+    return owned & (count >= min(shared, a.shape[1]))
+
+
+def tile_pairs(t: pd.DataFrame, posted: int, shared: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, other rows, which are candidates) of one tile by blocks: columns eid, pivots, part, x, y, p."""
+    first, second, pivot = int(t["x"].iat[0]), int(t["y"].iat[0]), int(t["p"].iat[0])
+    part, shape = t["part"].to_numpy(), np.stack(list(t["pivots"]))
     mine, others = np.flatnonzero(part == first), np.flatnonzero(part == second)
-    links, root = np.zeros(len(t), np.int64), np.arange(len(t))
-    for i in range(0, len(mine), 1024):
-        a = mine[i : i + 1024]
-        hit = (rows[a] @ rows[others].T >= least) & (marks[a] @ marks[others].T == 0)
+    for i in range(0, len(mine), BLOCK):
+        a = mine[i : i + BLOCK]
+        hit = candidates(shape[a], shape[others], pivot, posted, shared)
         if first == second:
-            hit &= a[:, None] != others[None, :]
-        x, y = np.nonzero(hit)
+            hit &= a[:, None] < others[None, :]
+        yield a, others, hit
+
+
+def tile_links(t: pd.DataFrame, least: float, posted: int, shared: int) -> Iterator[pd.DataFrame]:
+    """Link counts and spanning edges of one tile: columns as in tile_pairs(), copies and vector."""
+    t = t.sort_values("eid", kind="stable")
+    eid, copies = t["eid"].to_numpy(), t["copies"].to_numpy()
+    rows = unit(np.stack(list(t["vector"])))
+    links, root = np.zeros(len(t), np.int64), np.arange(len(t))
+    for a, others, hit in tile_pairs(t, posted, shared):
+        x, y = np.nonzero(hit & (rows[a] @ rows[others].T >= least))
         np.add.at(links, a[x], copies[others[y]])
-        if first != second:
-            np.add.at(links, others[y], copies[a[x]])
+        np.add.at(links, others[y], copies[a[x]])
         union(root, a[x], others[y])
     while (root[root] != root).any():
         root = root[root]
     some = np.flatnonzero((links > 0) | (root != np.arange(len(t))))
     if len(some):
-        yield pd.DataFrame({"rep": rep[some], "links": links[some], "other": rep[root[some]]})
+        yield pd.DataFrame({"eid": eid[some], "links": links[some], "other": eid[root[some]]})
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.98, depth: int = DEPTH, list_rows: int = LIST_ROWS, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def pick_pivots(entries: DataFrame, n: int) -> dict[int, np.ndarray]:
+    """For each length of vectors its pivots, unit vectors: those with the least hashes, a bounded sample.
+
+    Lengths are as many as models that made the vectors; each is read apart."""
+    picked = {}
+    wanted = min(max(64 * -(-int((n / 2) ** 0.5) // 64), LEAST_PIVOTS), MOST_PIVOTS)
+    for d in sorted(r.d for r in entries.select(F.size("vector").alias("d")).distinct().collect()):
+        few = min(wanted, max(1, PIVOT_BYTES // (8 * d)))
+        own = entries.where(F.size("vector") == d).orderBy(F.xxhash64("code", "label"), "eid").select("vector").limit(few)
+        picked[d] = unit(np.array([r.vector for r in own.collect()]))
+    return picked
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.98, depth: int = DEPTH, posted: int = POSTED, shared: int = SHARED, list_rows: int = LIST_ROWS, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """id, n_links, component_id and kept of each row: links are pairs of one label (and length) with cosine >= least.
 
     Rows without label or id, and vectors that are null, empty, zero or hold null or non-finite components, link with
-    nothing: n_links 0, the row's own id as component. Copies (repeated rows included) link with each other. Other
-    columns aren't read.
+    nothing: n_links 0, the row's own id as component. Copies (repeated rows included; by 128 bits of hashes) link with
+    each other. Other columns aren't read.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).alias("label"))
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector"), F.col(label_col).alias("label"))
     ok = usable("vector") & F.exists("vector", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    # -0.0 and 0.0 are equal to a grouping and to a cosine.
-    rows = materialise(rows.withColumn("vector", F.when(ok, F.transform("vector", lambda x: x + F.lit(0.0)))).withColumn("code", F.when(ok, F.xxhash64("vector"))))
-    entries = rows.where("code is not null").groupBy("label", "code", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    entries = materialise(entries)
+    # -0.0 and 0.0 are equal to a cosine, so their hashes must be.
+    plus = F.transform("vector", lambda x: (x + F.lit(0.0)).cast(kind[6:-1]))
+    rows = rows.withColumn("vector", F.when(ok, plus))
+    rows = materialise(rows.withColumns({"code": F.when(ok, F.xxhash64("vector")), "code2": F.when(ok, F.xxhash64(F.lit(1), "vector"))}))
+    entries = rows.where("code is not null").groupBy("label", "code", "code2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    entries = materialise(entries.withColumn("eid", F.monotonically_increasing_id()))
     out = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), (F.col("vec_id").isNotNull()).alias("kept"))
     n = entries.count()
     if n == 0:
         return out
-    count = min(max(64 * -(-int((n / 2) ** 0.5) // 64), LEAST_PIVOTS), MOST_PIVOTS)
-    # The index is fitted on at most MOST_PIVOTS vectors, those with the least hash; for each length of vectors alike.
-    sizes = [r.d for r in entries.select(F.size("vector").alias("d")).distinct().limit(1000).collect()]
-    picked = {d: unit(np.array([r.vector for r in entries.where(F.size("vector") == d).orderBy(F.xxhash64("code", "label"), "rep").select("vector").limit(count).collect()])) for d in sizes}
-    known = spark.sparkContext.broadcast(picked)
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each list of a vector."""
+    known = vectors.sparkSession.sparkContext.broadcast(pick_pivots(entries, n))
+
+    def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The permutation of each vector."""
         for batch in batches:
-            values, offsets = batch.column(3).flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(np.diff(batch.column(3).offsets.to_numpy()))))
+            column = batch.column(2)
+            values, offsets = column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(np.diff(column.offsets.to_numpy()))))
             width = np.diff(offsets)
             for d in np.unique(width):
                 at = np.flatnonzero(width == d)
-                matrix = values[offsets[at][:, None] + np.arange(d)]
-                top = describe(unit(matrix), known.value.get(int(d), matrix[:1]), depth)
-                if top.shape[1] == 1:  # a single pivot: one list
-                    top = np.concatenate([top, top + 1], axis=1)
-                sorted_ = np.sort(top, axis=1)
-                packed, shape = [r.tobytes() for r in matrix.astype(np.float64)], [r.tobytes() for r in sorted_]
+                top = describe(unit(values[offsets[at][:, None] + np.arange(d)]), known.value[int(d)], depth)
                 own = batch.take(pa.array(at))
-                for i, j in itertools.combinations(range(top.shape[1]), 2):
-                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array(np.full(len(at), d, np.int32)), pa.array(sorted_[:, i]), pa.array(sorted_[:, j]), pa.array(packed, pa.binary()), pa.array(shape, pa.binary())], ["rep", "label", "copies", "d", "p", "q", "vector", "pivots"])
-
-    kind = dict(entries.dtypes)["label"]
-    posted = entries.select("rep", "label", "copies", "vector").mapInArrow(post, f"rep long, label {kind}, copies long, d int, p int, q int, vector binary, pivots binary")
-    key = ["label", "d", "p", "q"]
-    lists = posted.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key, F.ceil(F.col("n") / list_rows).cast("int").alias("parts"))
-    tiles = posted.join(lists, key).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * top.shape[1], pa.int32()), pa.array(top.ravel(), pa.int32()))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(np.full(len(at), d, np.int32)), lists], ["eid", "label", "d", "pivots"])
+
+    of_label = dict(entries.dtypes)["label"]
+    shaped = materialise(entries.select("eid", "label", "vector").mapInArrow(shape, f"eid long, label {of_label}, d int, pivots array<int>"))
+    key = ["label", "d", "p"]
+    lists = shaped.select("eid", "label", "d", F.explode(F.slice("pivots", 1, posted)).alias("p"), "pivots")
+    sizes = lists.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key, F.ceil(F.col("n") / list_rows).cast("int").alias("parts"))
+    tiles = lists.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("eid"), F.col("parts")).cast("int"))
     tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("x", F.least("part", "other")).withColumn("y", F.greatest("part", "other"))
+    tiles = tiles.select("eid", *key, "part", "x", "y", "pivots")
+
+    def retrieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The rows of a tile that have a candidate in it."""
+        for _, t in by_key(batches, [*key, "x", "y"]):
+            some = np.zeros(len(t), bool)
+            for a, others, hit in tile_pairs(t, posted, shared) if len(t) > 1 else ():
+                some[a[hit.any(axis=1)]] = True
+                some[others[hit.any(axis=0)]] = True
+            if some.any():
+                yield t[some]
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, t in by_key(batches, [*key, "x", "y"]):
-            if len(t) > 1:
-                yield from tile_links(t, least)
-
-    found = materialise(tiles.repartition(*key, "x", "y").sortWithinPartitions(*key, "x", "y").mapInPandas(verify, "rep long, links long, other long"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = connected_components(found.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    named = entries.select("label", "code", "vector", "rep", "copies").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("label", "code", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("found_links"), F.coalesce("root", "rep").alias("root"))
-    out = rows.join(named, ["label", "code", "vector"], "left")
-    component = F.coalesce("root", "vec_id")
+            yield from tile_links(t, least, posted, shared)
+
+    dealt = lambda t: t.repartition(*key, "x", "y").sortWithinPartitions(*key, "x", "y")
+    near = materialise(dealt(tiles).mapInPandas(retrieve, f"eid long, label {of_label}, d int, p int, part int, x int, y int, pivots array<int>"))
+    full = near.join(entries.select("eid", "copies", "vector"), "eid")
+    found = materialise(dealt(full).mapInPandas(verify, "eid long, links long, other long"))
+    links = found.groupBy("eid").agg(F.sum("links").alias("links"))
+    roots = connected_components(found.where("eid <> other").select(F.col("eid").alias("a"), F.col("other").alias("b")))
+    named = entries.select("label", "code", "code2", "eid", "rep", "copies").join(links, "eid", "left").join(roots.withColumnRenamed("node", "eid"), "eid", "left")
+    named = materialise(named.select("label", "code", "code2", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("found_links"), F.coalesce("root", "eid").alias("root")))
+    named = named.join(named.groupBy("root").agg(F.min("rep").alias("component")), "root").drop("root", "rep")
+    out = rows.select("vec_id", "label", "code", "code2").join(named, ["label", "code", "code2"], "left")
+    component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("found_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
