@@ -25,9 +25,9 @@ from lociflow.llm.common import materialise, offsets
 CAPACITY = 2048
 END = 1
 #: Pricing rounds of the linear program, whatever the sizes; a plan says how far from the optimum it stopped.
-ROUNDS = 60
-#: Columns that a pricing round may bring in, and rounds after which the basis is inverted anew.
-COLUMNS, INVERT_EVERY = 40, 10
+ROUNDS = 100
+#: Columns that a pricing round may bring in, and how far products with the basis may be off before it is inverted anew.
+COLUMNS, DRIFT = 40, 1e-8
 #: Sizes that fill patterns among themselves at first.
 GROUP = 24
 #: Distance to a proven bound, as a share of the cost, at which the linear program counts as solved.
@@ -314,28 +314,39 @@ def cutting_stock(demand: dict[int, int], capacity: int = CAPACITY, rounds: int
         basis, inverse, x, cost, columns = np.eye(m), np.eye(m), d.copy(), cut.copy(), [None] * m
     plan.bound = float(sizes @ d) / capacity
 
-    def enter(column: np.ndarray, price: float, counts: np.ndarray | None) -> None:
-        way = inverse @ column
-        ok = way > 1e-9
-        if not ok.any():
-            return
-        ratio = np.full(m, np.inf)
-        ratio[ok] = np.maximum(x[ok], 0) / way[ok]
-        least = ratio.min()
-        leave = int(np.argmax(np.where(ratio <= least + 1e-12, way, -1)))
-        x[:] -= least * way
-        x[leave] = least
-        row = inverse[leave] / way[leave]
-        inverse[:] -= np.outer(way, row)
-        inverse[leave] = row
-        basis[:, leave], columns[leave], cost[leave] = column, counts, price
+    def enter(entering: np.ndarray, prices: np.ndarray, counts: list[np.ndarray | None]) -> None:
+        """Bring columns into the basis one after another, where they still pay; the inverse then takes all at once."""
+        first = inverse @ entering
+        ways, into = first.copy(), {}
+        for k in range(len(prices)):
+            way = ways[:, k].copy()
+            ok = way > 1e-9
+            if cost @ way <= prices[k] + 1e-9 or not ok.any():
+                continue
+            ratio = np.full(m, np.inf)
+            ratio[ok] = np.maximum(x[ok], 0) / way[ok]
+            least = ratio.min()
+            leave = int(np.argmax(np.where(ratio <= least + 1e-12, way, -1)))
+            x[:] -= least * way
+            x[leave] = least
+            row = ways[leave] / way[leave]
+            ways[:] -= np.outer(way, row)
+            ways[leave] = row
+            basis[:, leave], columns[leave], cost[leave], into[leave] = entering[:, k], counts[k], prices[k], k
+        if into:
+            places, which = np.array(list(into)), np.array(list(into.values()))
+            change = first[:, which]
+            rows = np.linalg.solve(change[places], inverse[places])
+            change[places, np.arange(len(places))] -= 1
+            inverse[:] -= change @ rows
 
     while plan.rounds < rounds:
         plan.rounds += 1
-        if plan.rounds % INVERT_EVERY == 0:
+        duals = cost @ inverse
+        if np.abs(duals @ basis - cost).max() > DRIFT or np.abs(basis @ x - d).max() > DRIFT * d.max():
             inverse[:] = np.linalg.inv(basis)
             x[:] = inverse @ d
-        duals = cost @ inverse
+            duals = cost @ inverse
         found = patterns_of(sizes, whole, duals, capacity)
         worth = found @ duals
         most = max(1.0, float(worth.max(initial=0)), float((duals / cut).max()))
@@ -346,16 +357,11 @@ def cutting_stock(demand: dict[int, int], capacity: int = CAPACITY, rounds: int
         over = np.flatnonzero(duals > cut + 1e-9)
         if not len(pays) and not len(over):
             break
-        for i in over[np.argsort(cut[over] - duals[over])][:COLUMNS]:
-            if cost @ inverse[:, i] > cut[i] + 1e-9:
-                enter(np.eye(1, m, i)[0], cut[i], None)
-        seen: set[bytes] = set()
-        for i in pays[np.argsort(-worth[pays], kind="stable")]:
-            if len(seen) >= COLUMNS:
-                break
-            if found[i].tobytes() not in seen and cost @ (inverse @ found[i]) > 1 + 1e-9:
-                seen.add(found[i].tobytes())
-                enter(found[i].astype(np.float64), 1.0, found[i])
+        over = over[np.argsort(cut[over] - duals[over])][:COLUMNS]
+        distinct = {found[i].tobytes(): i for i in pays[::-1]}
+        pays = np.array(sorted(distinct.values(), key=lambda i: -worth[i])[:COLUMNS], np.int64)
+        entering = np.concatenate([np.eye(m)[:, over], found[pays].T.astype(np.float64)], axis=1)
+        enter(entering, np.concatenate([cut[over], np.ones(len(pays))]), [None] * len(over) + [found[i] for i in pays])
     plan.cost = float(cost @ x)
     left = whole.copy()
     for column, n in zip(columns, x):
