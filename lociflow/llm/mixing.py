@@ -115,8 +115,10 @@ def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, most_shard
     total = placed.select("sid", "n").join(counts.groupBy("sid").agg(F.sum("drawn").alias("sum")), "sid", "left").withColumn("sum", F.coalesce("sum", none))
     total = total.withColumn("over", F.greatest(none, F.col("sum") - F.col("n"))).withColumn("under", F.greatest(none, F.col("n") - F.col("sum")))
     total = materialise(offsets(total, "sid", "over", "under"))
-    each = runs.join(total.select("sid", "n", "sum", "over_before"), "sid").withColumn("k", F.explode(F.sequence(none, F.col("drawn") - 1)))
-    each = each.select("out_shard", permuted(F.col("slot_before") + F.col("k"), F.col("width"), F.lit(-1), F.col("out_shard")).alias("out_slot"), "sid", "n", "over_before", permuted(F.col("before") + F.col("k"), F.col("sum"), F.lit(-2), F.col("sid")).alias("j"))
+    # few rows that make many: dealt to all tasks, and written, as both cases below read them
+    tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = runs.join(total.select("sid", "n", "sum", "over_before"), "sid").repartition(tasks, "out_shard", "sid").withColumn("k", F.explode(F.sequence(none, F.col("drawn") - 1)))
+    each = materialise(each.select("out_shard", permuted(F.col("slot_before") + F.col("k"), F.col("width"), F.lit(-1), F.col("out_shard")).alias("out_slot"), "sid", "n", "over_before", permuted(F.col("before") + F.col("k"), F.col("sum"), F.lit(-2), F.col("sid")).alias("j")))
     kept = each.where("j < n").select("out_shard", "out_slot", "sid", "j")
     spare = each.where("j >= n").select("out_shard", "out_slot", (F.col("j") - F.col("n") + F.col("over_before")).alias("spare"))
     open_ = total.where("under > 0").withColumn("k", F.explode(F.sequence(none, F.col("under") - 1))).select("sid", (F.col("sum") + F.col("k")).alias("j"), (F.col("under_before") + F.col("k")).alias("spare"))
