@@ -982,3 +982,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["flagship_gene_scan"] = flagship
 ORACLES["flagship_gene_scan"] = ORACLES["a31_t4_gene_sums"].replace("FROM g JOIN pheno ON g.iid = pheno.iid GROUP BY sid)", "FROM g JOIN pheno ON g.iid = pheno.iid WHERE sid IN (SELECT sid FROM (SELECT sid, avg(gt) / 2 AS af, count(gt) / count(*) AS cr FROM g GROUP BY sid) WHERE least(af, 1 - af) >= 0.01 AND cr >= 0.9) GROUP BY sid)")
+
+
+from lociflow.plans import source_catalog as _sources  # noqa: E402, F401  registers the queries of file formats
