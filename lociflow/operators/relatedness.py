@@ -10,47 +10,104 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Individuals of a tile of the matrix, and markers that a product takes at once.
-TILE, MARKERS = 512, 1024
+#: Individuals of a tile of the matrix, markers of a block, blocks that a task holds of a pair of tiles (8 MB each), and
+#: cells that it gathers at once.
+TILE, MARKERS, BLOCKS, CELLS = 512, 1024, 16, 1 << 21
 
 
-def pair_products(x: DataFrame, *by: str) -> DataFrame:
+def pair_products(x: DataFrame, *by: str, of: DataFrame | None = None) -> DataFrame:
     """(i, j, n, s) over rows x(iid, sid, x): markers that both have, and the sum of products, by tiles of the matrix.
-    With columns `by` of the markers, those of each of their values apart.
-
-    Values of a marker block and individual tile are gathered to dense rows; each pair of tiles meets by block, and a
-    matrix product gives the tile's sums. Missing values (null) count neither in n nor in s. The long self-join over
-    pairs of individuals would make n^2 m rows; here the shuffle holds each value once for each tile of individuals.
+    With columns `by` of the markers, those of each of their values apart. Missing values (null) count neither in n nor
+    in s.
+
+    Tasks gather their cells to packed runs for each marker block and individual tile, before any shuffle; the runs go to
+    each pair of tiles that theirs is in. A task adds up the matrix products of a pair's blocks and returns two arrays;
+    these are added by pair, and only then made rows. So the shuffles hold each value once for each tile of individuals
+    (12 bytes) and each entry once for every BLOCKS blocks (or more often, where pairs are fewer than the cores): no row
+    is made for a pair of individuals and a block. of: a table (iid, sid) that x comes from, from which the tiles are
+    told without x's own steps.
     """
-    cells = x.where("x is not null").select((F.col("sid") / MARKERS).cast("long").alias("b"), (F.col("iid") / TILE).cast("long").alias("t"), *by, "iid", "sid", F.col("x").cast("double").alias("x"))
-    packed = cells.groupBy("b", "t", *by).agg(F.collect_list(F.struct("iid", "sid", "x")).alias("cells"))
-    tiles = packed.select("t").distinct()
-    pairs = tiles.join(tiles.select(F.col("t").alias("u")), F.col("u") <= F.col("t"))
-    left = packed.join(pairs, "t").select("b", "t", "u", *by, F.lit(0).alias("side"), "cells")
-    right = packed.withColumnRenamed("t", "u").join(pairs.where("u < t"), "u").select("b", "t", "u", *by, F.lit(1).alias("side"), "cells")
-
-    def product(key: tuple, table: pa.Table) -> pa.Table:
-        b, t, u, *of = (k.as_py() for k in key)
-        sides = {}
-        for r in range(table.num_rows):
-            c = table["cells"][r].values
-            one, at = c.field("iid").to_numpy(), c.field("sid").to_numpy() - b * MARKERS
-            who, row = np.unique(one, return_inverse=True)
-            dense, have = np.zeros((len(who), MARKERS)), np.zeros((len(who), MARKERS), np.float32)
-            dense[row, at] = c.field("x").to_numpy()
-            have[row, at] = 1
-            sides[table["side"][r].as_py()] = (who, dense, have)
-        first, second = sides.get(0), sides.get(1, sides.get(0) if t == u else None)
-        if first is None or second is None:
-            return pa.table({**{c: pa.array([], table[c].type) for c in by}, "i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "s": pa.array([], pa.float64())})
-        s, n = first[1] @ second[1].T, first[2] @ second[2].T
-        i, j = np.broadcast_arrays(first[0][:, None], second[0][None, :])
-        lower = (j <= i) & (n > 0)
-        return pa.table({**{c: pa.array([v] * int(lower.sum()), table[c].type) for c, v in zip(by, of)}, "i": i[lower], "j": j[lower], "n": n[lower].astype(np.int64), "s": s[lower]})
-
+    tile = (F.col("iid") / TILE).cast("long")
+    cells = x.where("x is not null").select(F.col("iid").cast("long").alias("iid"), F.col("sid").cast("long").alias("sid"), F.col("x").cast("double").alias("x"), *by)
+    # one row for each tile, TILE times fewer than the individuals
+    known = (x if of is None else of).groupBy(tile.alias("t")).agg(F.max("sid").alias("m")).collect()
+    tiles = sorted(r.t for r in known)
+    if not tiles:
+        return x.sparkSession.createDataFrame([], "".join(f"{c} {x.schema[c].dataType.simpleString()}, " for c in by) + "i long, j long, n long, s double")
+    pairs = len(tiles) * (len(tiles) + 1) // 2
+    blocks = max(r.m for r in known) // MARKERS + 1
+    parts = max(-(-blocks // BLOCKS), min(blocks, -(-2 * x.sparkSession.sparkContext.defaultParallelism // pairs)))
     kinds = "".join(f"{c} {x.schema[c].dataType.simpleString()}, " for c in by)
-    blocks = left.unionByName(right).groupBy("b", "t", "u", *by).applyInArrow(product, kinds + "i long, j long, n long, s double")
-    return blocks.groupBy(*by, "i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+    def runs(table: pa.Table) -> pa.RecordBatch:
+        iid, sid, x = (table[c].to_numpy() for c in ("iid", "sid", "x"))
+        b, t = sid // MARKERS, iid // TILE
+        of, values = np.zeros(len(x), np.int64), [()]
+        if by:
+            coded = pd.MultiIndex.from_arrays([table[c].to_pylist() for c in by])
+            of, values = coded.factorize()
+        order = np.lexsort((t, b, of))
+        at = ((iid - t * TILE) * MARKERS + sid - b * MARKERS).astype(np.int32)[order]
+        b, t, of, x = b[order], t[order], of[order], x[order]
+        starts = np.flatnonzero(np.concatenate(([True], (b[1:] != b[:-1]) | (t[1:] != t[:-1]) | (of[1:] != of[:-1]))))
+        ends = [*starts[1:], len(x)]
+        named = [pa.array([values[k][i] for k in of[starts]], table[c].type) for i, c in enumerate(by)]
+        cut = lambda v: pa.array([v[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(b[starts]), pa.array(t[starts]), *named, cut(at), cut(x)], ["b", "t", *by, "at", "x"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= CELLS:
+                yield runs(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            yield runs(pa.Table.from_batches(held))
+
+    packed = cells.mapInArrow(pack, f"b long, t long, {kinds}at binary, x binary")
+    all_ = F.array(*[F.lit(t).cast("long") for t in tiles])
+    as_first = F.transform(F.filter(all_, lambda u: u <= F.col("t")), lambda u: F.struct(F.col("t").alias("t"), u.alias("u"), F.lit(0).alias("side")))
+    as_second = F.transform(F.filter(all_, lambda u: u > F.col("t")), lambda u: F.struct(u.alias("t"), F.col("t").alias("u"), F.lit(1).alias("side")))
+    sides = packed.select("b", *by, "at", "x", F.explode(F.concat(as_first, as_second)).alias("k")).select("b", (F.col("b") % parts).alias("part"), "k.t", "k.u", "k.side", *by, "at", "x")
+
+    def product(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, u = key[1].as_py(), key[2].as_py()
+        n, s = np.zeros((TILE, TILE)), np.zeros((TILE, TILE))
+        dense: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for b, side, at, x in zip(*(batch.column(c).to_pylist() for c in ("b", "side", "at", "x"))):
+                if (b, side) not in dense:
+                    dense[b, side] = np.full(TILE * MARKERS, np.nan)
+                dense[b, side][np.frombuffer(at, np.int32)] = np.frombuffer(x)
+        for b in {b for b, _ in dense}:
+            pair = [dense.get((b, side)) for side in ((0, 0) if t == u else (0, 1))]
+            if pair[0] is None or pair[1] is None:
+                continue
+            have = [~np.isnan(p) for p in pair]
+            value = [np.where(h, p, 0).reshape(TILE, MARKERS) for h, p in zip(have, pair)]
+            have = [h.reshape(TILE, MARKERS).astype(np.float32) for h in have]
+            s += value[0] @ value[1].T
+            n += have[0] @ have[1].T
+        n = n.astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([t]), pa.array([u]), *[pa.array([k.as_py()], k.type) for k in key[3:]], pa.array([n.tobytes()], pa.binary()), pa.array([s.tobytes()], pa.binary())], ["t", "u", *by, "n", "s"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, u = key[0].as_py(), key[1].as_py()
+        n, s = np.zeros((TILE, TILE), np.int64), np.zeros((TILE, TILE))
+        for batch in batches:
+            for a, b in zip(batch.column("n").to_pylist(), batch.column("s").to_pylist()):
+                n += np.frombuffer(a, np.int64).reshape(TILE, TILE)
+                s += np.frombuffer(b).reshape(TILE, TILE)
+        i, j = np.nonzero(n)
+        i, j, n, s = i + t * TILE, j + u * TILE, n[i, j], s[i, j]
+        lower = j <= i
+        of = [pa.array([k.as_py()] * int(lower.sum()), k.type) for k in key[2:]]
+        yield pa.RecordBatch.from_arrays([*of, pa.array(i[lower]), pa.array(j[lower]), pa.array(n[lower]), pa.array(s[lower])], [*by, "i", "j", "n", "s"])
+
+    sums = sides.groupBy("part", "t", "u", *by).applyInArrow(product, f"t long, u long, {kinds}n binary, s binary")
+    return sums.groupBy("t", "u", *by).applyInArrow(add, f"{kinds}i long, j long, n long, s double")
 
 
 def centred(g: DataFrame) -> DataFrame:
@@ -63,23 +120,23 @@ def grm(g: DataFrame, algorithm: int = 0) -> DataFrame:
     """Additive matrix: 0: mean of z_i z_j over shared markers; 1: sum of centred products over n * mean(2pq)."""
     c = centred(g)
     if algorithm == 0:
-        p = pair_products(c.select("iid", "sid", ((F.col("gt") - F.col("mu")) / F.sqrt("var")).alias("x")))
+        p = pair_products(c.select("iid", "sid", ((F.col("gt") - F.col("mu")) / F.sqrt("var")).alias("x")), of=g)
         return p.select("i", "j", "n", (F.col("s") / F.col("n")).alias("value"))
     mean = F.broadcast(c.groupBy("sid").agg(F.first("var").alias("v")).agg(F.avg("v").alias("mean_var")))
-    p = pair_products(c.select("iid", "sid", (F.col("gt") - F.col("mu")).alias("x")))
+    p = pair_products(c.select("iid", "sid", (F.col("gt") - F.col("mu")).alias("x")), of=g)
     return p.join(mean).select("i", "j", "n", (F.col("s") / F.col("n") / F.col("mean_var")).alias("value"))
 
 
 def grm_sums(g: DataFrame, snp: DataFrame) -> DataFrame:
     """(chr, i, j, n, s): what each chromosome adds to the number and the sum of the additive matrix."""
     x = centred(g).join(snp.select("sid", "chr"), "sid")
-    return pair_products(x.select("chr", "iid", "sid", ((F.col("gt") - F.col("mu")) / F.sqrt("var")).alias("x")), "chr")
+    return pair_products(x.select("chr", "iid", "sid", ((F.col("gt") - F.col("mu")) / F.sqrt("var")).alias("x")), "chr", of=g)
 
 
 def grm_dominance(g: DataFrame) -> DataFrame:
     mu = F.col("mu")
     code = F.when(F.col("gt") == 1, mu).when(F.col("gt") == 2, 2 * mu - 2).otherwise(0.0)
-    p = pair_products(centred(g).select("iid", "sid", ((code - mu * mu / 2) / F.col("var")).alias("x")))
+    p = pair_products(centred(g).select("iid", "sid", ((code - mu * mu / 2) / F.col("var")).alias("x")), of=g)
     return p.select("i", "j", "n", (F.col("s") / F.col("n")).alias("value"))
 
 
@@ -89,7 +146,7 @@ def grm_x(g: DataFrame, ind: DataFrame, dosage_compensation: int | None = None)
     more = {None: 1.0, 1: 2.0**0.5, 0: 0.5**0.5}[dosage_compensation]
     c = centred(g).join(ind.select("iid", "sex"), "iid")
     w = F.when(F.col("sex") == 1, F.lit(0.5**0.5 * more)).otherwise(1.0)
-    p = pair_products(c.select("iid", "sid", ((F.col("gt") - F.col("mu")) / F.sqrt("var") * w).alias("x")))
+    p = pair_products(c.select("iid", "sid", ((F.col("gt") - F.col("mu")) / F.sqrt("var") * w).alias("x")), of=g)
     return p.select("i", "j", "n", (F.col("s") / F.col("n")).alias("value"))
 
 

@@ -462,7 +462,7 @@ def a22_ancestral(f: Fixture) -> DataFrame:
     return rounded(d, *d.columns[2:])
 
 
-@query(f"SELECT sid, count(*) AS n, {R('covar_samp(gt, y) / var_samp(gt)', 'b')}, {R('corr(gt, y)', 'r')}, {R('corr(gt, y) * corr(gt, y)', 'r2')} FROM g JOIN pheno ON pheno.iid = g.iid WHERE gt IS NOT NULL GROUP BY sid HAVING count(*) > 2 AND var_samp(gt) > 0")
+@query(f"SELECT sid, count(*) AS n, {R('covar_samp(gt, y) / var_samp(gt)', 'b')}, {R('corr(gt, y)', 'r')}, {R('covar_samp(gt, y) * covar_samp(gt, y) / (var_samp(gt) * var_samp(y))', 'r2')} FROM g JOIN pheno ON pheno.iid = g.iid WHERE gt IS NOT NULL GROUP BY sid HAVING count(*) > 2 AND var_samp(gt) > 0")
 def a23_regression(f: Fixture) -> DataFrame:
     return rounded(stats.regression(f.g.join(f.pheno, "iid"), "gt", "y", "sid").select("sid", "n", "b", "r", "r2"), "b", "r", "r2")
 
@@ -617,7 +617,7 @@ def g3_mixed_scan_exact(f: Fixture) -> DataFrame:
 def g4_mixed_scan_approximate(f: Fixture) -> DataFrame:
     ids, a, y, x = _null(f)
     inverse = var.reml(y, x, [a]).inverse
-    d = assoc.mixed_scan(f.g, f.pheno, inverse, ids, gamma=assoc.gamma(f.g, f.pheno, inverse, ids, most_chi2=1e9))
+    d = assoc.mixed_scan(f.g, f.pheno, inverse, ids, gamma=assoc.gamma(f.g, f.pheno, inverse, ids))
     return rounded(d, *d.columns[1:])
 
 
@@ -933,11 +933,14 @@ def erm_query(algorithm: int):
 
 
 ERM = "p AS (SELECT vec_id AS iid, unnest(range(len(embedding))) AS probe, CAST(unnest(embedding) AS DOUBLE) AS val FROM embeddings), m AS (SELECT probe, avg(val) AS m, var_samp(val) AS v FROM p GROUP BY probe HAVING var_samp(val) > 1e-30)"
-for _k, _x, _d in ((1, "(val - m) / sqrt(v)", "count(*)"), (2, "val - m", "sum(x.v)")):
+#: One list of centred values for each vector; products of lists stand for the sums over probes.
+ERM_PAIRS = "q AS (SELECT x.iid AS i, y.iid AS j, CAST(len(x.e) AS BIGINT) AS n, list_inner_product(x.e, y.e) AS s, x.w, x.ss AS xs, y.ss AS ys FROM c x JOIN c y ON y.iid <= x.iid)"
+ERM_END = f"s AS (SELECT avg(value) AS s FROM r WHERE i = j) SELECT i, j, n, {R('value / s', 'value')} FROM r CROSS JOIN s"
+for _k, _x, _d in ((1, "(val - m) / sqrt(v)", "n"), (2, "val - m", "w")):
     QUERIES[f"a19_erm_{_k}"] = erm_query(_k)
-    ORACLES[f"a19_erm_{_k}"] = f"WITH {ERM}, c AS (SELECT iid, p.probe, {_x} AS x, v FROM p JOIN m ON m.probe = p.probe), q AS (SELECT x.iid AS i, y.iid AS j, count(*) AS n, sum(x.x * y.x) / {_d} AS value FROM c x JOIN c y ON x.probe = y.probe AND y.iid <= x.iid GROUP BY x.iid, y.iid), s AS (SELECT avg(value) AS s FROM q WHERE i = j) SELECT i, j, n, {R('value / s', 'value')} FROM q CROSS JOIN s"
+    ORACLES[f"a19_erm_{_k}"] = f"WITH {ERM}, c AS (SELECT iid, list({_x} ORDER BY p.probe) AS e, sum(v) AS w, 0.0 AS ss FROM p JOIN m ON m.probe = p.probe GROUP BY iid), {ERM_PAIRS}, r AS (SELECT i, j, n, s / {_d} AS value FROM q), {ERM_END}"
 QUERIES["a19_erm_3"] = erm_query(3)
-ORACLES["a19_erm_3"] = f"WITH {ERM}, c AS (SELECT iid, probe, val - avg(val) OVER (PARTITION BY iid) AS x FROM p), o AS (SELECT iid, sum(x * x) AS ss FROM c GROUP BY iid), q AS (SELECT x.iid AS i, y.iid AS j, count(*) AS n, sum(x.x * y.x) AS s FROM c x JOIN c y ON x.probe = y.probe AND y.iid <= x.iid GROUP BY x.iid, y.iid), r AS (SELECT i, j, n, s / sqrt(a.ss * b.ss) AS value FROM q JOIN o a ON a.iid = i JOIN o b ON b.iid = j), s AS (SELECT avg(value) AS s FROM r WHERE i = j) SELECT i, j, n, {R('value / s', 'value')} FROM r CROSS JOIN s"
+ORACLES["a19_erm_3"] = f"WITH {ERM}, o AS (SELECT iid, probe, val - avg(val) OVER (PARTITION BY iid) AS x FROM p), c AS (SELECT iid, list(x ORDER BY probe) AS e, 0.0 AS w, sum(x * x) AS ss FROM o GROUP BY iid), {ERM_PAIRS}, r AS (SELECT i, j, n, s / sqrt(xs * ys) AS value FROM q), {ERM_END}"
 
 
 def m19_probe_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
