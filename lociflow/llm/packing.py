@@ -210,7 +210,7 @@ class Knapsack:
 
     def fillings(self, capacities: np.ndarray) -> np.ndarray:
         """The counts of all sizes, a row for each capacity, which must have a finite best."""
-        counts = np.zeros((len(capacities), self.kinds), np.int64)
+        counts = np.zeros((len(capacities), self.kinds), np.int16)
         at = capacities.copy()
         for i, k, w, better in reversed(self.items):
             taken = (at >= w) & better[np.minimum(np.maximum(at - w, 0), len(better) - 1)]
@@ -224,7 +224,7 @@ def patterns_of(sizes: np.ndarray, most: np.ndarray, value: np.ndarray, capacity
     The first keeps to `most`; others may exceed it by the one that they begin with. No rows if nothing fills."""
     knapsack = Knapsack(sizes, most, value, capacity)
     if not np.isfinite(knapsack.best[capacity]):
-        return np.zeros((0, len(sizes)), np.int64)
+        return np.zeros((0, len(sizes)), np.int16)
     begins = np.flatnonzero((most > 0) & np.isfinite(knapsack.best[capacity - sizes]))[::-1]
     counts = knapsack.fillings(np.concatenate(([capacity], capacity - sizes[begins])))
     counts[np.arange(1, len(counts)), begins] += 1
@@ -234,7 +234,7 @@ def patterns_of(sizes: np.ndarray, most: np.ndarray, value: np.ndarray, capacity
 def best_pattern(sizes: np.ndarray, most: np.ndarray, value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The counts, at most `most` of each size, that fill the capacity exactly at the greatest value (-inf: none do)."""
     found = patterns_of(sizes, most, value, capacity)
-    return (float(found[0] @ value), found[0]) if len(found) else (-np.inf, np.zeros(len(sizes), np.int64))
+    return (float(found[0] @ value), found[0]) if len(found) else (-np.inf, np.zeros(len(sizes), np.int16))
 
 
 def fill(sizes: np.ndarray, left: np.ndarray, capacity: int, whole: bool) -> list[tuple[np.ndarray, float, int]]:
@@ -264,7 +264,7 @@ def fill(sizes: np.ndarray, left: np.ndarray, capacity: int, whole: bool) -> lis
     for s, i in at.items():
         j = at.get(capacity - s, -1)
         if j >= i:
-            counts = np.zeros(len(sizes), np.int64)
+            counts = np.zeros(len(sizes), np.int16)
             counts[i] += 1
             counts[j] += 1
             take(counts)
@@ -277,7 +277,7 @@ def fill(sizes: np.ndarray, left: np.ndarray, capacity: int, whole: bool) -> lis
             own = np.sort(open_[g::groups])
             while len(found := patterns_of(sizes[own], np.ceil(left[own] - 1e-9).astype(np.int64), sizes[own] * (1 + sizes[own] / capacity), capacity)):
                 for counts in found:
-                    spread = np.zeros(len(sizes), np.int64)
+                    spread = np.zeros(len(sizes), np.int16)
                     spread[own] = counts
                     take(spread)
                 own = own[left[own] > 1e-9]
@@ -360,8 +360,11 @@ def cutting_stock(demand: dict[int, int], capacity: int = CAPACITY, rounds: int
         over = over[np.argsort(cut[over] - duals[over])][:COLUMNS]
         distinct = {found[i].tobytes(): i for i in pays[::-1]}
         pays = np.array(sorted(distinct.values(), key=lambda i: -worth[i])[:COLUMNS], np.int64)
-        entering = np.concatenate([np.eye(m)[:, over], found[pays].T.astype(np.float64)], axis=1)
-        enter(entering, np.concatenate([cut[over], np.ones(len(pays))]), [None] * len(over) + [found[i] for i in pays])
+        entering = np.zeros((m, len(over) + len(pays)))
+        entering[over, np.arange(len(over))] = 1
+        entering[:, len(over) :] = found[pays].T
+        # copies, as a row would hold on to all of its round
+        enter(entering, np.concatenate([cut[over], np.ones(len(pays))]), [None] * len(over) + [found[i].copy() for i in pays])
     plan.cost = float(cost @ x)
     left = whole.copy()
     for column, n in zip(columns, x):
