@@ -31,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back with its own schema."""
     path = f"{shared_folder(df.sparkSession)}/lociflow/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
