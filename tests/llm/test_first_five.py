@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lociflow.llm import embedding_dedup, quality_qda, simhash_dedup, token_counts, topk_search
 from lociflow.llm.queries import vocabulary
@@ -169,3 +170,31 @@ def test_quality(spark, docs, odd, sf_dir):
     kept = quality_qda.keep_good(many, labels)
     assert kept.columns == many.columns and kept.count() == sum(r.predicted for r in out.values())
     assert quality_qda.keep_good(odd, labels).columns == odd.columns
+
+
+def test_quality_by_plain_formulas(spark, odd, sf_dir):
+    """Scores again from the statistics: class covariances shrunken, densities by determinant and solve."""
+    big = sf_dir.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    extra = odd.select("doc_id", "text", "lang", "source", "n_chars").withColumn("score", F.lit("a")).withColumn("x", F.lit("b"))
+    frame = docs.withColumn("score", F.lit("a")).withColumn("x", F.lit("b")).unionByName(extra.withColumn("doc_id", -F.col("doc_id")))
+    rows = [(r.doc_id, np.array(quality_qda.statistics(r.text))) for r in frame.collect()]
+    known = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    seen = [(known[i], x) for i, x in rows if i in known and known[i] in (0, 1)]
+    y, x = np.array([a for a, _ in seen]), np.stack([b for _, b in seen])
+    centre, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale < 1e-5] = 1
+    z = (x - centre) / scale
+    covs = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
+    pooled = sum(c * (y == k).sum() for k, c in enumerate(covs)) / len(y)
+    density = []
+    for k in (0, 1):
+        c = (1 - quality_qda.SHRINK_POOLED) * covs[k] + quality_qda.SHRINK_POOLED * pooled
+        c = (1 - quality_qda.SHRINK_IDENTITY) * c + quality_qda.SHRINK_IDENTITY * np.trace(c) / len(c) * np.eye(len(c))
+        d = np.clip((np.stack([v for _, v in rows]) - centre) / scale, -8, 8) - z[y == k].mean(axis=0)
+        density.append(np.log(((y == k).sum() + 1) / (len(y) + 2)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * (d * np.linalg.solve(c, d.T).T).sum(axis=1))
+    want = 1 / (1 + np.exp(-np.clip(density[1] - density[0], -500, 500)))
+    got = quality_qda.score_documents(frame, labels).collect()
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == sorted((str(i), round(float(s), 6)) for (i, _), s in zip(rows, want))
+    kept = quality_qda.keep_good(frame, labels)
+    assert kept.columns == frame.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.predicted)

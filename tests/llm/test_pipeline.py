@@ -54,7 +54,21 @@ def test_odd_rows(spark, sf_dir, tmp_path):
     for name in ("labels",):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
     spark.createDataFrame(ODD, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
-    pipeline.run(spark, str(tmp_path)).collect()
+    pieces = pipeline.run(spark, str(tmp_path)).collect()
+    docs = spark.createDataFrame(ODD, DOCS)
+    good = {r.doc_id for r in quality_qda.score_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).collect() if r.predicted}
+    texts = {r[0]: r[1] for r in ODD}
+    prints = {i: plain_simhash(texts[i]) for i in good if i is not None}
+    first = {i for i in prints if not any(j < i and (prints[i] ^ prints[j]).bit_count() <= 4 for j in prints)}
+    # what the mix may take: rows with words, of the documents that stayed (all such without doc_id)
+    stayed = {i for i in first | (good & {None}) if WORD.search(texts[i] or "")}
+    assert {r.doc_id for r in pieces} <= stayed and (pieces or not stayed)
+    spans = defaultdict(list)
+    for r in pieces:
+        assert 0 < r.length <= 2048 and r.offset + r.length <= 2048
+        spans[r.sequence_id].append((r.offset, r.length))
+    for s in spans.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(s), sorted(s)[1:])) and min(s)[0] == 0
     empty = tmp_path / "empty"
     spark.read.parquet(f"{sf_dir}/labels.parquet").limit(0).write.parquet(str(empty / "labels.parquet"))
     spark.createDataFrame([], DOCS).write.parquet(str(empty / "documents.parquet"))
