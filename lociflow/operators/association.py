@@ -251,30 +251,54 @@ def spa_p(score: float, gt: np.ndarray, mu: np.ndarray, ratio: float = 1.0) -> t
     return min(total, 1.0), True
 
 
-def score_scan(g: DataFrame, model: Logistic, cutoff: float = 2.0) -> DataFrame:
+def binary_gamma(g: DataFrame, model: Logistic, p: np.ndarray, batch: int = 100, most_cv: float = 0.1, most: int = 2000, seed: int = 1) -> float:
+    """How much wider a score's law is under a mixed model with projection p than by the weights alone: the mean of
+    x'Px / x'Wx over null markers, taken by batches until the mean's coefficient of variation is under most_cv.
+
+    A batch is gathered on the driver: `batch` markers of the individuals that the dense p has."""
+    d, w = model.x, model.mu * (1 - model.mu)
+    inner = np.linalg.pinv((d * w[:, None]).T @ d)
+    sids = [r.sid for r in null_markers(g, most, seed).collect()]
+    found: list[float] = []
+    for at in range(0, len(sids), batch):
+        rows = g.where(F.col("sid").isin(sids[at : at + batch])).select("sid", "iid", F.col("gt").cast("double").alias("gt")).toPandas()
+        x = rows.pivot(index="sid", columns="iid", values="gt").reindex(columns=model.ids).to_numpy(float)
+        x = np.where(np.isnan(x), np.nanmean(x, axis=1, keepdims=True), x)
+        x = x - (x * w) @ d @ inner @ d.T
+        plain = (x * x) @ w
+        some = plain > 1e-12
+        found += (((x @ p) * x).sum(axis=1)[some] / plain[some]).tolist()
+        if len(found) > 1 and np.std(found, ddof=1) / abs(np.mean(found)) / math.sqrt(len(found)) < most_cv:
+            break
+    if not found:
+        raise ValueError("no marker varies")
+    return float(np.mean(found))
+
+
+def score_scan(g: DataFrame, model: Logistic, cutoff: float = 2.0, ratio: float = 1.0) -> DataFrame:
     """Score tests of a binary trait: t, se_t, p_nospa, and beyond `cutoff` standard deviations the saddle-point p; a p
-    over 1,000 times smaller or greater than the normal one is not trusted (converge 0)."""
+    over 1,000 times smaller or greater than the normal one is not trusted (converge 0). ratio: of the score's variance
+    under a mixed model to that of the weights, as binary_gamma() gives it. Only markers beyond the cutoff are looped."""
     known = g.sparkSession.sparkContext.broadcast((model.y, model.mu, model.x))
 
     def test(sids: np.ndarray, x: np.ndarray) -> pd.DataFrame:
         y, mu, d = known.value
         w = mu * (1 - mu)
         inner = np.linalg.pinv((d * w[:, None]).T @ d)
-        rows = []
-        for sid, gt in zip(sids, x):
-            gt = np.where(np.isnan(gt), np.nanmean(gt), gt)
-            gt = gt - d @ (inner @ (d.T @ (w * gt)))
-            t, sd = float(gt @ (y - mu)), float(math.sqrt(max(gt * gt @ w, 0)))
-            p0 = chi2_tail((t / sd) ** 2) if sd > 1e-12 else math.nan
-            p, ok = p0, True
-            if sd > 1e-12 and abs(t) / sd >= cutoff:
-                p, ok = spa_p(t, gt, mu)
-                if not ok or not p or p0 / p > 1000 or p / p0 > 1000:
-                    p, ok = p0, False
-            b = t / sd**2 if sd > 1e-12 else math.nan
-            z = abs(t / sd) if sd > 1e-12 else math.nan
-            rows.append((int(sid), t, sd, p0, b, abs(b) / z if z else math.nan, p, int(ok)))
-        return pd.DataFrame(rows, columns=["sid", "t", "se_t", "p_nospa", "b", "se", "p", "converge"])
+        x = np.where(np.isnan(x), np.nanmean(x, axis=1, keepdims=True), x)
+        x = x - (x * w) @ d @ inner @ d.T
+        t, sd = x @ (y - mu), np.sqrt(np.maximum((x * x) @ w, 0) * ratio)
+        some = sd > 1e-12
+        z = np.divide(t, sd, out=np.full(len(t), np.nan), where=some)
+        b = np.divide(t, sd * sd, out=np.full(len(t), np.nan), where=some)
+        p0 = np.array([chi2_tail(v * v) for v in z])
+        p, ok = p0.copy(), np.ones(len(t), int)
+        for k in np.flatnonzero(some & (np.abs(z) >= cutoff)):
+            p[k], settled = spa_p(t[k], x[k], mu, ratio)
+            if not settled or not p[k] or p0[k] / p[k] > 1000 or p[k] / p0[k] > 1000:
+                p[k], ok[k] = p0[k], 0
+        se = np.divide(np.abs(b), np.abs(z), out=np.full(len(t), np.nan), where=some & (z != 0))
+        return pd.DataFrame({"sid": sids, "t": t, "se_t": sd, "p_nospa": p0, "b": b, "se": se, "p": p, "converge": ok})
 
     kept = g.join(F.broadcast(g.sparkSession.createDataFrame([(int(i),) for i in model.ids], "iid long")), "iid")
     snp = kept.select("sid").distinct().select("sid", F.lit(0).alias("chr"), F.lit(0).alias("bp"))

@@ -67,7 +67,9 @@ def gene_tests(stats: DataFrame, genes: DataFrame, ld: DataFrame, most_r2: float
 
     Markers are pruned at most_r2 first. p_sum: the sum of chi-squares against the mixture by the eigenvalues of their
     correlations. p_mbat: z'U diag(1/lambda) U'z over the leading eigenvalues that hold `share` of the sum; both are joined
-    by Cauchy weights. stats: (sid, z). A gene over most_snps keeps its sum alone."""
+    by Cauchy weights. stats: (sid, z). A gene over most_snps isn't pruned and takes no dense matrix: its p_sum matches
+    the mixture's mean and variance, which the pairs give (the sum of eigenvalues is the number of markers, that of their
+    squares the sum of r2), and p_combined is p_sum."""
     own = genes.join(stats.select("sid", "z"), "sid").groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("sid", "z"))).alias("zs"))
     pairs = ld.groupBy("gene").agg(F.collect_list(F.struct("sid1", "sid2", "r")).alias("ld"))
 
@@ -80,7 +82,9 @@ def gene_tests(stats: DataFrame, genes: DataFrame, ld: DataFrame, most_r2: float
                 m = len(sid)
                 chi = float((z * z).sum())
                 if m > most_snps:
-                    rows.append((gene, m, chi, np.nan, np.nan, np.nan))
+                    scale = (m + 2 * sum(v["r"] ** 2 for v in near if v["sid1"] < v["sid2"])) / m if near is not None else 1.0
+                    p_sum = chi2_tail(chi / scale, m / scale)
+                    rows.append((gene, m, chi, p_sum, np.nan, p_sum))
                     continue
                 r = np.eye(m)
                 for v in near if near is not None else ():

@@ -40,11 +40,12 @@ class Reml:
         return share[:-1], np.array(out)
 
 
-def reml(y: np.ndarray, x: np.ndarray, matrices: list[np.ndarray], start: np.ndarray | None = None, fixed: bool = False, constrain: bool = True, rounds: int = 100, algorithm: str = "ai") -> Reml:
+def reml(y: np.ndarray, x: np.ndarray, matrices: list[np.ndarray], start: np.ndarray | None = None, fixed: bool = False, constrain: bool = True, rounds: int = 100, algorithm: str = "ai", weights: np.ndarray | None = None) -> Reml:
     """Restricted maximum likelihood of V = sum theta_k A_k + theta_e I: one expectation step, then average-information
     (or `fisher`, `em`) steps, shortened while the likelihood jumps; a negative component is set to 1e-6 of the phenotypic
-    variance and its deficit spread over the others. fixed: evaluate at start alone."""
-    n, a = len(y), [*matrices, np.eye(len(y))]
+    variance and its deficit spread over the others. fixed: evaluate at start alone. weights: of the individuals'
+    residual variances, one for each, in place of I."""
+    n, a = len(y), [*matrices, np.eye(len(y)) if weights is None else np.diag(np.asarray(weights, float))]
     k = len(a)
     vp = float(np.var(y - x @ np.linalg.lstsq(x, y, rcond=None)[0], ddof=1))
     theta = np.full(k, vp / k) if start is None else np.array(start, float)

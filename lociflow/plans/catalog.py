@@ -987,4 +987,82 @@ QUERIES["flagship_gene_scan"] = flagship
 ORACLES["flagship_gene_scan"] = ORACLES["a31_t4_gene_sums"].replace("FROM g JOIN pheno ON g.iid = pheno.iid GROUP BY sid)", "FROM g JOIN pheno ON g.iid = pheno.iid WHERE sid IN (SELECT sid FROM (SELECT sid, avg(gt) / 2 AS af, count(gt) / count(*) AS cr FROM g GROUP BY sid) WHERE least(af, 1 - af) >= 0.01 AND cr >= 0.9) GROUP BY sid)")
 
 
+
+@query("SELECT sid, chr, bp FROM snp WHERE name <> 'rs77'")
+def f4_without_marker(f: Fixture) -> DataFrame:
+    return mk.remove(f.snp, f.snp.where("name = 'rs77'"), "name").select("sid", "chr", "bp")
+
+
+@query(f"""{GENES}, mem AS (SELECT name AS gene, sid FROM genes JOIN (SELECT sid, chr AS c, bp FROM snp) ON c = chr AND bp BETWEEN lo AND hi), f AS (SELECT sid, avg(gt) / 2 AS af FROM g GROUP BY sid),
+x AS (SELECT gene, iid, least(af, 1 - af) AS maf, CASE WHEN af > 0.5 THEN 2 - coalesce(gt, 2 * af) ELSE coalesce(gt, 2 * af) END AS m FROM g JOIN f ON f.sid = g.sid JOIN mem ON mem.sid = g.sid WHERE least(af, 1 - af) > 0),
+b AS (SELECT gene, iid, sum(25 * pow(1 - maf, 24) * m) AS score FROM x GROUP BY gene, iid)
+SELECT gene, count(*) AS n, {R('covar_samp(score, y) / var_samp(score)', 'b')}, {R('covar_samp(score, y) * covar_samp(score, y) / (var_samp(score) * var_samp(y))', 'r2')} FROM b JOIN pheno ON pheno.iid = b.iid GROUP BY gene HAVING count(*) > 2 AND var_samp(score) > 0""")
+def g15_burden_test(f: Fixture) -> DataFrame:
+    """The regression of the trait on each gene's collapsed score."""
+    score = assoc.burden(f.g, ss.members(f.snp, f.genes, 0))
+    return rounded(stats.regression(score.join(f.pheno, "iid"), "score", "y", "gene").select("gene", "n", "b", "r2"), "b", "r2")
+
+
+@query()
+def g13_g14_binary_mixed_scan(f: Fixture) -> DataFrame:
+    """Score tests of a binary trait with the mixed model's fitted means and its gamma."""
+    ids, a, _, x = _null(f)
+    y = _binary(f).orderBy("iid").toPandas().set_index("iid").reindex(ids)["y"].to_numpy()
+    m = var.fit_binary_mixed(y, x, a)
+    null = assoc.Logistic(ids, y, m.mu, x)
+    d = assoc.score_scan(f.g, null, ratio=assoc.binary_gamma(f.g, null, m.p))
+    return rounded(d, "t", "se_t", "p_nospa", "b", "se", "p")
+
+
+@query()
+def g19_subtracted_scan(f: Fixture) -> DataFrame:
+    """The markers of the first chromosome against the whole matrix without that of this chromosome."""
+    first = mk.keep(f.g, f.snp.where("chr = 1"), "sid")
+    ids, a = rel.dense(rel.subtract(rel.grm(f.g), rel.grm(first)))
+    y = f.pheno.orderBy("iid").toPandas().set_index("iid").reindex(ids)["y"].to_numpy()
+    d = assoc.mixed_scan(first, f.pheno, var.reml(y, _null(f)[3], [a]).inverse, ids)
+    return rounded(d, *d.columns[1:])
+
+
+@query()
+def v12_weighted_reml(f: Fixture) -> DataFrame:
+    """Variance components where residual variances differ: weights 1, 2 and 3 by the individuals' numbers."""
+    ids, a, y, x = _null(f)
+    m = var.reml(y, x, [a], weights=1 + ids % 3)
+    return rounded(f.ind.sparkSession.createDataFrame([(float(m.theta[0]), float(m.theta[1]), float(m.logl))], "vg double, ve double, logl double"), "vg", "ve", "logl")
+
+
+def _set_ld(f: Fixture, sets: DataFrame) -> DataFrame:
+    """(gene, sid1, sid2, r) of all pairs of a set's markers; pairs of other chromosomes count as uncorrelated."""
+    pairs = ld.window_pairs(f.g, f.snp, 10_000_000, "cosine")
+    one = sets.select("gene", F.col("sid").alias("sid1"))
+    return pairs.join(one, "sid1").join(sets.select("gene", F.col("sid").alias("sid2")), ["gene", "sid2"]).select("gene", "sid1", "sid2", "r")
+
+
+@query()
+def m7_set_tests(f: Fixture) -> DataFrame:
+    """Tests of marker sets, here every ninth block of markers."""
+    sets = f.snp.select(F.concat(F.lit("set"), F.col("blk") % 9).alias("gene"), "sid")
+    d = ss.gene_tests(_scan(f).select("sid", (F.col("b") / F.col("se")).alias("z")), sets, _set_ld(f, sets))
+    return rounded(d, "chi2", "p_sum", "p_mbat", "p_combined")
+
+
+@query()
+def m7_segment_tests(f: Fixture) -> DataFrame:
+    """Tests of the 100 kb segments of all chromosomes."""
+    sets = f.snp.select(F.concat_ws("_", "chr", F.floor((F.col("bp") - 1000) / 100_000)).alias("gene"), "sid")
+    d = ss.gene_tests(_scan(f).select("sid", (F.col("b") / F.col("se")).alias("z")), sets, _set_ld(f, sets))
+    return rounded(d, "chi2", "p_sum", "p_mbat", "p_combined")
+
+
+@query("SELECT iid, CAST(sid - 1 AS INT) AS place, CAST(gt AS DOUBLE) AS gt FROM g")
+def sk6_genotype_matrix(f: Fixture) -> DataFrame:
+    from lociflow.plans.storage import place
+    from lociflow.sources import text as files
+
+    path = place(f.ind.sparkSession)
+    files.write_genotype_matrix(f.g, path)
+    return files.read_genotype_matrix(f.ind.sparkSession, path)
+
+
 from lociflow.plans import source_catalog as _sources  # noqa: E402, F401  registers the queries of file formats

@@ -3,12 +3,14 @@ file holds. Files go to the shared folder."""
 
 from __future__ import annotations
 
-import numpy as np
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.operators import relatedness as rel
-from lociflow.plans.catalog import FREQ, GRM, SCAN, R, _sumstat, query, r6, rounded
+from lociflow.plans.catalog import GRM, SCAN, R, query, rounded
 from lociflow.plans.fixture import Fixture
 from lociflow.plans.storage import place
 from lociflow.sources import binary, text
@@ -30,6 +32,13 @@ def written(f: Fixture, rows: DataFrame, *fields: str | Column, order: str | Non
     return path
 
 
+def local_place(f: Fixture) -> str:
+    """A path for the binary formats, whose readers open files themselves."""
+    path = place(spark_of(f))
+    os.makedirs(os.path.dirname(path := re.sub("^file:(//)?", "", path)), exist_ok=True)
+    return path
+
+
 def spark_of(f: Fixture) -> SparkSession:
     return f.ind.sparkSession
 
@@ -102,13 +111,22 @@ def sc8_many_files(f: Fixture) -> DataFrame:
 def sc9_bed(f: Fixture) -> DataFrame:
     from lociflow.operators.linkage import packed
 
-    path = place(spark_of(f)).removeprefix("file://") + ".bed"
+    path = local_place(f) + ".bed"
     binary.write_bed(packed(f.g, f.snp), path)
     ids = [r.iid for r in f.ind.select("iid").orderBy("iid").collect()]
     back = binary.read_bed(spark_of(f), path, len(ids), f.snp.count())
     return back.select((F.col("iid") + 1).alias("iid"), (F.col("sid") + 1).alias("sid"), "gt")
 
 
+@query("SELECT iid, sid, CAST(gt AS DOUBLE) AS gt FROM g")
+def sc12_pgen(f: Fixture) -> DataFrame:
+    from lociflow.operators.linkage import packed
+
+    path = local_place(f) + ".pgen"
+    binary.write_pgen(packed(f.g, f.snp), path, f.ind.count())
+    return binary.read_pgen(spark_of(f), path).select((F.col("iid") + 1).alias("iid"), (F.col("sid") + 1).alias("sid"), "gt")
+
+
 @query(f"{GRM} SELECT i - 1 AS i, j - 1 AS j, CAST(n AS DOUBLE) AS n, round(value, 4) + 0.0 AS value FROM grm")
 def sc16_grm_text(f: Fixture) -> DataFrame:
     a = text.read_grm_text(spark_of(f), written(f, rel.grm(f.g), "i", "j", "n", "value"))
@@ -117,7 +135,7 @@ def sc16_grm_text(f: Fixture) -> DataFrame:
 
 @query(f"{GRM} SELECT i - 1 AS i, j - 1 AS j, CAST(n AS DOUBLE) AS n, round(value, 4) + 0.0 AS value FROM grm")
 def sc16_grm_binary(f: Fixture) -> DataFrame:
-    path = place(spark_of(f)).removeprefix("file://")
+    path = local_place(f)
     binary.write_grm(rel.grm(f.g), [], path)
     return binary.read_grm(spark_of(f), path, f.ind.count()).withColumn("value", F.round("value", 4) + F.lit(0.0))
 

@@ -44,6 +44,9 @@ class BedSource(DataSource):
 
 
 class BedReader(DataSourceReader):
+    calls = CALLS
+    head = 3
+
     def __init__(self, path: str, individuals: int, markers: int, rows: int):
         self.path, self.n, self.m, self.rows = path, individuals, markers, rows
         self.width = (individuals + 3) // 4
@@ -59,10 +62,10 @@ class BedReader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         k = partition.end - partition.start
         with open(self.path, "rb") as f:
-            f.seek(3 + partition.start * self.width)
+            f.seek(self.head + partition.start * self.width)
             raw = np.frombuffer(f.read(k * self.width), np.uint8).reshape(k, self.width)
         codes = (raw[:, :, None] >> np.array([0, 2, 4, 6], np.uint8) & 3).reshape(k, -1)[:, : self.n]
-        gt = CALLS[codes].ravel()
+        gt = self.calls[codes].ravel()
         iid = np.tile(np.arange(self.n), k)
         sid = np.repeat(np.arange(partition.start, partition.end), self.n)
         yield pa.RecordBatch.from_arrays([pa.array(iid), pa.array(sid), pa.array(gt, mask=np.isnan(gt))], ["iid", "sid", "gt"])
@@ -76,8 +79,12 @@ def read_bed(spark: SparkSession, path: str, individuals: int, markers: int, row
 def pack_calls(gt: np.ndarray) -> bytes:
     """Rows of counts (nan missing), one marker each, as two-bit calls."""
     code = np.where(np.isnan(gt), 1, np.where(gt == 2, 0, np.where(gt == 1, 2, 3))).astype(np.uint8)
-    pad = -code.shape[1] % 4
-    code = np.pad(code, ((0, 0), (0, pad))).reshape(len(code), -1, 4)
+    return _two_bits(code)
+
+
+def _two_bits(code: np.ndarray) -> bytes:
+    """Rows of codes 0 to 3, four to a byte, the first lowest; a row's last byte is filled with zeros."""
+    code = np.pad(code, ((0, 0), (0, -code.shape[1] % 4))).reshape(len(code), -1, 4)
     return (code[:, :, 0] | code[:, :, 1] << 2 | code[:, :, 2] << 4 | code[:, :, 3] << 6).astype(np.uint8).tobytes()
 
 
@@ -96,6 +103,58 @@ def write_bed(packed: DataFrame, path: str) -> None:
             f.write(bytes(r.raw))
 
 
+class PgenSource(BedSource):
+    """format("lociflow_pgen"): option path; rows (iid, sid, gt) of a file of fixed-width hard calls (storage mode 2)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "lociflow_pgen"
+
+    def reader(self, schema) -> DataSourceReader:
+        return PgenReader(self.options["path"], int(self.options.get("rows", 1024)))
+
+
+class PgenReader(BedReader):
+    """Calls count the alternative allele; 3 is missing. The header names the numbers of markers and individuals."""
+
+    calls = np.array([0.0, 1.0, 2.0, np.nan])
+    head = 12
+
+    def __init__(self, path: str, rows: int):
+        with open(path, "rb") as f:
+            magic, mode, self.m, self.n, _ = struct.unpack("<2sBIIB", f.read(self.head).ljust(self.head, b"\0"))
+        if magic != MAGIC[:2]:
+            raise ValueError(f"{path} is no PGEN file")
+        if mode != 2:
+            raise ValueError("only fixed-width hard calls (storage mode 2) are read")
+        self.path, self.rows, self.width = path, rows, (self.n + 3) // 4
+        if os.path.getsize(path) != self.head + self.width * self.m:
+            raise ValueError(f"{path} doesn't hold {self.m} markers of {self.n} individuals")
+
+
+def read_pgen(spark: SparkSession, path: str, rows: int = 1024) -> DataFrame:
+    spark.dataSource.register(PgenSource)
+    return spark.read.format("lociflow_pgen").options(path=path, rows=rows).load()
+
+
+def write_pgen(packed: DataFrame, path: str, individuals: int) -> None:
+    """Write markers (sid, x: counts by individual, nan missing), in order of sid, as fixed-width hard calls."""
+    import pandas as pd
+
+    turn = np.array([0, 1, 2, 3], np.uint8)  # counts 0, 1, 2 and missing
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            codes = [turn[np.nan_to_num(np.asarray(v, float), nan=3).astype(int)] for v in b["x"]]
+            yield pd.DataFrame({"sid": b["sid"], "raw": [_two_bits(c[None, :]) for c in codes]})
+
+    count = packed.count()
+    with open(path, "wb") as f:
+        f.write(struct.pack("<2sBIIB", MAGIC[:2], 2, count, individuals, 0x40))
+        for r in packed.select("sid", "x").mapInPandas(pack, "sid long, raw binary").orderBy("sid").toLocalIterator():
+            f.write(bytes(r.raw))
+
+
 class GrmSource(DataSource):
     """format("lociflow_grm"): options prefix, individuals; rows (i, j, n, value) of PREFIX.grm.bin and .grm.N.bin."""
 

@@ -204,3 +204,30 @@ def read_genetic_map(spark: SparkSession, path: str, chr_: int) -> DataFrame:
 def write_text(df: DataFrame, path: str, header: bool = True) -> None:
     """Tab-separated text, missing values as NA."""
     df.write.mode("overwrite").option("sep", "\t").option("header", header).option("nullValue", "NA").csv(path)
+
+
+def write_genotype_matrix(g: DataFrame, path: str) -> None:
+    """A line for each individual: iid, then its calls by sid, NA where missing. g: (iid, sid, gt), all pairs."""
+    calls = F.array_sort(F.collect_list(F.struct("sid", F.coalesce(F.col("gt").cast("string"), F.lit("NA")).alias("v"))))
+    rows = g.groupBy("iid").agg(calls.alias("calls"))
+    rows.select(F.concat_ws(" ", F.col("iid").cast("string"), F.array_join(F.transform("calls", lambda c: c["v"]), " "))).write.mode("overwrite").text(path)
+
+
+def read_genotype_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(iid, place from 0, gt) of such a matrix."""
+    return lines(spark, path).select(_field(0).cast("long").alias("iid"), F.posexplode(F.slice("t", 2, 100_000_000)).alias("place", "v")).select("iid", "place", number(F.col("v")).alias("gt"))
+
+
+def write_model(spark: SparkSession, path: str, **parts) -> None:
+    """A fitted model's arrays and numbers, by name, as one Parquet table (name, shape, values)."""
+    import numpy as np
+
+    rows = [(k, list(np.shape(v)), [float(x) for x in np.ravel(v)]) for k, v in parts.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, values array<double>").write.mode("overwrite").parquet(path)
+
+
+def read_model(spark: SparkSession, path: str) -> dict:
+    """The arrays (numbers: arrays without dimension) that write_model() wrote."""
+    import numpy as np
+
+    return {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}

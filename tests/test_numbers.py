@@ -153,3 +153,22 @@ def test_rank_contrasts():
 
     q = rank_contrasts(5)
     assert q.T @ q == pytest.approx(np.eye(4), abs=1e-12) and q.sum(axis=0) == pytest.approx(np.zeros(4), abs=1e-12)
+
+
+def test_weighted_residuals_are_a_rescaled_model():
+    rng = np.random.default_rng(8)
+    z = rng.normal(size=(150, 60))
+    a, w = z @ z.T / 60, rng.uniform(0.5, 3, 150)
+    y, x = z @ rng.normal(size=60) / 4 + np.sqrt(w) * rng.normal(size=150), np.ones((150, 1))
+    s = 1 / np.sqrt(w)
+    one, two = variance.reml(y, x, [a], weights=w), variance.reml(s * y, s[:, None] * x, [a * np.outer(s, s)])
+    assert one.theta.min() > 0.1 and np.allclose(one.theta, two.theta, rtol=1e-3)
+
+
+def test_models_are_kept(spark, tmp_path):
+    from lociflow.sources import text
+
+    parts = {"theta": np.array([0.5, 1.5]), "inverse": np.arange(6.0).reshape(2, 3), "logl": -3.25}
+    text.write_model(spark, str(tmp_path / "m"), **parts)
+    back = text.read_model(spark, str(tmp_path / "m"))
+    assert back.keys() == parts.keys() and all(np.array_equal(back[k], parts[k]) for k in parts)
