@@ -171,7 +171,8 @@ def mix_counts(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: i
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = REPEATS, block: int = BLOCK) -> DataFrame:
     """The mixed documents, with the columns of docs: a row for each pass that takes a document, with the text's words
     that it takes (the whole text where all are) and n_chars, if there is one, of that text. A row belongs to the output
-    shard and slot that first hold its words: a shard's rows are in one partition, in the order of their slots."""
+    shard and slot that first hold its words: rows of SHARD slots of an output shard (all of it, but in very large mixes)
+    are in one partition, in the order of their slots."""
     columns = docs.columns
     kept = materialise(docs.select(F.monotonically_increasing_id().alias("__rid"), F.spark_partition_id().alias("__part"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")))
     rows = materialise(kept.select(F.col("__rid").alias("rid"), F.col("__part").alias("part"), F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), word_count("row.text").alias("size")))
@@ -183,6 +184,6 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats
     words = F.regexp_extract_all(F.col("row.text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["at"] + 1).cast("int"), s["n"].cast("int")))), "")
     text = F.when(F.col("words") == F.col("size"), F.col("row.text")).otherwise(cut)
-    out = joined.withColumn("__text", text).repartition("first.out_shard").sortWithinPartitions("first", "rid")
+    out = joined.withColumn("__text", text).repartition("first.out_shard", F.floor(F.col("first.out_slot") / SHARD)).sortWithinPartitions("first", "rid")
     chosen = {"text": F.col("__text"), "n_chars": F.length("__text").cast(dict(docs.dtypes).get("n_chars", "long"))}
     return out.select(*[chosen.get(c, F.col("row").getField(c)).alias(c) for c in columns])

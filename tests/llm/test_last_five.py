@@ -418,6 +418,23 @@ def test_every_slot(spark, docs, odd):
         assert block == 4 or len({k for _, k, _ in want}) > 1
 
 
+def test_mixed_rows_stand_by_slot(spark, docs):
+    """Rows of one output shard are in one partition, in the order of the first slot that holds their words."""
+    first, takes = defaultdict(dict), Counter()
+    for r in mixing.mix_counts(docs, block=16).collect():
+        takes[r.doc_id] = -(-r.taken // max(r["size"], 1))
+        first[r.doc_id] = sorted((p.out_shard, p.out_slot) for p in r.places)
+    rows = mixing.mix_documents(docs, block=16).select("doc_id", F.spark_partition_id().alias("part")).collect()
+    once = [(r.part, first[r.doc_id][0]) for r in rows if takes[r.doc_id] == 1]
+    place = defaultdict(set)
+    for part, (shard, _) in once:
+        place[shard].add(part)
+    assert len(once) > 30 and all(len(p) == 1 for p in place.values())
+    for part in {p for p, _ in once}:
+        slots = [s for p, s in once if p == part]
+        assert slots == sorted(slots)
+
+
 def test_permutation_and_slots(spark):
     for n in (1, 2, 3, 17, 1000):
         got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(9)).alias("p")).collect()
