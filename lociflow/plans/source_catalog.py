@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.operators import relatedness as rel
-from lociflow.plans.catalog import GRM, SCAN, R, query, rounded
+from lociflow.plans.catalog import GRM, SCAN, STEADY, R, query, rounded, steady
 from lociflow.plans.fixture import Fixture
 from lociflow.plans.storage import place
 from lociflow.sources import binary, text
@@ -155,13 +155,13 @@ def sc18_discrete_covariates(f: Fixture) -> DataFrame:
     return text.read_covariates(spark_of(f), written(f, f.ind, F_, I_, "seg"), quantitative=False)
 
 
-@query(f"{SCAN} SELECT concat('rs', sid) AS snp, a1, a2, {R('af', 'freq')}, {R('b', 'b')}, {R('se', 'se')}, CAST(n AS DOUBLE) AS n FROM (SELECT scan.*, snp.a1, snp.a2 FROM scan JOIN snp ON scan.sid = snp.sid) WHERE sid % 9 <> 0")
+@query(f"{SCAN} SELECT concat('rs', sid) AS snp, a1, a2, {STEADY('af', 'freq')}, {STEADY('b', 'b')}, {STEADY('se', 'se')}, CAST(n AS DOUBLE) AS n FROM (SELECT scan.*, snp.a1, snp.a2 FROM scan JOIN snp ON scan.sid = snp.sid) WHERE sid % 9 <> 0")
 def sc19_summary_statistics(f: Fixture) -> DataFrame:
     from lociflow.operators.association import linear_scan
 
     d = linear_scan(f.g, f.pheno).join(f.snp.select("sid", "name", "a1", "a2"), "sid")
     path = written(f, d, "name", F.lower("a1"), "a2", "af", F.when(F.col("sid") % 9 != 0, F.col("b")), "se", F.lit(0.5), "n", head=("SNP A1 A2 freq b se p N",))
-    return rounded(text.read_sumstat(spark_of(f), path).drop("p"), "freq", "b", "se")
+    return steady(text.read_sumstat(spark_of(f), path).drop("p"), "freq", "b", "se")
 
 
 @query("SELECT concat('t', pop) AS name, concat('file', pop) AS file, CASE WHEN pop > 1 THEN pop / 10 END AS sample_prevalence, CASE WHEN pop > 1 THEN pop / 20 END AS population_prevalence FROM (SELECT DISTINCT CAST(pop AS DOUBLE) AS p, pop FROM ind)")
