@@ -180,13 +180,6 @@ def sparse_reml(y: np.ndarray, matrix: np.ndarray, most_share: float = 1.6, grid
     return float(points[np.argmax([logl(v) for v in points])]), float(vp - points[np.argmax([logl(v) for v in points])]), float(max(values))
 
 
-def gls_constraints(vg: float, vp: float, p: float, force: bool = False) -> str | float:
-    """What a mixed-model scan goes on with: `linear` when Vg isn't significant or is negative, else Vg below Vp."""
-    if not force and (p > 0.05 or vg < 0):
-        return "linear"
-    return min(vg, 0.99 * vp)
-
-
 def bivariate_reml(y1: np.ndarray, y2: np.ndarray, matrix: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float, float]:
     """Components (V1, V2, C12, E1, E2, E12) of two traits on the same individuals, with the genetic correlation and its
     error by the delta method; the genetic part is bent back where it isn't positive definite."""

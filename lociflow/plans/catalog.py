@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lociflow.functions import stats, text
 from lociflow.operators import association as assoc
+from lociflow.operators import family_mixed as fm
 from lociflow.operators import linkage as ld
 from lociflow.operators import markers as mk
 from lociflow.operators import population as popn
@@ -631,13 +632,38 @@ def g4_mixed_scan_approximate(f: Fixture) -> DataFrame:
     return rounded(d, *d.columns[1:])
 
 
+def _families(f: Fixture) -> DataFrame:
+    return fm.family_entries(rel.sparse(rel.grm(f.g), 0.05), f.pheno, keep)
+
+
 @query()
 def g5_sparse_reml(f: Fixture) -> DataFrame:
-    import numpy as np
+    m = fm.fit(_families(f), keep)
+    return rounded(f.ind.sparkSession.createDataFrame([(m.vg, m.ve, m.logl, m.p)], "vg double, ve double, logl double, p double"), "vg", "ve", "logl", "p")
 
-    ids, a, y, _ = _null(f)
-    vg, ve, logl = var.sparse_reml(y, np.where((a >= 0.05) | np.eye(len(a), dtype=bool), a, 0))
-    return rounded(f.ind.sparkSession.createDataFrame([(vg, ve, logl)], "vg double, ve double, logl double"), "vg", "ve", "logl")
+
+@query()
+def g6_monte_carlo_reml(f: Fixture) -> DataFrame:
+    return rounded(f.ind.sparkSession.createDataFrame([(fm.monte_carlo(f.g, _families(f), keep),)], "vg double"), "vg")
+
+
+def _family_inverse(f: Fixture) -> DataFrame:
+    entries = _families(f)
+    m = fm.null_model(fm.fit(entries, keep), force=True)
+    return keep(fm.inverse(entries, m.vg, m.ve))
+
+
+@query()
+def g3_family_scan_exact(f: Fixture) -> DataFrame:
+    d = fm.scan_exact(f.g, _family_inverse(f), keep)
+    return rounded(d, *d.columns[1:])
+
+
+@query()
+def g4_family_scan_approximate(f: Fixture) -> DataFrame:
+    vi = _family_inverse(f)
+    d = fm.scan_approximate(f.g, vi, fm.gamma(f.g, vi, keep), keep)
+    return rounded(d, *d.columns[1:])
 
 
 def _binary(f: Fixture) -> DataFrame:
