@@ -160,3 +160,22 @@ def frequency_outliers(sumstat: DataFrame, ref: DataFrame, most: float = 0.2) ->
     """Markers whose frequencies, of all traits and of ref(snp, freq), spread over more than most."""
     both = sumstat.select("snp", "freq").unionByName(ref.select("snp", "freq"))
     return both.groupBy("snp").agg((F.max("freq") - F.min("freq")).alias("spread")).where(F.col("spread") > most)
+
+
+def rejected(sumstat: DataFrame, snp: DataFrame, frequencies: DataFrame, most: float = 0.2) -> DataFrame:
+    """(snp, reason) of summary rows that an analysis leaves out: `absent` from the reference snp(name, a1, a2), other
+    `alleles` than it, `monomorphic` there, or a `frequency` more than most from the reference's frequencies(snp, freq) of
+    a1. A row may have several reasons; a null frequency gives none."""
+    ref = snp.select(F.col("name").alias("snp"), F.col("a1").alias("r1"), F.col("a2").alias("r2")).join(frequencies.select("snp", F.col("freq").alias("ref")), "snp", "left")
+    # a null allele is another allele
+    same = F.col("a1").eqNullSafe(F.col("r1")) & F.col("a2").eqNullSafe(F.col("r2"))
+    turned = F.col("a1").eqNullSafe(F.col("r2")) & F.col("a2").eqNullSafe(F.col("r1"))
+    freq = F.when(turned, 1 - F.col("freq")).otherwise(F.col("freq"))
+    tests = {
+        "absent": F.col("r1").isNull(),
+        "alleles": F.col("r1").isNotNull() & ~(same | turned),
+        "monomorphic": (F.col("ref") <= 0) | (F.col("ref") >= 1),
+        "frequency": (same | turned) & (F.abs(freq - F.col("ref")) > most),
+    }
+    reasons = F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]))
+    return sumstat.join(ref, "snp", "left").select("snp", F.explode(reasons).alias("reason"))

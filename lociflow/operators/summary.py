@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.functions.stats import cauchy_combine, chi2_mixture_tail, chi2_tail
+from lociflow.operators.linkage import clump, window_pairs
 
 
 def genomic_inflation(s: DataFrame) -> DataFrame:
@@ -404,6 +405,49 @@ def gsmr(bzx, bzx_se, bzy, bzy_se, r: np.ndarray | None = None, heidi_p: float =
     return {"bxy": b, "se": se, "p": chi2_tail((b / se) ** 2), "n": len(keep), "kept": keep}
 
 
+def selected_ld(g: DataFrame, selected: DataFrame) -> DataFrame:
+    """(sid1, sid2, r), sid1 < sid2, of all pairs of selected(sid), whatever their chromosomes. A selection is a handful
+    of markers in a group of its own; those of whole chromosomes belong to linkage.window_pairs."""
+    at_one_place = selected.select("sid", F.lit(0).alias("chr"), F.lit(0).alias("bp"))
+    return window_pairs(g.join(selected.select("sid"), "sid", "left_semi"), at_one_place, 0, "cosine")
+
+
+def gsmr_traits(s: DataFrame, g: DataFrame, snp: DataFrame, exposures: list[str], outcomes: list[str], store, direction: str = "forward", least_chi2: float = 29.7168, least: int = 10, window: int = 10_000_000, heidi_p: float = 0.01) -> tuple[DataFrame, DataFrame]:
+    """(results, instruments) of every exposure on every outcome (`forward`), the other way round (`reverse`) or `both`.
+
+    s: (sid, trait, b, se, chi2), alleles aligned. results: (exposure, outcome, bxy, se, p, n), null where fewer than
+    `least` instruments are left; instruments: (exposure, outcome, sid, outlier), outlier for those that HEIDI leaves out.
+    A pair's candidates have usable rows in both traits and reach least_chi2 in the exposure. LD is made once, of all
+    exposures' candidates; the instruments of a pair are few (one a clump) and come to the driver.
+    """
+    if direction not in ("forward", "reverse", "both"):
+        raise ValueError(f"no direction {direction}")
+    pairs = [(x, y) for x in exposures for y in outcomes] if direction != "reverse" else []
+    pairs += [(y, x) for y in outcomes for x in exposures] if direction != "forward" else []
+    usable = s.where("b is not null and se > 0")
+    strong = usable.where(F.col("trait").isin(sorted({x for x, _ in pairs})) & (F.col("chi2") >= least_chi2) & (F.col("b") != 0))
+    few = store(strong.select("sid").distinct())
+    near = store(window_pairs(g.join(few, "sid", "left_semi"), snp.join(few, "sid", "left_semi"), window, "mean"))
+    n = g.select("iid").distinct().count()
+    results, used = [], []
+    for x, y in pairs:
+        one = strong.where(F.col("trait") == x).select("sid", F.col("b").alias("bzx"), F.col("se").alias("bzx_se"), "chi2")
+        both = store(one.join(usable.where(F.col("trait") == y).select("sid", F.col("b").alias("bzy"), F.col("se").alias("bzy_se")), "sid"))
+        lead = store(clump(both.select("sid", "chi2"), near, snp, least_chi2).select("sid"))
+        rows = both.join(lead, "sid").orderBy("sid").toPandas()
+        kept, r = instrument_ld(rows["sid"], selected_ld(g, lead).toPandas(), n)
+        rows = rows.iloc[kept]
+        if len(rows) < max(least, 2):
+            results.append((x, y, None, None, None, len(rows)))
+            continue
+        found = gsmr(rows["bzx"], rows["bzx_se"], rows["bzy"], rows["bzy_se"], r, heidi_p)
+        stays = set(found["kept"])
+        used += [(x, y, int(sid), k not in stays) for k, sid in enumerate(rows["sid"])]
+        results.append((x, y, float(found["bxy"]), float(found["se"]), float(found["p"]), int(found["n"])) if len(stays) >= max(least, 2) else (x, y, None, None, None, len(stays)))
+    spark = s.sparkSession
+    return spark.createDataFrame(results, "exposure string, outcome string, bxy double, se double, p double, n int"), spark.createDataFrame(used, "exposure string, outcome string, sid long, outlier boolean")
+
+
 def probe_correlations(probes: DataFrame) -> DataFrame:
     """(probe1, probe2, r) over individuals with both, probe1 < probe2."""
     a, b = probes.where("val is not null").alias("a"), probes.where("val is not null").alias("b")

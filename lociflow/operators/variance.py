@@ -40,6 +40,46 @@ class Reml:
         return share[:-1], np.array(out)
 
 
+def bend(matrix: np.ndarray, share: float = 0.01) -> np.ndarray:
+    """A relationship matrix without negative eigenvalues: these become small positive ones in the same order, namely the
+    one nearest zero times the square of their distance from their sum, over that sum's square by share; then all are
+    scaled to the trace that was. Matrices whose eigenvalues are all over 1e-6 come back as they are."""
+    w, u = np.linalg.eigh(matrix)
+    if w[0] > 1e-6:
+        return matrix
+    below = w < 0
+    if below.any():
+        total, least = w[below].sum(), -w[below].max()
+        new = np.where(below, least * (total - w) ** 2 / (total * total / share + 1), w)
+        w = new * (w.mean() / new.mean())
+    return (u * w) @ u.T
+
+
+def inverted(matrix: np.ndarray, least_rank: float = 0.99) -> tuple[np.ndarray, float, str]:
+    """(inverse, log determinant, way) of a symmetric matrix by the first way that can: Cholesky, LU, QR, and, for a rank
+    of at least least_rank of the size, the pseudo-inverse with the determinant of the part that has rank."""
+    try:
+        half = np.linalg.cholesky(matrix)
+        back = np.linalg.inv(half)
+        return back.T @ back, 2 * float(np.log(np.diag(half)).sum()), "cholesky"
+    except np.linalg.LinAlgError:
+        pass
+    n = len(matrix)
+    w, u = np.linalg.eigh(matrix)
+    size = np.abs(w)
+    whole = size > n * np.finfo(float).eps * size.max(initial=0.0)
+    if whole.all():
+        logdet = float(np.log(size).sum())
+        if logdet >= np.log(1e-10):
+            return np.linalg.inv(matrix), logdet, "lu"
+        if logdet > np.log(1e-16):
+            q, r = np.linalg.qr(matrix)
+            return np.linalg.solve(r, q.T), logdet, "qr"
+    if whole.sum() < least_rank * n:
+        raise np.linalg.LinAlgError(f"a matrix of rank {whole.sum()} of {n} is not inverted: bend it first")
+    return (u[:, whole] / w[whole]) @ u[:, whole].T, float(np.log(size[whole]).sum()), "rank"
+
+
 def reml(y: np.ndarray, x: np.ndarray, matrices: list[np.ndarray], start: np.ndarray | None = None, fixed: bool = False, constrain: bool = True, rounds: int = 100, algorithm: str = "ai", weights: np.ndarray | None = None) -> Reml:
     """Restricted maximum likelihood of V = sum theta_k A_k + theta_e I: one expectation step, then average-information
     (or `fisher`, `em`) steps, shortened while the likelihood jumps; a negative component is set to 1e-6 of the phenotypic
@@ -53,11 +93,9 @@ def reml(y: np.ndarray, x: np.ndarray, matrices: list[np.ndarray], start: np.nda
     for step in range(1 if fixed else rounds + 1):
         v = sum(t * m for t, m in zip(theta, a))
         try:
-            np.linalg.cholesky(v)
-            inverse = np.linalg.inv(v)
+            inverse, logdet, _ = inverted(v)
         except np.linalg.LinAlgError:
-            inverse = np.linalg.pinv(v)
-        sign, logdet = np.linalg.slogdet(v)
+            inverse, logdet, _ = inverted(bend(v))
         vx = inverse @ x
         xvx = x.T @ vx
         p = inverse - vx @ np.linalg.solve(xvx, vx.T)

@@ -918,6 +918,32 @@ def m11_m13_gsmr(f: Fixture) -> DataFrame:
     return rounded(f.ind.sparkSession.createDataFrame([(float(out["bxy"]), float(out["se"]), float(out["p"]), int(out["n"]))], "bxy double, se double, p double, n int"), "bxy", "se", "p")
 
 
+@query()
+def m12_gsmr_traits(f: Fixture) -> DataFrame:
+    """Both traits as exposure and as outcome."""
+    results, _ = ss.gsmr_traits(_sumstat(f), f.g, f.snp, ["y"], ["bal"], keep, "both", least_chi2=3.0, least=2)
+    return rounded(results, "bxy", "se", "p")
+
+
+@query(f"""{SCAN}, x AS (SELECT g.sid, iid, coalesce(gt - f.mu, 0) AS x FROM g JOIN (SELECT sid, avg(gt) AS mu FROM g GROUP BY sid) f ON f.sid = g.sid WHERE g.sid IN (SELECT sid FROM scan WHERE (b / se) * (b / se) > 6))
+SELECT a.sid AS sid1, b.sid AS sid2, {R('sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x))', 'r')} FROM x a JOIN x b ON a.iid = b.iid AND a.sid < b.sid GROUP BY a.sid, b.sid""")
+def m4_ld_of_selected(f: Fixture) -> DataFrame:
+    return rounded(ss.selected_ld(f.g, _scan(f).where("chi2 > 6").select("sid")), "r")
+
+
+@query(f"""{SCAN}, kinds AS (SELECT sid, af, sid % 4 AS k FROM scan) SELECT sid, reason FROM (SELECT sid, unnest([CASE WHEN k = 3 THEN 'alleles' END, CASE WHEN k < 3 AND abs(CASE WHEN k = 2 THEN 1 - (sid % 10) / 10.0::DOUBLE ELSE (sid % 10) / 10.0::DOUBLE END - af) > 0.2 THEN 'frequency' END]) AS reason FROM kinds) WHERE reason IS NOT NULL
+UNION ALL SELECT -1, 'absent'""")
+def sk10_rejected_markers(f: Fixture) -> DataFrame:
+    """Rows of other alleles, the reference's turned, or frequencies of their own against the reference, and one marker
+    that it lacks."""
+    s = _sumstat(f, "y")
+    k = F.col("sid") % 4
+    own = s.select("snp", F.when(k == 2, F.col("a2")).when(k == 3, F.lit("N")).otherwise(F.col("a1")).alias("a1"), F.when(k == 2, F.col("a1")).otherwise(F.col("a2")).alias("a2"), (F.col("sid") % 10 / 10.0).alias("freq"))
+    own = own.unionByName(f.ind.sparkSession.createDataFrame([("rs-1", "A", "G", 0.5)], own.schema))
+    d = mk.rejected(own, f.snp, s.select("snp", "freq"))
+    return d.select(F.substring("snp", 3, 20).cast("long").alias("sid"), "reason")
+
+
 # simulation and functions
 
 

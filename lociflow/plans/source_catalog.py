@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.operators import relatedness as rel
-from lociflow.plans.catalog import GRM, SCAN, STEADY, R, query, rounded, steady
+from lociflow.plans.catalog import GRM, SCAN, STEADY, WINDOW_R, R, query, rounded, steady
 from lociflow.plans.fixture import Fixture
 from lociflow.plans.storage import place
 from lociflow.sources import binary, text
@@ -229,3 +229,21 @@ def sc14_beagle(f: Fixture) -> DataFrame:
 def sc15_array_report(f: Fixture) -> DataFrame:
     rows = f.ind.join(f.snp.where("sid <= 60")).select(F.concat_ws(",", "name", F.concat(F.lit("i"), "iid"), F.lower("a1"), "a2", ((F.col("iid") + F.col("sid")) % 11 / 10).cast("string")).alias("v"))
     return text.read_raw_genotypes(spark_of(f), written(f, rows, "v", head=("[Data]",)), skip=1)
+
+
+@query(f"{WINDOW_R.format(w=100000)} SELECT sid1, sid2, {R('CAST(s / (n - 1) AS FLOAT)::DOUBLE', 'r')} FROM wp CROSS JOIN nn")
+def sk8_ld_windows(f: Fixture) -> DataFrame:
+    from lociflow.operators import linkage
+
+    path = local_place(f)
+    varies = f.g.groupBy("sid").agg(F.min("gt").alias("a"), F.max("gt").alias("b")).where("a < b").select("sid")
+    binary.write_ld(linkage.window_pairs(f.g, f.snp, 100_000), f.snp.join(varies, "sid"), path)
+    return rounded(binary.read_ld(spark_of(f), path), "r")
+
+
+@query("SELECT concat('rs', sid) AS snp, a1, (sid % 11 - 5) / 10.0::DOUBLE AS effect FROM snp")
+def x3_effects(f: Fixture) -> DataFrame:
+    path = place(spark_of(f))
+    text.write_effects(f.snp.select(F.col("name").alias("snp"), "a1", F.lit(0.25).alias("freq"), ((F.col("sid") % 11 - 5) / 10.0).alias("effect")), path)
+    back = spark_of(f).read.option("sep", "\t").option("header", True).csv(path)
+    return back.select(F.col("QTL").alias("snp"), F.col("RefAllele").alias("a1"), F.col("Effect").cast("double").alias("effect"))

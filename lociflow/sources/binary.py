@@ -201,6 +201,69 @@ def write_grm(a: DataFrame, ids: list[tuple[str, str]], prefix: str) -> None:
         f.writelines(f"{x}\t{y}\n" for x, y in ids)
 
 
+def write_ld(pairs: DataFrame, snp: DataFrame, path: str) -> None:
+    """LD windows in binary: for each marker in order of (chr, bp, sid) how many correlations follow (4 bytes), then these
+    as 4-byte floats, first its own, then those with the markers after it.
+
+    pairs: (sid1, sid2, r) of all pairs of a window of the varying markers, sid1 the earlier; a marker's own count says
+    where its window ends. Beside it path + ".snp" lists the markers. Markers pass the driver partition by partition.
+    """
+    from pyspark.sql import functions as F
+
+    order = F.struct("chr", "bp", "sid")
+    place = snp.select("sid", order.alias("at"))
+    after = pairs.join(place.withColumnRenamed("sid", "sid2"), "sid2").groupBy(F.col("sid1").alias("sid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "r"))), lambda c: c["r"].cast("float")).alias("r"))
+    with open(path, "wb") as f, open(f"{path}.snp", "w") as ids:
+        for row in place.join(after, "sid", "left").orderBy("at").select("sid", "r").toLocalIterator():
+            r = np.array([1.0, *(row.r or ())], "<f4")
+            f.write(struct.pack("<I", len(r)) + r.tobytes())
+            ids.write(f"{row.sid}\n")
+
+
+class LdSource(DataSource):
+    """format("lociflow_ld"): options path; rows (sid1, sid2, r) of write_ld()'s file, a marker with itself left out."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "lociflow_ld"
+
+    def schema(self) -> str:
+        return "sid1 long, sid2 long, r double"
+
+    def reader(self, schema) -> DataSourceReader:
+        return LdReader(self.options["path"], int(self.options.get("rows", 1024)))
+
+
+class LdReader(DataSourceReader):
+    """The counts are read once by seeking; a task seeks to its first marker."""
+
+    def __init__(self, path: str, rows: int):
+        self.path, self.rows = path, rows
+        with open(f"{path}.snp") as f:
+            self.sids = np.array([int(line) for line in f], np.int64)
+        self.places = np.zeros(len(self.sids), np.int64)
+        with open(path, "rb") as f:
+            for k in range(len(self.sids)):
+                self.places[k] = f.tell()
+                f.seek(4 * struct.unpack("<I", f.read(4))[0], 1)
+
+    def partitions(self) -> list[Range]:
+        return _ranges(len(self.sids), self.rows)
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        with open(self.path, "rb") as f:
+            for k in range(partition.start, partition.end):
+                f.seek(int(self.places[k]))
+                n = struct.unpack("<I", f.read(4))[0]
+                r = np.frombuffer(f.read(4 * n), "<f4")[1:].astype(float)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n - 1, self.sids[k])), pa.array(self.sids[k + 1 : k + n]), pa.array(r)], ["sid1", "sid2", "r"])
+
+
+def read_ld(spark: SparkSession, path: str) -> DataFrame:
+    spark.dataSource.register(LdSource)
+    return spark.read.format("lociflow_ld").option("path", path).load()
+
+
 class BgenSource(DataSource):
     """format("lociflow_bgen"): options path; rows (sid, name, chr, bp, a1, a2, iid, p0, p1, p2) of layout 2, two alleles."""
 

@@ -206,6 +206,16 @@ def write_text(df: DataFrame, path: str, header: bool = True) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("header", header).option("nullValue", "NA").csv(path)
 
 
+def write_effects(effects: DataFrame, path: str) -> None:
+    """A simulation's effects(snp, a1, freq, effect): header QTL, RefAllele, Frequency, Effect."""
+    write_text(effects.select(F.col("snp").alias("QTL"), F.col("a1").alias("RefAllele"), F.col("freq").alias("Frequency"), F.col("effect").alias("Effect")), path)
+
+
+def write_phenotypes(y: DataFrame, path: str) -> None:
+    """Lines of family, individual and the phenotypes in the order of y's further columns, NA where missing; no header."""
+    write_text(y, path, header=False)
+
+
 def write_genotype_matrix(g: DataFrame, path: str) -> None:
     """A line for each individual: iid, then its calls by sid, NA where missing. g: (iid, sid, gt), all pairs."""
     calls = F.array_sort(F.collect_list(F.struct("sid", F.coalesce(F.col("gt").cast("string"), F.lit("NA")).alias("v"))))
