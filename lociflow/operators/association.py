@@ -90,8 +90,7 @@ def interaction_scan(g: DataFrame, y: DataFrame, env: DataFrame, robust: bool =
         out["p_2df"] = [chi2_tail(v, 2) for v in chi]
         return out[ok]
 
-    snp = kept.select("sid").distinct().select("sid", F.lit(0).alias("chr"), F.lit(0).alias("bp"))
-    return scan(packed(kept, snp), fit, "sid long, b_g double, b_ge double, se_g double, se_ge double, cov double, chi2_g double, chi2_ge double, chi2_2df double, p_2df double")
+    return scan(packed(kept, ids=np.asarray(ids, np.int64)), fit, "sid long, b_g double, b_ge double, se_g double, se_ge double, cov double, chi2_g double, chi2_ge double, chi2_2df double, p_2df double")
 
 
 def standard_environment(env: DataFrame) -> DataFrame:
@@ -121,8 +120,7 @@ def mixed_scan(g: DataFrame, y: DataFrame, inverse: np.ndarray, ids: np.ndarray,
         return _mixed_rows(sids, x, *known.value, gamma)
 
     kept = g.join(F.broadcast(g.sparkSession.createDataFrame([(int(i),) for i in ids], "iid long")), "iid")
-    snp = kept.select("sid").distinct().select("sid", F.lit(0).alias("chr"), F.lit(0).alias("bp"))
-    return scan(packed(kept, snp), fit, "sid long, b double, se double, chi2 double, p double")
+    return scan(packed(kept, ids=np.asarray(ids, np.int64)), fit, "sid long, b double, se double, chi2 double, p double")
 
 
 def leave_one_chromosome_out(g: DataFrame, snp: DataFrame, y: DataFrame, store: Callable[[DataFrame], DataFrame], limit: int = 20_000, most_bytes: int = 2**28) -> DataFrame:
@@ -152,7 +150,7 @@ def leave_one_chromosome_out(g: DataFrame, snp: DataFrame, y: DataFrame, store:
     n_all, s_all = full(everything.toPandas())
     spark = g.sparkSession
     kept = g.join(F.broadcast(spark.createDataFrame([(int(i),) for i in ids], "iid long")), "iid")
-    markers = store(packed(kept, snp))
+    markers = store(packed(kept, snp, ids))
     schema = "sid long, b double, se double, chi2 double, p double"
     step, out = max(1, most_bytes // (8 * len(ids) ** 2)), None
     for at in range(0, len(chrs), step):
@@ -301,8 +299,7 @@ def score_scan(g: DataFrame, model: Logistic, cutoff: float = 2.0, ratio: float
         return pd.DataFrame({"sid": sids, "t": t, "se_t": sd, "p_nospa": p0, "b": b, "se": se, "p": p, "converge": ok})
 
     kept = g.join(F.broadcast(g.sparkSession.createDataFrame([(int(i),) for i in model.ids], "iid long")), "iid")
-    snp = kept.select("sid").distinct().select("sid", F.lit(0).alias("chr"), F.lit(0).alias("bp"))
-    return scan(packed(kept, snp), test, "sid long, t double, se_t double, p_nospa double, b double, se double, p double, converge int")
+    return scan(packed(kept, ids=np.asarray(model.ids, np.int64)), test, "sid long, t double, se_t double, p_nospa double, b double, se double, p double, converge int")
 
 
 def burden(g: DataFrame, members: DataFrame, most_maf: float = 1.0) -> DataFrame:
@@ -340,5 +337,4 @@ def joint_covariate_scan(g: DataFrame, y: DataFrame, x: np.ndarray, inverse: np.
         return pd.DataFrame({"sid": sids, "b": b, "se": 1 / np.sqrt(np.maximum(xx, 1e-300)), "chi2": chi, "p": [chi2_tail(v) for v in chi]})
 
     kept = g.join(F.broadcast(g.sparkSession.createDataFrame([(int(i),) for i in ids], "iid long")), "iid")
-    snp = kept.select("sid").distinct().select("sid", F.lit(0).alias("chr"), F.lit(0).alias("bp"))
-    return scan(packed(kept, snp), fit, "sid long, b double, se double, chi2 double, p double")
+    return scan(packed(kept, ids=np.asarray(ids, np.int64)), fit, "sid long, b double, se double, chi2 double, p double")

@@ -178,7 +178,7 @@ def scan_sums(g: DataFrame, vi: DataFrame, store: Store, exact: bool = True, mos
     own = vi.where("i = j").select("i", "vy").orderBy("i").toPandas()
     ids, vy = own["i"].to_numpy(), own["vy"].to_numpy(float)
     kept = g.join(F.broadcast(spark.createDataFrame(pd.DataFrame({"iid": ids}))), "iid")
-    markers = packed(kept, kept.select("sid").distinct().select("sid", F.lit(0).alias("chr"), F.lit(0).alias("bp")))
+    markers = packed(kept, ids=ids)
     pieces = max(1, -(-vi.count() // most_entries)) if exact else 1
     if pieces > 1:
         markers = store(markers)
@@ -258,7 +258,7 @@ def monte_carlo(g: DataFrame, entries: DataFrame, store: Store, seed: int = 1, r
     ids, y = own["i"].to_numpy(), own["y"].to_numpy(float)
     n, trials = len(ids), int(min(15, max(3, 4e9 // len(ids))))
     kept = g.join(F.broadcast(spark.createDataFrame(pd.DataFrame({"iid": ids}))), "iid")
-    markers = store(packed(kept, kept.select("sid").distinct().select("sid", F.lit(0).alias("chr"), F.lit(0).alias("bp"))).select("sid", "x"))
+    markers = store(packed(kept, ids=ids).select("sid", "x"))
     m = markers.count()
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -11,10 +11,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociflow.functions.stats import t_tail
+from lociflow.operators.relatedness import CELLS
 
 
 def standard_columns(x: np.ndarray, scaling: str) -> np.ndarray:
@@ -29,10 +31,56 @@ def standard_columns(x: np.ndarray, scaling: str) -> np.ndarray:
     return np.divide(z, length, out=np.zeros_like(z), where=length > 1e-15)
 
 
-def packed(g: DataFrame, snp: DataFrame) -> DataFrame:
-    """(sid, chr, bp, x): x has a marker's genotypes by iid, nan where missing; all markers list the same iids."""
-    x = F.transform(F.array_sort(F.collect_list(F.struct("iid", F.coalesce(F.col("gt").cast("double"), F.lit(float("nan"))).alias("v")))), lambda c: c["v"])
-    return g.groupBy("sid").agg(x.alias("x")).join(snp.select("sid", "chr", "bp"), "sid")
+def packed(g: DataFrame, snp: DataFrame | None = None, ids: np.ndarray | None = None) -> DataFrame:
+    """(sid, chr, bp, x): x has a marker's genotypes by iid over all individuals of g, nan where missing or without a row.
+    Without snp, chr and bp are 0. ids: the individuals, sorted, where they are known; g must have no others.
+
+    Tasks gather cells to runs by marker before the shuffle, which then holds 12 bytes a cell and a row for each task and
+    marker. The individuals' numbers, 8 bytes each, go to every task.
+    """
+    if ids is None:
+        ids = np.sort(g.where("iid is not null").select(F.col("iid").cast("long")).distinct().toPandas()["iid"].to_numpy(np.int64))
+    known = g.sparkSession.sparkContext.broadcast(ids)
+
+    def runs(table: pa.Table) -> pa.RecordBatch:
+        sid, iid, v = (table[c].to_numpy() for c in ("sid", "iid", "v"))
+        order = np.argsort(sid, kind="stable")
+        sid, at, v = sid[order], np.searchsorted(known.value, iid[order]).astype(np.int32), v[order]
+        starts = np.flatnonzero(np.concatenate(([True], sid[1:] != sid[:-1])))
+        ends = [*starts[1:], len(sid)]
+        cut = lambda u: pa.array([u[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(sid[starts]), cut(at), cut(v)], ["sid", "at", "v"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= CELLS:
+                yield runs(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            yield runs(pa.Table.from_batches(held))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(known.value)
+        step = max(1, CELLS * 4 // max(n, 1))
+        for batch in batches:
+            for s in range(0, batch.num_rows, step):
+                part = batch.slice(s, step)
+                x = np.full((part.num_rows, n), np.nan)
+                for k, (ats, vs) in enumerate(zip(part.column("ats").to_pylist(), part.column("vs").to_pylist())):
+                    for at, v in zip(ats, vs):
+                        x[k, np.frombuffer(at, np.int32)] = np.frombuffer(v)
+                ends = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * n)
+                yield pa.RecordBatch.from_arrays([part.column("sid"), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], ["sid", "x"])
+
+    cells = g.where("iid is not null and sid is not null").select(F.col("sid").cast("long"), F.col("iid").cast("long"), F.coalesce(F.col("gt").cast("double"), F.lit(float("nan"))).alias("v"))
+    parts = cells.mapInArrow(gather, "sid long, at binary, v binary").groupBy("sid").agg(F.collect_list(F.struct("at", "v")).alias("r"))
+    markers = parts.select("sid", F.col("r.at").alias("ats"), F.col("r.v").alias("vs")).mapInArrow(whole, "sid long, x array<double>")
+    if snp is None:
+        return markers.select("sid", F.lit(0).alias("chr"), F.lit(0).alias("bp"), "x")
+    return markers.join(snp.select("sid", "chr", "bp"), "sid")
 
 
 def stretches(markers: DataFrame, window: int) -> DataFrame:

@@ -172,3 +172,16 @@ def test_models_are_kept(spark, tmp_path):
     text.write_model(spark, str(tmp_path / "m"), **parts)
     back = text.read_model(spark, str(tmp_path / "m"))
     assert back.keys() == parts.keys() and all(np.array_equal(back[k], parts[k]) for k in parts)
+
+
+def test_packed_markers(spark):
+    from lociflow.operators.linkage import packed
+
+    rows = [(9, 1, 2), (3, 1, 0), (5, 1, None), (9, 2, 1), (3, 2, 1), (5, 7, 2)]  # marker 2 lacks 5, marker 7 has only 5
+    g = spark.createDataFrame(rows, "iid long, sid long, gt int").repartition(5)
+    want = {1: [0, math.nan, 2], 2: [1, math.nan, 1], 7: [math.nan, 2, math.nan]}
+    for d in (packed(g), packed(g, ids=np.array([3, 5, 9]))):
+        got = {r.sid: r.x for r in d.collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], nan_ok=True) for k in want)
+    assert [(r.sid, r.chr, r.bp) for r in packed(g, spark.createDataFrame([(7, 2, 50)], "sid long, chr int, bp int")).collect()] == [(7, 2, 50)]
+    assert packed(g.limit(0)).count() == 0
