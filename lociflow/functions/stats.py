@@ -108,6 +108,41 @@ def f_tail(x: float, d1: float, d2: float) -> float:
     return beta_regularised(d2 / 2, d1 / 2, d2 / (d2 + d1 * x)) if x > 0 else 1.0
 
 
+def t_quantile(p: float, df: float) -> float:
+    """t with P(|T| > t) = p."""
+    return _bisect(lambda x: t_tail(x, df) - p)
+
+
+def f_quantile(p: float, d1: float, d2: float) -> float:
+    """x with P(F > x) = p."""
+    return _bisect(lambda x: f_tail(x, d1, d2) - p)
+
+
+def uniform_deviate(seed: int, *keys: str) -> Column:
+    """A number in (0, 1) that seed and keys decide."""
+    return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+
+
+def normal_deviate(seed: int, *keys: str) -> Column:
+    """A standard normal number that seed and keys decide."""
+    u, v = (uniform_deviate(seed, *keys, F.lit(k)) for k in (1, 2))
+    return F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v)
+
+
+def gamma_deviate(shape: float, seed: int, *keys: str) -> Column:
+    """A gamma number of unit scale that seed and keys decide; twice that of df / 2 is chi-square."""
+
+    @F.pandas_udf(DoubleType())
+    def draw(h: pd.Series) -> pd.Series:
+        return h.map(lambda v: float(np.random.default_rng([seed, int(v)]).gamma(shape)))
+
+    return draw(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)))
+
+
+def chi2_deviate(df: float, seed: int, *keys: str) -> Column:
+    return 2 * gamma_deviate(df / 2, seed, *keys)
+
+
 def chi2_mixture_tail(x: float, weights: np.ndarray) -> float:
     """P(sum of weights * chi-square_1 > x): a saddle-point approximation, else matched moments."""
     w = np.asarray([v for v in weights if v > 1e-12])

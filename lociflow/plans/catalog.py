@@ -973,6 +973,13 @@ def fn_strings(f: Fixture) -> DataFrame:
     return f.snp.select("sid", text.complement(F.col("a1")).alias("other"), text.last_token(F.regexp_replace("name", "rs", "rs ")).cast("long").alias("number"))
 
 
+@query(f"SELECT pop, {R('sum(abs(bal))', 'total')}, {R('sum(bal * bal) / 1e6', 'squares')}, CAST(sum(sign(bal)) AS BIGINT) AS signs, {R('greatest(max(bal), 0) - least(min(bal), 0)', 'range')}, {R('median(bal)', 'median')}, {R('quantile_cont(bal, 0.3)', 'quantile')}, {R('var_samp(bal) / 1e6', 'var')}, {R('covar_samp(bal, y) / 1e3', 'cov')} FROM ind JOIN pheno ON pheno.iid = ind.iid GROUP BY pop")
+def fn_math(f: Fixture) -> DataFrame:
+    b = F.col("bal")
+    d = f.ind.join(f.pheno, "iid").groupBy("pop").agg(F.sum(F.abs(b)).alias("total"), (F.sum(b * b) / 1e6).alias("squares"), F.sum(F.signum(b)).cast("long").alias("signs"), (F.greatest(F.max(b), F.lit(0.0)) - F.least(F.min(b), F.lit(0.0))).alias("range"), F.median(b).alias("median"), F.percentile(b, F.lit(0.3)).alias("quantile"), (F.var_samp(b) / 1e6).alias("var"), (F.covar_samp(b, "y") / 1e3).alias("cov"))
+    return rounded(d, "total", "squares", "range", "median", "quantile", "var", "cov")
+
+
 @query(f"{SUMSTAT} SELECT sid, {R('p', 'p')} FROM ma WHERE trait = 'y'")
 def fn_normal_tail(f: Fixture) -> DataFrame:
     return rounded(_sumstat(f, "y").select("sid", "p"), "p")

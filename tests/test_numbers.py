@@ -185,3 +185,16 @@ def test_packed_markers(spark):
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], nan_ok=True) for k in want)
     assert [(r.sid, r.chr, r.bp) for r in packed(g, spark.createDataFrame([(7, 2, 50)], "sid long, chr int, bp int")).collect()] == [(7, 2, 50)]
     assert packed(g.limit(0)).count() == 0
+
+
+def test_quantiles_and_deviates(spark):
+    from pyspark.sql import functions as F
+
+    assert stats.t_quantile(0.05, 10) == pytest.approx(2.2281388519649385, rel=1e-8)
+    assert stats.f_quantile(0.05, 1, 10) == pytest.approx(4.964602743730711, rel=1e-8)
+    d = spark.range(20_000).select("id", stats.uniform_deviate(3, "id").alias("u"), stats.normal_deviate(3, "id").alias("z"), stats.gamma_deviate(2.5, 3, "id").alias("g"), stats.chi2_deviate(4, 3, "id").alias("c"))
+    r = d.agg(*[f(k).alias(f"{n}_{k}") for k in "uzgc" for n, f in (("m", F.avg), ("v", F.var_samp))], F.min("u").alias("lo"), F.max("u").alias("hi")).first()
+    assert 0 < r.lo < 0.001 and 0.999 < r.hi < 1
+    for k, mean, var in (("u", 0.5, 1 / 12), ("z", 0.0, 1.0), ("g", 2.5, 2.5), ("c", 4.0, 8.0)):
+        assert r[f"m_{k}"] == pytest.approx(mean, abs=5 * math.sqrt(var / 20_000)) and r[f"v_{k}"] == pytest.approx(var, rel=0.1)
+    assert d.where("id = 7").first() == d.repartition(3).where("id = 7").first()
