@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.functions.stats import chi2_tail
-from lociflow.operators.association import null_markers
+from lociflow.operators.association import linear_scan, null_markers
 from lociflow.operators.linkage import packed
 
 Store = Callable[[DataFrame], DataFrame]
@@ -245,6 +245,19 @@ def scan_approximate(g: DataFrame, vi: DataFrame, ratio: float, store: Store) ->
     return _tests(scan_sums(g, vi, store, False), F.col("xx") * F.lit(ratio))
 
 
+def family_scan(g: DataFrame, a: DataFrame, y: DataFrame, store: Store, force: bool = False, constrain: bool = True, approximate: bool = False) -> DataFrame:
+    """(sid, b, se, chi2) of every marker from relationships a(i, j, value) and phenotypes y(iid, y): fit, null_model(),
+    then the exact or approximate scan, or the linear one where Vg isn't significant."""
+    entries = family_entries(a, y, store)
+    model = null_model(fit(entries, store), force, constrain)
+    if model is None:
+        own = entries.where("i = j").select(F.col("i").alias("iid"), "y")
+        return linear_scan(g, own).select("sid", "b", "se", "chi2")
+    vi = store(inverse(entries, model.vg, model.ve))
+    d = scan_approximate(g, vi, gamma(g, vi, store), store) if approximate else scan_exact(g, vi, store)
+    return d.select("sid", "b", "se", "chi2")
+
+
 def monte_carlo(g: DataFrame, entries: DataFrame, store: Store, seed: int = 1, rounds: int = 5, largest: int = 20_000) -> float:
     """Vg by Monte-Carlo REML: the ratio of marker effects' to residuals' squares, in the data against phenotypes drawn
     under the model, is driven to one over log(Ve / Vg) by secant steps.

@@ -162,6 +162,15 @@ def frequency_outliers(sumstat: DataFrame, ref: DataFrame, most: float = 0.2) ->
     return both.groupBy("snp").agg((F.max("freq") - F.min("freq")).alias("spread")).where(F.col("spread") > most)
 
 
+def without_frequency_outliers(sumstat: DataFrame, ref: DataFrame, most: float = 0.2, most_share: float = 0.05) -> DataFrame:
+    """sumstat without frequency_outliers(); an error where these are over most_share of its markers."""
+    out = frequency_outliers(sumstat, ref, most).select("snp").join(sumstat.select("snp"), "snp", "left_semi")
+    bad, all_ = out.count(), sumstat.select("snp").distinct().count()
+    if bad > most_share * all_:
+        raise ValueError(f"{bad} of {all_} markers have frequencies over {most} apart")
+    return sumstat.join(out, "snp", "left_anti")
+
+
 def rejected(sumstat: DataFrame, snp: DataFrame, frequencies: DataFrame, most: float = 0.2) -> DataFrame:
     """(snp, reason) of summary rows that an analysis leaves out: `absent` from the reference snp(name, a1, a2), other
     `alleles` than it, `monomorphic` there, or a `frequency` more than most from the reference's frequencies(snp, freq) of

@@ -6,6 +6,7 @@ import pytest
 
 from lociflow.operators import family_mixed as fm
 from lociflow.operators import variance
+from lociflow.operators.association import linear_scan
 from lociflow.plans.storage import keep
 
 N, M = 80, 50
@@ -76,6 +77,20 @@ def test_scans(made):
     assert got.b.to_numpy() == pytest.approx(xvy[got.sid] / ratio / xx[got.sid], rel=1e-9)
 
 
+def test_the_whole_scan(spark, made, monkeypatch):
+    a, _, y, ids, g, entries = made
+    i, j = np.nonzero(np.tril(a))
+    ad = spark.createDataFrame(pd.DataFrame({"i": ids[i], "j": ids[j], "value": a[i, j]}))
+    yd = spark.createDataFrame([(int(i), float(v)) for i, v in zip(ids, y)], "iid long, y double")
+    for share, scan in ((0.5, "mixed"), (0.5, "approximate"), (0.0, "linear")):
+        vp = float(np.var(y, ddof=1))
+        monkeypatch.setattr(fm, "fit", lambda *_: fm.FamilyFit(share * vp, (1 - share) * vp, 0.0, 1e-4 if share else 1.0))
+        got = {r.sid: r.b for r in fm.family_scan(g, ad, yd, keep, approximate=scan == "approximate").collect()}
+        vi = keep(fm.inverse(entries, 0.5 * vp, 0.5 * vp))
+        want = {"mixed": lambda: fm.scan_exact(g, vi, keep), "approximate": lambda: fm.scan_approximate(g, vi, fm.gamma(g, vi, keep), keep), "linear": lambda: linear_scan(g, yd)}[scan]()
+        assert got == pytest.approx({r.sid: r.b for r in want.collect()}, rel=1e-6)
+
+
 def test_monte_carlo_reml(spark):
     rng = np.random.default_rng(4)
     n, m = 300, 400

@@ -89,6 +89,15 @@ def test_rejected_rows(spark):
     assert got == [("b", "alleles"), ("b", "frequency"), ("c", "alleles"), ("c", "monomorphic"), ("e", "absent")]
 
 
+def test_too_many_frequencies_differ(spark):
+    s = spark.createDataFrame([(f"s{k}", 0.5) for k in range(40)], "snp string, freq double")
+    ref = spark.createDataFrame([("s0", 0.1), ("s1", 0.9), ("other", 0.2)], "snp string, freq double")
+    left = markers.without_frequency_outliers(s, ref)
+    assert left.count() == 38 and not left.where("snp in ('s0', 's1')").count()
+    with pytest.raises(ValueError):
+        markers.without_frequency_outliers(s.where("snp <> 's9'"), ref)
+
+
 def test_run_log(tmp_path):
     with pytest.raises(ValueError), run_log(str(tmp_path / "r")) as log:
         log.info("markers: %d", 5)
