@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +47,25 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tree_sum(parts: DataFrame, tasks: int, fan_in: int = 32) -> np.ndarray | None:
+    """Sum of equally long arrays: rows (slot long, v binary: doubles), a slot for each of `tasks` tasks at most.
+
+    Arrays are added in groups of fan_in until so many are left, which alone reach the driver; within a group by slot,
+    so that the same parts give the same last digits. None if there is no row."""
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            held |= {slot: np.frombuffer(v) for slot, v in zip(batch.column("slot").to_pylist(), batch.column("v").to_pylist())}
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([sum(held[k] for k in sorted(held)).tobytes()], pa.binary())], ["slot", "v"])
+
+    while tasks > fan_in:
+        parts = parts.groupBy(F.floor(F.col("slot") / fan_in).alias("slot_")).applyInArrow(add, "slot long, v binary")
+        tasks = -(-tasks // fan_in)
+    rows = sorted(parts.collect(), key=lambda r: r.slot)
+    return sum(np.frombuffer(r.v) for r in rows) if rows else None
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b: long), root being the smallest node of its component.
 
@@ -78,8 +100,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-
-
 def offsets(parts: DataFrame, order: str, *amounts: str, by: str | None = None) -> DataFrame:
     """Exclusive running sums of amounts over rows that stand for partitions, in the order given (within by).
 

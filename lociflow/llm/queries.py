@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociflow.llm import embedding_dedup, hilbert_shards, license_scan, mixing, packing, quality_qda, simhash_dedup, token_counts, topk_search, url_rules
+from lociflow.llm import embedding_dedup, hilbert_shards, hmm_scoring, license_scan, merkle_manifest, mixing, packing, quality_qda, simhash_dedup, token_counts, topk_search, url_rules, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,11 +57,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.verify(table(spark, sf_dir, "documents"))
+
+
+def op13_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_embedding_dedup, op3_topk_search, op4_simhash_dedup, op5_quality_classifier,
         op6_license_scan, op7_url_filter, op8_packing, op9_sharding, op10_mixing,
+        op11_whitening, op12_merkle_manifest, op13_hmm_scoring,
     )
 }
 
@@ -95,4 +108,47 @@ ORACLE_SQL = {
             FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    # Levels of the sources' trees and of the one over their roots climb in two recursive tables; ways hold for each leaf
+    # the texts before and after its node at each level, and folding is a list_reduce over them.
+    "op12_merkle_manifest": """
+        WITH RECURSIVE f AS (
+            SELECT row_number() OVER () AS rid, doc_id, source, lang, n_chars, text, CAST(doc_id AS VARCHAR) AS id FROM documents),
+        enc AS (
+            SELECT rid, doc_id, source, id, coalesce(strlen(id) || ':' || id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                   || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head,
+                   text, replace(text, chr(10), '') AS short FROM f),
+        l AS (
+            SELECT rid, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                   sha256(head || coalesce(strlen(short) || ':' || short, '-')) AS other,
+                   list_reduce([ascii(c) FOR c IN string_split(id, '')],
+                       lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))), 4294967295) % 2 = 1 AS even
+            FROM enc),
+        o AS (
+            SELECT *, coalesce('1' || source, '0') AS k, count(*) OVER (PARTITION BY source) AS n,
+                   row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS pos FROM l),
+        t AS (
+            SELECT 0 AS lev, k, pos, n, leaf AS h FROM o
+            UNION ALL
+            SELECT lev + 1, k, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY lev, k, pos // 3),
+        sub AS (SELECT k, h AS subroot, row_number() OVER (ORDER BY k) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+        u AS (
+            SELECT 0 AS lev, pos, n, subroot AS h FROM sub
+            UNION ALL
+            SELECT lev + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY lev, pos // 3),
+        way AS (
+            SELECT o.rid, t.lev, o.pos // CAST(3 ** t.lev AS BIGINT) AS me, coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos < o.pos // CAST(3 ** t.lev AS BIGINT)), '') AS b,
+                   coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos > o.pos // CAST(3 ** t.lev AS BIGINT)), '') AS a
+            FROM o JOIN t ON o.k = t.k AND t.n > 1 AND t.pos // 3 = o.pos // CAST(3 ** (t.lev + 1) AS BIGINT) GROUP BY ALL),
+        top AS (
+            SELECT s.k, u.lev + 100 AS lev, coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos < s.pos // CAST(3 ** u.lev AS BIGINT)), '') AS b,
+                   coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos > s.pos // CAST(3 ** u.lev AS BIGINT)), '') AS a
+            FROM sub s JOIN u ON u.n > 1 AND u.pos // 3 = s.pos // CAST(3 ** (u.lev + 1) AS BIGINT) GROUP BY s.k, s.pos, u.lev),
+        both_ AS (SELECT rid, lev, b, a FROM way UNION ALL SELECT o.rid, top.lev, top.b, top.a FROM o JOIN top ON o.k = top.k),
+        p AS (SELECT rid, string_agg(b || a, '' ORDER BY lev) AS sib, list({'b': b, 'a': a} ORDER BY lev) AS w FROM both_ GROUP BY rid),
+        r AS (
+            SELECT o.doc_id, o.leaf, sub.subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(coalesce(p.sib, '')) AS proof_sha256,
+                   list_reduce(coalesce(p.w, []), lambda s, x: {'b': '', 'a': sha256(x.b || s.a || x.a)},
+                       {'b': '', 'a': CASE WHEN coalesce(o.even, false) THEN o.other ELSE o.leaf END}).a AS folded_root
+            FROM o JOIN sub ON o.k = sub.k LEFT JOIN p ON o.rid = p.rid)
+        SELECT *, folded_root = root AS verified FROM r""",
 }
