@@ -298,7 +298,7 @@ def monte_carlo(g: DataFrame, entries: DataFrame, store: Store, seed: int = 1, r
     def solve(columns: np.ndarray, ratio: float) -> np.ndarray:
         """(A + ratio I)^-1 times columns, family by family."""
         schema = "i long, v array<double>"
-        d = entries.join(spark.createDataFrame(pd.DataFrame({"i": ids, "v": list(columns)}), schema), "i")
+        d = entries.join(spark.createDataFrame(pd.DataFrame({"i": ids, "v": columns.tolist()}), schema), "i")
         alone = d.where("members = 1").select("i", F.transform("v", lambda e: e / (F.col("value") + ratio)).alias("v"))
 
         def one(rows: pd.DataFrame) -> pd.DataFrame:

@@ -57,17 +57,22 @@ def bend(matrix: np.ndarray, share: float = 0.01) -> np.ndarray:
 
 def inverted(matrix: np.ndarray, least_rank: float = 0.99) -> tuple[np.ndarray, float, str]:
     """(inverse, log determinant, way) of a symmetric matrix by the first way that can: Cholesky, LU, QR, and, for a rank
-    of at least least_rank of the size, the pseudo-inverse with the determinant of the part that has rank."""
+    of at least least_rank of the size, the pseudo-inverse with the determinant of the part that has rank.
+
+    A singular matrix may pass Cholesky by rounding: the inverse's trace, at least one over the least eigenvalue, then
+    comes near one over the rounding errors of n additions, and the factor doesn't count."""
+    n = len(matrix)
+    rounding = n * np.finfo(float).eps
     try:
         half = np.linalg.cholesky(matrix)
         back = np.linalg.inv(half)
-        return back.T @ back, 2 * float(np.log(np.diag(half)).sum()), "cholesky"
+        if (back * back).sum() * np.diag(matrix).max(initial=0.0) * 64 * rounding < 1:
+            return back.T @ back, 2 * float(np.log(np.diag(half)).sum()), "cholesky"
     except np.linalg.LinAlgError:
         pass
-    n = len(matrix)
     w, u = np.linalg.eigh(matrix)
     size = np.abs(w)
-    whole = size > n * np.finfo(float).eps * size.max(initial=0.0)
+    whole = size > rounding * size.max(initial=0.0)
     if whole.all():
         logdet = float(np.log(size).sum())
         if logdet >= np.log(1e-10):

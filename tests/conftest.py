@@ -15,6 +15,7 @@ def spark():
     from lociflow.session import local
 
     session = local(cores=8, partitions=4, memory="4g")
+    session.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")  # as a plain session has it
     yield session
     session.stop()
 

@@ -13,8 +13,9 @@ from lociflow.plans.storage import keep
 from lociflow.sources import binary
 
 
-def test_inverses():
-    rng = np.random.default_rng(1)
+@pytest.mark.parametrize("seed", range(20))
+def test_inverses(seed):
+    rng = np.random.default_rng(seed)
     q, _ = np.linalg.qr(rng.normal(size=(200, 200)))
     for w, way in ((np.linspace(0.5, 2, 200), "cholesky"), (np.r_[-0.5, np.linspace(1, 2, 199)], "lu"), (np.r_[-0.1, np.full(11, 0.1), np.ones(188)], "qr"), (np.r_[0.0, np.ones(199)], "rank")):
         m = (q * w) @ q.T
