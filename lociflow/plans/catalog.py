@@ -12,6 +12,7 @@ from lociflow.operators import association as assoc
 from lociflow.operators import family_mixed as fm
 from lociflow.operators import linkage as ld
 from lociflow.operators import markers as mk
+from lociflow.operators import matrix_free as mf
 from lociflow.operators import population as popn
 from lociflow.operators import relatedness as rel
 from lociflow.operators import summary as ss
@@ -736,16 +737,55 @@ def v14_bivariate_reml(f: Fixture) -> DataFrame:
 
 @query()
 def v16_pca(f: Fixture) -> DataFrame:
-    ids, a = rel.dense(rel.grm(f.g))
-    w, u = var.pca(ids, a, 5)
-    return rounded(f.ind.sparkSession.createDataFrame([(int(i), k + 1, float(w[k]), float(u[r, k])) for r, i in enumerate(ids) for k in range(u.shape[1])], "iid long, k int, eigenvalue double, value double"), "eigenvalue", "value")
+    a = mf.Tiles(rel.grm(f.g), keep)
+    return rounded(_components(f, a, mf.leading(a, 5)), "eigenvalue", "value")
+
+
+def _components(f: Fixture, a: mf.Relationships, found: mf.Spectrum) -> DataFrame:
+    rows = [(int(i), k + 1, float(w), float(found.vectors[r, k])) for r, i in enumerate(a.ids) for k, w in enumerate(found.values)]
+    return f.ind.sparkSession.createDataFrame(rows, "iid long, k int, eigenvalue double, value double")
+
+
+@query()
+def v16_pca_of_markers(f: Fixture) -> DataFrame:
+    """From passes over the markers alone, missing calls at the mean; no pair of individuals is made."""
+    a = mf.Markers.pack(f.g, keep)
+    return rounded(_components(f, a, mf.leading(a, 5)), "eigenvalue", "value")
 
 
 @query()
 def v17_v18_loadings_and_projection(f: Fixture) -> DataFrame:
-    ids, a = rel.dense(rel.grm(f.g))
-    w, u = var.pca(ids, a, 2)
-    return rounded(var.project(f.g, var.pc_loadings(f.g, ids, w, u)), "score")
+    a = mf.Tiles(rel.grm(f.g), keep)
+    return rounded(var.project(f.g, mf.loadings(mf.Markers.pack(f.g, keep, a.ids), mf.leading(a, 2))), "score")
+
+
+def _by_id(f: Fixture, d: DataFrame, column: str, ids):
+    return d.select("iid", column).toPandas().set_index("iid").reindex(ids)[column].to_numpy(float)
+
+
+@query()
+def v1_reml_matrix_free(f: Fixture) -> DataFrame:
+    """Variance components from passes over the tiles of the pairs; the last row is what the random probes leave open."""
+    import numpy as np
+
+    a = mf.Tiles(rel.grm(f.g), keep)
+    y = _by_id(f, f.pheno, "y", a.ids)
+    m = mf.fit(a, y, np.ones((len(y), 1)))
+    rows = [("vg", m.vg), ("ve", m.ve), ("vp", m.vg + m.ve), ("h2", m.h2[0]), ("h2_se", m.h2[1]), ("logl", m.logl), ("lrt", m.lrt[0]), ("p", m.lrt[1]), ("h2_probes", m.probe_error)]
+    return rounded(f.ind.sparkSession.createDataFrame([(k, float(v)) for k, v in rows], "source string, value double"), "value")
+
+
+@query()
+def g16_g17_scan_matrix_free(f: Fixture) -> DataFrame:
+    """Mixed-model scan with a covariate beside each marker, from passes over the markers alone."""
+    import numpy as np
+
+    a = mf.Markers.pack(f.g, keep)
+    y = _by_id(f, f.pheno, "y", a.ids)
+    x = np.column_stack([np.ones(len(y)), _by_id(f, f.ind, "bal", a.ids) / 1000])
+    m = mf.fit(a, y, x)
+    d = mf.scan(a, mf.Projected.of(a, m.vg, m.ve, x, mf.leading(a, 10, 1e-4)), y)
+    return rounded(d, *d.columns[1:])
 
 
 @query()
@@ -819,8 +859,9 @@ def w13_inverse_normal(f: Fixture) -> DataFrame:
 
 @query()
 def w14_m17_pc_adjust(f: Fixture) -> DataFrame:
-    ids, a = rel.dense(rel.grm(f.g))
-    w, u = var.pca(ids, a, 2)
+    a = mf.Tiles(rel.grm(f.g), keep)
+    found = mf.leading(a, 2)
+    ids, w, u = a.ids, found.values, found.vectors
     pcs = None
     for k in range(2):
         y = f.ind.sparkSession.createDataFrame([(int(i), float(u[r, k])) for r, i in enumerate(ids)], "iid long, y double")
