@@ -27,15 +27,16 @@ from lociflow.operators.linkage import packed
 
 Store = Callable[[DataFrame], DataFrame]
 
-#: Individuals of a piece of a product and of a tile, doubles that a task unpacks at once, and parts added by a task.
-PIECE, TILE, HELD, FAN_IN = 1 << 15, 512, 1 << 22, 16
+#: Individuals of a piece of a product and of a tile, doubles that a task unpacks at once, parts that a task adds, and
+#: doubles of all parts that the driver adds itself.
+PIECE, TILE, HELD, FAN_IN, GATHERED = 1 << 15, 512, 1 << 22, 16, 1 << 23
 PARTS = "slot long, piece int, v binary"
 
 
 def added(parts: DataFrame, tasks: int, n: int, columns: int) -> np.ndarray:
     """Sum of products n x columns that tasks return in pieces of PIECE rows: rows (slot, piece, v). Pieces are added in
-    groups of FAN_IN slots until one is left for each, so that no task holds more than FAN_IN pieces at a time and the
-    driver gets n x columns numbers."""
+    groups of FAN_IN slots until the parts hold GATHERED numbers at most, or one part is left: no task holds more than
+    FAN_IN pieces, and the driver gets GATHERED or n x columns numbers."""
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, held = None, []
@@ -45,14 +46,12 @@ def added(parts: DataFrame, tasks: int, n: int, columns: int) -> np.ndarray:
             total = np.frombuffer(v) if total is None else total + np.frombuffer(v)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([key[1].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slot", "piece", "v"])
 
-    while True:
+    while tasks > 1 and tasks * n * columns > GATHERED:
         parts = parts.groupBy(F.floor(F.col("slot") / FAN_IN).alias("slot_"), "piece").applyInArrow(add, PARTS)
         tasks = -(-tasks // FAN_IN)
-        if tasks == 1:
-            break
     out = np.zeros((n, columns))
-    for r in parts.toLocalIterator():
-        out[r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(r.v).reshape(-1, columns)
+    for r in sorted(parts.collect(), key=lambda r: r.slot):
+        out[r.piece * PIECE : (r.piece + 1) * PIECE] += np.frombuffer(r.v).reshape(-1, columns)
     return out
 
 

@@ -57,6 +57,7 @@ def test_products_of_markers(made):
 def test_pieces_add_up_over_levels(spark, monkeypatch):
     monkeypatch.setattr(matrix_free, "PIECE", 64)
     monkeypatch.setattr(matrix_free, "FAN_IN", 2)
+    monkeypatch.setattr(matrix_free, "GATHERED", 10)
     parts = [(s, p, bytearray(np.full((min(64, N - 64 * p), 3), float(s + p)).tobytes())) for s in range(7) for p in range(-(-N // 64))]
     out = matrix_free.added(spark.createDataFrame(parts, matrix_free.PARTS), 7, N, 3)
     want = np.repeat([21.0 + 7 * p for p in range(-(-N // 64))], 64)[:N]
