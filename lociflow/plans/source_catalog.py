@@ -3,16 +3,13 @@ file holds. Files go to the shared folder."""
 
 from __future__ import annotations
 
-import os
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.operators import relatedness as rel
-from lociflow.plans.catalog import GRM, SCAN, STEADY, WINDOW_R, R, query, rounded, steady
+from lociflow.plans.catalog import DOSE, GRM, SCAN, STEADY, WINDOW_R, R, _dosages, query, rounded, steady
 from lociflow.plans.fixture import Fixture
-from lociflow.plans.storage import place
+from lociflow.plans.storage import keep, place
 from lociflow.sources import binary, text
 
 
@@ -32,13 +29,6 @@ def written(f: Fixture, rows: DataFrame, *fields: str | Column, order: str | Non
     return path
 
 
-def local_place(f: Fixture) -> str:
-    """A path for the binary formats, whose readers open files themselves."""
-    path = place(spark_of(f))
-    os.makedirs(os.path.dirname(path := re.sub("^file:(//)?", "", path)), exist_ok=True)
-    return path
-
-
 def spark_of(f: Fixture) -> SparkSession:
     return f.ind.sparkSession
 
@@ -67,7 +57,8 @@ def sc3_oxford_sample(f: Fixture) -> DataFrame:
     return text.read_sample(spark_of(f), written(f, f.ind, F_, I_, F.col("iid") % 5 / 8, "sex", head=("ID_1 ID_2 missing sex", "0 0 0 D")))
 
 
-@query("SELECT 'all' AS of, count(*) = count(*) AS same FROM ind UNION ALL SELECT 'women' AS of, count(*) = count(CASE WHEN sex = 2 THEN 1 END) AS same FROM ind")
+@query("""SELECT 'all' AS of, (SELECT count(*) FROM (SELECT fid, iid FROM ind EXCEPT SELECT s_nationkey, s_suppkey + 1 FROM supplier)) = 0 AND (SELECT count(*) FROM ind) = (SELECT count(*) FROM supplier) AS same
+UNION ALL SELECT 'women', (SELECT count(*) FROM (SELECT fid, iid FROM ind EXCEPT SELECT fid, iid FROM ind WHERE sex = 2)) = 0""")
 def sc4_same_samples(f: Fixture) -> DataFrame:
     s = spark_of(f)
     one = text.read_fam(s, written(f, f.ind, F_, I_, F.lit(0), F.lit(0), "sex", F.lit(-9)))
@@ -111,18 +102,31 @@ def sc8_many_files(f: Fixture) -> DataFrame:
 def sc9_bed(f: Fixture) -> DataFrame:
     from lociflow.operators.linkage import packed
 
-    path = local_place(f) + ".bed"
+    path = place(spark_of(f)) + ".bed"
     binary.write_bed(packed(f.g, f.snp), path)
     ids = [r.iid for r in f.ind.select("iid").orderBy("iid").collect()]
     back = binary.read_bed(spark_of(f), path, len(ids), f.snp.count())
     return back.select((F.col("iid") + 1).alias("iid"), (F.col("sid") + 1).alias("sid"), "gt")
 
 
+@query(f"{DOSE} SELECT g.iid, g.sid, name, CAST(chr AS VARCHAR) AS chr, bp, a1, a2, round(1 - p1 - p2, 4) + 0.0 AS p0, round(p1, 4) + 0.0 AS p1, round(p2, 4) + 0.0 AS p2 FROM g JOIN snp ON g.sid = snp.sid LEFT JOIN d ON d.iid = g.iid AND d.sid = g.sid")
+def sc10_bgen(f: Fixture) -> DataFrame:
+    from lociflow.operators.linkage import packed
+
+    path, spark = f"{place(spark_of(f))}.bgen", spark_of(f)
+    probability = lambda p, name: packed(f.g.join(_dosages(f), ["iid", "sid"], "left").select("iid", "sid", p.alias("gt")), f.snp).select("sid", F.col("x").alias(name))
+    both = probability(1 - F.col("p1") - F.col("p2"), "p0").join(probability(F.col("p1"), "p1"), "sid")
+    binary.write_bgen(keep(both.join(f.snp, "sid")), path, f.ind.count())
+    back = binary.read_bgen(spark, path)
+    four = lambda c: (F.round(c, 4) + F.lit(0.0)).alias(c)
+    return back.select((F.col("iid") + 1).alias("iid"), (F.col("sid") + 1).alias("sid"), "name", "chr", F.col("bp").cast("int").alias("bp"), "a1", "a2", four("p0"), four("p1"), four("p2"))
+
+
 @query("SELECT iid, sid, CAST(gt AS DOUBLE) AS gt FROM g")
 def sc12_pgen(f: Fixture) -> DataFrame:
     from lociflow.operators.linkage import packed
 
-    path = local_place(f) + ".pgen"
+    path = place(spark_of(f)) + ".pgen"
     binary.write_pgen(packed(f.g, f.snp), path, f.ind.count())
     return binary.read_pgen(spark_of(f), path).select((F.col("iid") + 1).alias("iid"), (F.col("sid") + 1).alias("sid"), "gt")
 
@@ -135,7 +139,7 @@ def sc16_grm_text(f: Fixture) -> DataFrame:
 
 @query(f"{GRM} SELECT i - 1 AS i, j - 1 AS j, CAST(n AS DOUBLE) AS n, round(value, 4) + 0.0 AS value FROM grm")
 def sc16_grm_binary(f: Fixture) -> DataFrame:
-    path = local_place(f)
+    path = place(spark_of(f))
     binary.write_grm(rel.grm(f.g), [], path)
     return binary.read_grm(spark_of(f), path, f.ind.count()).withColumn("value", F.round("value", 4) + F.lit(0.0))
 
@@ -235,7 +239,7 @@ def sc15_array_report(f: Fixture) -> DataFrame:
 def sk8_ld_windows(f: Fixture) -> DataFrame:
     from lociflow.operators import linkage
 
-    path = local_place(f)
+    path = place(spark_of(f))
     varies = f.g.groupBy("sid").agg(F.min("gt").alias("a"), F.max("gt").alias("b")).where("a < b").select("sid")
     binary.write_ld(linkage.window_pairs(f.g, f.snp, 100_000), f.snp.join(varies, "sid"), path)
     return rounded(binary.read_ld(spark_of(f), path), "r")

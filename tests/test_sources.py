@@ -111,6 +111,50 @@ def test_bgen(spark, tmp_path, compression, bits):
     assert [(r.name, r.bp, r.a1, r.p0, r.p1, r.p2) for r in rows] == [("rs1", 77, "A", 1.0, 0.0, 0.0), ("rs1", 77, "A", 0.0, 1.0, 0.0), ("rs1", 77, "A", None, None, None)]
 
 
+def test_bgen_round_trip(spark, tmp_path):
+    """By a pass over the file and by an index; also at a file:// address, and with a marker of one individual."""
+    import sqlite3
+
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([1, 1, 1], size=(23, 11))
+    p[rng.random((23, 11)) < 0.1] = np.nan
+    rows = [(i, f"rs{i}", 1 + i % 3, 100 + i, "A", "GT", [float(v) for v in x[:, 0]], [float(v) for v in x[:, 1]]) for i, x in enumerate(p)]
+    markers = spark.createDataFrame(rows, "sid long, name string, chr int, bp long, a1 string, a2 string, p0 array<double>, p1 array<double>").repartition(4)
+    path = f"file://{tmp_path}/a.bgen"
+    binary.write_bgen(markers, path, 11)
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["a.bgen"]  # no part is left
+    got = {(r.sid, r.iid): r for r in binary.read_bgen(spark, path).collect()}
+    assert len(got) == 23 * 11
+    for (s, i), r in got.items():
+        assert (r.name, r.chr, r.bp, r.a2) == (f"rs{s}", str(1 + s % 3), 100 + s, "GT")
+        assert (r.p0 is None and np.isnan(p[s, i, 0])) or np.abs(np.array([r.p0, r.p1, r.p2]) - p[s, i]).max() < 4e-5
+    reader = binary.BgenReader(path, 5)
+    index = str(tmp_path / "a.bgi")
+    with sqlite3.connect(index) as db:
+        db.execute("CREATE TABLE Variant (chromosome, position, rsid, number_of_alleles, file_start_position, size_in_bytes)")
+        db.executemany("INSERT INTO Variant VALUES ('1', 1, 'x', ?, ?, 1)", [(3 if k == 4 else 2, at) for k, at in enumerate(reader.places)])
+    few = {(r.sid, r.iid): r for r in binary.read_bgen(spark, path, index).collect()}
+    assert few == {k: v for k, v in got.items() if k[0] != 4}
+
+
+def test_joined_parts_keep_their_order(spark, tmp_path):
+    """Parts of many tasks, and a failing task, which leaves no file."""
+    from pyspark.sql import functions as F
+
+    from lociflow.sources.files import write_joined
+
+    rows = spark.range(5000).repartition(7).orderBy("id")
+    path = str(tmp_path / "deep" / "x.txt")
+    write_joined(rows.select(F.encode(F.concat(F.col("id").cast("string"), F.lit("\n")), "UTF-8").alias("line")), line=(path, b"head\n"))
+    assert (tmp_path / "deep" / "x.txt").read_text().split() == ["head", *map(str, range(5000))]
+    bad = rows.select(F.encode(F.when(F.col("id") == 4000, F.raise_error(F.lit("stop"))).otherwise(F.col("id").cast("string")), "UTF-8").alias("line"))
+    with pytest.raises(Exception, match="stop"):
+        write_joined(bad, line=(str(tmp_path / "y.txt"), b""))
+    assert not (tmp_path / "y.txt").exists()
+    write_joined(rows.where("false").select(F.encode(F.lit("x"), "UTF-8").alias("line")), line=(str(tmp_path / "z"), b"only"))
+    assert (tmp_path / "z").read_bytes() == b"only"
+
+
 def test_bgen_index(tmp_path):
     import sqlite3
 
