@@ -6,10 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from lociflow.functions import ranks
+
 
 def normal_tail(z: float) -> float:
     """P(Z > z)."""
@@ -199,12 +201,29 @@ def cauchy_combine(p: Column, weight: Column) -> Column:
 
 
 def benjamini_hochberg(df: DataFrame, p: str, id_: str) -> DataFrame:
-    """df with fdr: the least p * n / rank of this and all greater p-values, at most 1."""
-    up = Window.orderBy(p, id_)
-    n = F.count(p).over(Window.partitionBy())
-    ranked = df.withColumn("__r", F.row_number().over(up)).withColumn("__q", F.col(p) * n / F.col("__r"))
-    down = Window.orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranked.withColumn("fdr", F.least(F.lit(1.0), F.min("__q").over(down))).drop("__r", "__q")
+    """df with fdr: the least p * n / rank of this and all greater p-values, at most 1; null where p is null."""
+    known = df.where(F.col(p).isNotNull())
+    ranked = ranks.numbered(known, p, id_, name="r_").join(F.broadcast(known.agg(F.count("*").alias("n_"))))
+    q = ranks.least_from_here(ranked.withColumn("q_", F.col(p) * F.col("n_") / (F.col("r_") + 1)), "q_", "r_", name="fdr")
+    q = q.withColumn("fdr", F.least(F.lit(1.0), "fdr")).drop("r_", "n_", "q_")
+    return q.unionByName(df.where(F.col(p).isNull()).withColumn("fdr", F.lit(None).cast("double")))
+
+
+def null_share(df: DataFrame, p: str, at: float | None = None) -> float:
+    """Share of true nulls. at: the share of p-values over this point, over its expectation (half: Zou's rule); without it
+    Storey's: these shares at 0, 0.05 to 0.9, smoothed by a cubic, at the last. One aggregate counts all of them."""
+    points = [at] if at is not None else [0.05 * k for k in range(19)]
+    row = df.where(F.col(p).isNotNull()).agg(F.count("*").alias("n"), *[F.sum((F.col(p) >= x).cast("long")).alias(f"k{i}") for i, x in enumerate(points)]).first()
+    if not row.n:
+        return 1.0
+    shares = np.array([row[f"k{i}"] / row.n / (1 - x) for i, x in enumerate(points)])
+    last = shares[-1] if at is not None else np.polyval(np.polyfit(points, shares, 3), points[-1])
+    return float(np.clip(last, 1e-6, 1))
+
+
+def q_values(df: DataFrame, p: str, id_: str, share: float) -> DataFrame:
+    """df with q: the false discovery rate times the share of true nulls, at most 1."""
+    return benjamini_hochberg(df, p, id_).withColumn("q", F.least(F.lit(1.0), F.col("fdr") * share)).drop("fdr")
 
 
 def pi0(p: np.ndarray, lambdas: np.ndarray = np.arange(0, 0.95, 0.05)) -> float:
@@ -234,14 +253,14 @@ def regression(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
 
 
 def inverse_normal(df: DataFrame, x: str) -> DataFrame:
-    """df with z: the normal quantile of (rank - 1/2) / n; ties take the first rank."""
-    n = F.count(x).over(Window.partitionBy())
+    """df with z: the normal quantile of (rank - 1/2) / n; ties take the first rank, and null has none."""
 
     @F.pandas_udf(DoubleType())
     def quantile(p: pd.Series) -> pd.Series:
-        return p.map(normal_quantile)
+        return p.map(lambda v: None if pd.isna(v) else normal_quantile(v))
 
-    return df.withColumn("z", quantile((F.rank().over(Window.orderBy(x)) - 0.5) / n))
+    ranked = ranks.first_ranks(df, x, "r_").join(F.broadcast(df.agg(F.count(x).alias("n_"))))
+    return ranked.withColumn("z", quantile((F.col("r_") - 0.5) / F.col("n_"))).drop("r_", "n_")
 
 
 def cubic_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:

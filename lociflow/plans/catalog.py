@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.functions import stats, text
+from lociflow.functions import ranks, stats, text
 from lociflow.operators import association as assoc
 from lociflow.operators import family_mixed as fm
 from lociflow.operators import linkage as ld
@@ -339,9 +339,8 @@ def u4_union_of_significant(f: Fixture) -> DataFrame:
 
 @query("SELECT iid, fid, CAST(row_number() OVER (ORDER BY fid, iid) AS INT) AS place FROM ind")
 def t1_sorted_places(f: Fixture) -> DataFrame:
-    from pyspark.sql import Window
-
-    return f.ind.select("iid", "fid", F.row_number().over(Window.orderBy("fid", "iid")).alias("place"))
+    places = ranks.numbered(f.ind.select("iid", "fid"), "fid", "iid")
+    return places.select("iid", "fid", (F.col("place") + 1).cast("int").alias("place"))
 
 
 # relationship matrices
@@ -508,6 +507,22 @@ def a32_false_discovery(f: Fixture) -> DataFrame:
     return rounded(stats.benjamini_hochberg(_sumstat(f, "y").select("sid", "p"), "p", "sid").select("sid", "fdr"), "fdr")
 
 
+@query(f"""{SUMSTAT}, y AS (SELECT sid, p FROM ma WHERE trait = 'y'), k AS (SELECT least(1, greatest(1e-6, avg(CASE WHEN p >= 0.5 THEN 1.0 ELSE 0.0 END) / 0.5)) AS pi FROM y),
+q AS (SELECT sid, p * count(*) OVER () / row_number() OVER (ORDER BY p, sid) AS q, row_number() OVER (ORDER BY p, sid) AS k FROM y), m AS (SELECT sid, least(1, min(q) OVER (ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS m FROM q)
+SELECT sid, {STEADY('least(1, m * pi)', 'q')} FROM m CROSS JOIN k""")
+def a32_q_values_at_half(f: Fixture) -> DataFrame:
+    """The null share from the p-values over one half."""
+    s = keep(_sumstat(f, "y").select("sid", "p"))
+    return steady(stats.q_values(s, "p", "sid", stats.null_share(s, "p", 0.5)).select("sid", "q"), "q")
+
+
+@query()
+def a32_q_values_smoothed(f: Fixture) -> DataFrame:
+    """The null share from a cubic over the tail shares."""
+    s = keep(_sumstat(f, "y").select("sid", "p"))
+    return rounded(stats.q_values(s, "p", "sid", stats.null_share(s, "p")).select("sid", "q"), "q")
+
+
 @query(f"{SCAN}, {GENES}, mem AS (SELECT name AS gene, sid FROM genes JOIN (SELECT sid, chr AS c, bp FROM snp) ON c = chr AND bp BETWEEN lo - 50000 AND hi + 50000), x AS (SELECT gene, scan.sid, (b / se) * (b / se) AS chi2 FROM mem JOIN scan ON scan.sid = mem.sid) SELECT gene, count(*) AS n_snps, {R('sum(chi2)', 'chi2')}, arg_max(sid, (chi2, -sid)) AS top_sid, {R('max(chi2)', 'top_chi2')} FROM x GROUP BY gene")
 def a31_t4_gene_sums(f: Fixture) -> DataFrame:
     return rounded(ss.gene_sums(_scan(f), ss.members(f.snp, f.genes)), "chi2", "top_chi2")
@@ -852,7 +867,28 @@ def t5_top_of_middle(f: Fixture) -> DataFrame:
     return rounded(ss.top_of_middle(j), "chi2")
 
 
-@query()
+#: Rational functions of the normal quantile's usual approximation (fixed values), which a Newton step then makes exact.
+QUANTILE = {
+    "a": (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    "b": (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0),
+    "c": (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    "d": (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0),
+}
+
+
+def _horner(name: str, x: str) -> str:
+    out = f"{QUANTILE[name][0]!r}"
+    for v in QUANTILE[name][1:]:
+        out = f"({out} * {x} + {v!r})"
+    return out
+
+
+@query(f"""r AS (SELECT iid, y, (rank() OVER (ORDER BY y) - 0.5) / count(y) OVER () AS p FROM pheno),
+a AS (SELECT *, CASE WHEN least(p, 1 - p) < 0.02425 THEN sign(0.5 - p) * {_horner('c', 'sqrt(-2 * ln(least(p, 1 - p)))')} / {_horner('d', 'sqrt(-2 * ln(least(p, 1 - p)))')}
+  ELSE (p - 0.5) * {_horner('a', '((p - 0.5) * (p - 0.5))')} / {_horner('b', '((p - 0.5) * (p - 0.5))')} END AS z0 FROM r),
+n AS (SELECT *, exp(-z0 * z0 / 2) / sqrt(2 * pi()) AS phi, list_reduce([{{'t': k::DOUBLE, 's': 0.0::DOUBLE}} FOR k IN range(1, 120)],
+  lambda acc, x: {{'t': acc.t * z0 * z0 / (2 * x.t + 1), 's': acc.s + acc.t * z0 * z0 / (2 * x.t + 1)}}, {{'t': z0, 's': z0}}).s AS s FROM a)
+SELECT iid, {R('y', 'y')}, {R('z0 - (0.5 + s * phi - p) / phi', 'z')} FROM n""")
 def w13_inverse_normal(f: Fixture) -> DataFrame:
     return rounded(stats.inverse_normal(f.pheno, "y"), "y", "z")
 

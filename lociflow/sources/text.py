@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociflow.functions.ranks import numbered_lines
 from lociflow.functions.text import chromosome, number, tokens
 
 
@@ -85,8 +86,7 @@ def read_covariates(spark: SparkSession, path: str, quantitative: bool = True) -
 
 def read_bim(spark: SparkSession, path: str, low: int = 1, high: int = 1_000, autosomes: int = 22) -> DataFrame:
     """idx (order in the file), chr, name, gd, bp, a1, a2; chromosomes outside low..high are left out."""
-    order = F.monotonically_increasing_id()
-    rows = lines(spark, path).withColumn("o", order).withColumn("idx", F.row_number().over(Window.orderBy("o")) - 1)
+    rows = numbered_lines(lines(spark, path), "idx").withColumn("idx", F.col("idx").cast("int"))
     out = rows.select("idx", chromosome(_field(0), autosomes).alias("chr"), _field(1).alias("name"), number(_field(2)).alias("gd"), _field(3).cast("int").alias("bp"), F.upper(_field(4)).alias("a1"), F.upper(_field(5)).alias("a2"))
     return out.where(F.col("chr").between(low, high))
 
@@ -115,8 +115,7 @@ def read_many(read, spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def read_mach(spark: SparkSession, info: str, dose: str, least_rsq: float = 0.0) -> DataFrame:
     """(iid, name, dose) of MaCH dosages, for markers of at least this Rsq."""
-    order = F.monotonically_increasing_id()
-    markers = lines(spark, info).where(F.upper(_field(0)) != "SNP").withColumn("o", order).withColumn("k", F.row_number().over(Window.orderBy("o")) - 1).select("k", _field(0).alias("name"), number(_field(6)).alias("rsq"))
+    markers = numbered_lines(lines(spark, info).where(F.upper(_field(0)) != "SNP"), "k").select("k", _field(0).alias("name"), number(_field(6)).alias("rsq"))
     rows = lines(spark, dose).select(F.element_at(F.split(_field(0), "->"), -1).alias("iid"), F.posexplode(F.slice("t", 3, 10_000_000)).alias("k", "v"))
     return rows.join(markers.where(F.col("rsq") >= least_rsq), "k").select("iid", "name", number(F.col("v")).alias("dose"))
 
@@ -130,7 +129,7 @@ def read_beagle(spark: SparkSession, dose: str) -> DataFrame:
 
 def read_raw_genotypes(spark: SparkSession, path: str, skip: int = 0, cutoff: float = 0.7) -> DataFrame:
     """(iid, name, a1, a2) of an array report SNP, sample, allele 1, allele 2, GenCall score; low scores give 0."""
-    rows = spark.read.text(path).withColumn("o", F.monotonically_increasing_id()).withColumn("k", F.row_number().over(Window.orderBy("o"))).where(F.col("k") > skip)
+    rows = numbered_lines(spark.read.text(path), "k").where(F.col("k") >= skip)
     t = rows.select(tokens(F.regexp_replace("value", "[,\t]", " ")).alias("t"))
     good = number(_field(4)) >= cutoff
     return t.select(_field(1).alias("iid"), _field(0).alias("name"), F.when(good, F.upper(_field(2))).otherwise("0").alias("a1"), F.when(good, F.upper(_field(3))).otherwise("0").alias("a2"))
