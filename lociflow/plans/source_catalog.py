@@ -10,7 +10,7 @@ from lociflow.operators import relatedness as rel
 from lociflow.plans.catalog import DOSE, GRM, SCAN, STEADY, WINDOW_R, R, _dosages, query, rounded, steady
 from lociflow.plans.fixture import Fixture
 from lociflow.plans.storage import keep, place
-from lociflow.sources import binary, text
+from lociflow.sources import binary, pgen, text
 
 
 def line(*parts: str | Column) -> Column:
@@ -131,6 +131,21 @@ def sc12_pgen(f: Fixture) -> DataFrame:
     return binary.read_pgen(spark_of(f), path).select((F.col("iid") + 1).alias("iid"), (F.col("sid") + 1).alias("sid"), "gt")
 
 
+@query(f"{DOSE} SELECT g.iid, g.sid, round(p1 + 2 * p2, 3) + 0.0 AS gt FROM g LEFT JOIN d ON d.iid = g.iid AND d.sid = g.sid UNION ALL SELECT iid, sid + 1000000, CAST(gt AS DOUBLE) FROM g")
+def sc12_pgen_records(f: Fixture) -> DataFrame:
+    """Dosages, and after them all hard calls again, as records of varying width."""
+    from lociflow.operators.linkage import packed
+
+    path, spark = f"{place(spark_of(f))}.pgen", spark_of(f)
+    dosage = f.g.join(_dosages(f), ["iid", "sid"], "left").select("iid", "sid", (F.col("p1") + 2 * F.col("p2")).alias("gt"))
+    m = f.snp.count()
+    markers = packed(dosage).select("sid", "x").unionByName(packed(f.g).select((F.col("sid") + m).alias("sid"), "x"))
+    pgen.write_pgen_records(markers, path, f.ind.count())
+    back = pgen.read_pgen(spark, path)
+    sid = F.when(F.col("sid") < m, F.col("sid") + 1).otherwise(F.col("sid") - m + 1_000_001)
+    return back.select((F.col("iid") + 1).alias("iid"), sid.alias("sid"), (F.round("gt", 3) + F.lit(0.0)).alias("gt"))
+
+
 @query(f"{GRM} SELECT i - 1 AS i, j - 1 AS j, CAST(n AS DOUBLE) AS n, round(value, 4) + 0.0 AS value FROM grm")
 def sc16_grm_text(f: Fixture) -> DataFrame:
     a = text.read_grm_text(spark_of(f), written(f, rel.grm(f.g), "i", "j", "n", "value"))
