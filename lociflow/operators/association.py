@@ -313,6 +313,28 @@ def burden(g: DataFrame, members: DataFrame, most_maf: float = 1.0) -> DataFrame
     return j.groupBy("gene", "iid").agg(F.sum(25 * F.pow(1 - F.col("maf"), 24) * minor).alias("score"))
 
 
+def burden_score_scan(g: DataFrame, members: DataFrame, model: Logistic, ratio: float = 1.0, cutoff: float = 2.0, most_maf: float = 1.0) -> DataFrame:
+    """Score tests of a binary trait on genes: (gene, n, t, se_t, p_nospa, b, se, p, converge) of each gene's collapsed
+    score of n markers, tested as score_scan() tests a marker, with the saddle point beyond the cutoff. model and ratio
+    come from fits or from a table of saved ones (saved_logistic)."""
+    scores = burden(g.join(F.broadcast(g.sparkSession.createDataFrame([(int(i),) for i in model.ids], "iid long")), "iid"), members, most_maf)
+    number = members.groupBy("gene").agg(F.count_distinct("sid").alias("n")).withColumn("sid", F.xxhash64("gene"))
+    twice = number.groupBy("sid").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
+    if twice:
+        raise ValueError("two genes' names have one hash")
+    # weights may be tiny: scores are tested on the scale of counts, where the saddle point's steps are of a fit size
+    size = scores.groupBy("gene").agg((F.max(F.abs("score")) / 2).alias("size")).where("size > 0")
+    tested = score_scan(scores.join(size, "gene").select("iid", F.xxhash64("gene").alias("sid"), (F.col("score") / F.col("size")).alias("gt")), model, cutoff, ratio)
+    both = tested.join(number.join(size, "gene"), "sid")
+    scaled = [(F.col(c) * F.col("size")).alias(c) for c in ("t", "se_t")] + ["p_nospa"] + [(F.col(c) / F.col("size")).alias(c) for c in ("b", "se")]
+    return both.select("gene", "n", *scaled, "p", "converge")
+
+
+def saved_logistic(parts: dict[str, np.ndarray]) -> tuple[Logistic, float]:
+    """The model and its ratio from the arrays of a saved one: ids, y, mu, x and ratio."""
+    return Logistic(parts["ids"].astype(np.int64), parts["y"], parts["mu"], parts["x"]), float(parts.get("ratio", 1.0))
+
+
 def mixed_interaction_scan(g: DataFrame, y: DataFrame, env: DataFrame, vg: float, ve: float, matrix: np.ndarray, ids: np.ndarray, robust: bool = True) -> DataFrame:
     """The interaction scan of a phenotype with its polygenic part taken off: y becomes Ve V^-1 (y - mean)."""
     rows = y.orderBy("iid").toPandas().set_index("iid").reindex(ids)["y"].to_numpy(float)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.functions.stats import chi2_tail
-from lociflow.operators.association import linear_scan, null_markers
+from lociflow.operators.association import interaction_scan, linear_scan, null_markers
 from lociflow.operators.linkage import packed
 
 Store = Callable[[DataFrame], DataFrame]
@@ -338,3 +338,95 @@ def monte_carlo(g: DataFrame, entries: DataFrame, store: Store, seed: int = 1, r
         before, f_before, at = at, f_at, new
         f_at, vg = departure(at)
     return vg
+
+
+@dataclass
+class InteractionFit:
+    """Share rho of the relationships against those scaled by the environment, components, and log likelihood."""
+
+    rho: float
+    vg: float
+    ve: float
+    logl: float
+
+
+def interaction_entries(entries: DataFrame, env: DataFrame, rhos: np.ndarray) -> DataFrame:
+    """entries with rho and value = rho a + (1 - rho) e_i a e_j for each rho, y without its regression on e. env(iid, e) is
+    standardised over the individuals of entries; those without e are left out."""
+    own = entries.where("i = j").select(F.col("i").alias("iid"), "y").join(env.where("e is not null"), "iid")
+    s = own.agg(F.avg("e").alias("me"), F.stddev_samp("e").alias("se"), F.regr_slope("y", "e").alias("b"), F.avg("y").alias("my"))
+    known = own.join(F.broadcast(s)).select("iid", ((F.col("e") - F.col("me")) / F.col("se")).alias("e"), (F.col("y") - F.col("my") - F.col("b") * (F.col("e") - F.col("me"))).alias("left"))
+    d = entries.join(known.select(F.col("iid").alias("i"), F.col("e").alias("ei"), "left"), "i").join(known.select(F.col("iid").alias("j"), F.col("e").alias("ej")), "j")
+    d = d.withColumn("rho", F.explode(F.array(*[F.lit(float(r)) for r in rhos])))
+    value = F.col("value") * (F.col("rho") + (1 - F.col("rho")) * F.col("ei") * F.col("ej"))
+    return d.select("rho", "family", "members", "i", "j", value.alias("value"), F.when(F.col("i") == F.col("j"), F.col("left")).alias("y"))
+
+
+def fit_interaction(entries: DataFrame, env: DataFrame, store: Store, rhos: np.ndarray = np.linspace(0, 1, 11), most_share: float = 1.6, grid: int = 41, refine: int = 7, largest: int = 20_000) -> tuple[InteractionFit, DataFrame]:
+    """The rho and Vg, with Ve = Vp - Vg, of the highest restricted likelihood of V = Vg (rho A + (1 - rho) E A E) + Ve I,
+    and the entries of that rho.
+
+    Families are rotated once for every rho; then each round takes one pass for the points of all rhos, which are refined
+    between the neighbours of their own best one."""
+    every = store(interaction_entries(entries, env, rhos))
+
+    def rotate(rows: pd.DataFrame) -> pd.DataFrame:
+        _, m, y = _block(rows, largest)
+        w, u = np.linalg.eigh(m)
+        return pd.DataFrame({"rho": rows["rho"].iloc[0], "w": w, "y": u.T @ y, "one": u.sum(axis=0)})
+
+    alone = every.where("members = 1").select("rho", F.col("value").alias("w"), "y", F.lit(1.0).alias("one"))
+    rows = store(alone.unionByName(every.where("members > 1").groupBy("rho", "family").applyInPandas(rotate, "rho double, w double, y double, one double")))
+    first = every.where((F.col("rho") == float(rhos[0])) & (F.col("i") == F.col("j")))
+    n, yy = first.agg(F.count("*"), F.sum(F.col("y") * F.col("y"))).first()
+    if n < 3 or not yy:
+        raise ValueError("the phenotype does not vary beside the environment")
+    vp = yy / (n - 2)
+    names = ("bad", "logdet", "xx", "xy", "yy")
+
+    def values(points: dict[float, np.ndarray]) -> dict[float, np.ndarray]:
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = {r: np.zeros((len(p), 5)) for r, p in points.items()}
+            for b in batches:
+                for rho, d in b.groupby("rho"):
+                    at = points[rho]
+                    for s in range(0, len(d), 4096):
+                        w, y, one = (d[c].to_numpy()[s : s + 4096] for c in ("w", "y", "one"))
+                        v = at[:, None] * w + (vp - at)[:, None]
+                        ok = v > 0
+                        v = np.where(ok, v, 1.0)
+                        total[rho] += np.stack([(~ok).sum(1), np.log(v).sum(1), (one * one / v).sum(1), (one * y / v).sum(1), (y * y / v).sum(1)], axis=1)
+            for rho, t in total.items():
+                yield pd.DataFrame({"rho": rho, "k": np.arange(len(t)), **{c: t[:, i] for i, c in enumerate(names)}})
+
+        s = rows.mapInPandas(partial, "rho double, k int, " + ", ".join(f"{c} double" for c in names))
+        s = s.groupBy("rho", "k").agg(*(F.sum(c).alias(c) for c in names)).toPandas()  # a row a point
+        out = {}
+        for rho, t in s.groupby("rho"):
+            t = t.sort_values("k")
+            with np.errstate(divide="ignore", invalid="ignore"):
+                logl = -0.5 * (t.logdet + np.log(t.xx) + t.yy - t.xy * t.xy / t.xx)
+            out[float(rho)] = np.where(t.bad > 0, -np.inf, logl)
+        return out
+
+    points = {float(r): np.linspace(0.0, most_share * vp, grid) for r in rhos}
+    logl = values(points)
+    for _ in range(refine):
+        for r, p in points.items():
+            k = int(np.argmax(logl[r]))
+            points[r] = np.linspace(p[max(k - 1, 0)], p[min(k + 1, len(p) - 1)], 11)
+        logl = values(points)
+    best = max(points, key=lambda r: logl[r].max())
+    k = int(np.argmax(logl[best]))
+    found = InteractionFit(best, float(points[best][k]), float(vp - points[best][k]), float(logl[best][k]))
+    return found, every.where(F.col("rho") == best).drop("rho")
+
+
+def interaction_family_scan(g: DataFrame, entries: DataFrame, env: DataFrame, store: Store, robust: bool = True, rhos: np.ndarray = np.linspace(0, 1, 11)) -> tuple[InteractionFit, DataFrame]:
+    """The fit, and the interaction scan of Ve V^-1 y, y without its polygenic part, family by family; where Vg or Ve is
+    nothing, of y itself."""
+    found, chosen = fit_interaction(entries, env, store, rhos)
+    own = chosen.where("i = j").select(F.col("i").alias("iid"), "y")
+    if found.vg > 0 and found.ve > 1e-6 * (found.vg + found.ve):
+        own = inverse(chosen, found.vg, found.ve).where("i = j").select(F.col("i").alias("iid"), (F.col("vy") * found.ve).alias("y"))
+    return found, interaction_scan(g, store(own), env, robust)

@@ -1155,6 +1155,26 @@ def g15_burden_test(f: Fixture) -> DataFrame:
     return rounded(stats.regression(score.join(f.pheno, "iid"), "score", "y", "gene").select("gene", "n", "b", "r2"), "b", "r2")
 
 
+@query()
+def g15_burden_score_test(f: Fixture) -> DataFrame:
+    """Genes of a binary trait by score and saddle point, from a null model that is saved and read back."""
+    from lociflow.plans.storage import place
+    from lociflow.sources.text import read_model, write_model
+
+    m, path, spark = assoc.fit_logistic(_binary(f)), place(f.ind.sparkSession), f.ind.sparkSession
+    write_model(spark, path, ids=m.ids, y=m.y, mu=m.mu, x=m.x, ratio=1.0)
+    model, ratio = assoc.saved_logistic(read_model(spark, path))
+    d = assoc.burden_score_scan(f.g, ss.members(f.snp, f.genes, 0), model, ratio)
+    return rounded(d, "t", "se_t", "p_nospa", "b", "se", "p")
+
+
+@query()
+def g10_interaction_grid(f: Fixture) -> DataFrame:
+    """Family by family: the best share of relationships against those scaled by the environment, then the scan."""
+    _, d = fm.interaction_family_scan(f.g, _families(f), f.env, keep)
+    return rounded(d, *d.columns[1:])
+
+
 @query()
 def g13_g14_binary_mixed_scan(f: Fixture) -> DataFrame:
     """Score tests of a binary trait with the mixed model's fitted means and its gamma."""

@@ -101,7 +101,7 @@ def test_file_round_trip(spark, tmp_path, monkeypatch):
         for batch in reader.read(p):
             s = batch.column("sid")[0].as_py()
             got = batch.column("gt").to_numpy(zero_copy_only=False).astype(float)
-            assert np.array_equal(np.isnan(got), np.isnan(rows[s])) and np.nanmax(np.abs(got - rows[s])) <= 0.5 / pgen.SCALE
+            assert np.array_equal(np.isnan(got), np.isnan(rows[s])) and np.nanmax(np.abs(got - rows[s]), initial=0) <= 0.5 / pgen.SCALE
     monkeypatch.undo()
     pgen.write_pgen_records(frame, path, n)
     assert pgen.read_pgen(spark, path, 7).count() == n * len(rows)
