@@ -649,7 +649,11 @@ def g4_mixed_scan_approximate(f: Fixture) -> DataFrame:
 
 
 def _families(f: Fixture) -> DataFrame:
-    return fm.family_entries(rel.sparse(rel.grm(f.g), 0.05), f.pheno, keep)
+    """Relationships over the cutoff that one pair for every four individuals passes: many families of a few members."""
+    a = keep(rel.grm(f.g))
+    n = a.where("i = j").count()
+    cutoff = a.where("i <> j").agg(F.percentile("value", 1 - 1 / (2 * max(n - 1, 1)))).first()[0]
+    return fm.family_entries(rel.sparse(a, cutoff), f.pheno, keep)
 
 
 @query()
