@@ -30,6 +30,24 @@ def carried(parts: DataFrame, value: str, forward: bool = True) -> DataFrame:
     return parts.select("part_", F.min(value).over(w).alias("before_"))
 
 
+def running_sum(df: DataFrame, value: str, *order: str | Column, name: str = "size") -> DataFrame:
+    """df with the sum of the row's value and those of all rows before it in the order."""
+    rows = ranged(df, *order)
+    before = carried(rows.groupBy("part_").agg(F.sum(value).alias("v")), "v")
+    own = F.sum(value).over(Window.partitionBy("part_").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.join(F.broadcast(before), "part_").withColumn(name, own + F.col("before_")).drop("part_", "before_")  # a row a partition
+
+
+def greatest_before(df: DataFrame, value: str, *order: str | Column, name: str = "greatest") -> DataFrame:
+    """df with the greatest value of all rows before it in the order; null where none has one."""
+    rows = ranged(df, *order)
+    before = Window.unboundedPreceding
+    parts = rows.groupBy("part_").agg(F.max(value).alias("v"))
+    parts = parts.select("part_", F.max("v").over(Window.partitionBy().orderBy("part_").rowsBetween(before, -1)).alias("before_"))
+    own = F.max(value).over(Window.partitionBy("part_").orderBy(*order).rowsBetween(before, -1))
+    return rows.join(F.broadcast(parts), "part_").withColumn(name, F.greatest(own, "before_")).drop("part_", "before_")  # a row a partition
+
+
 def numbered(df: DataFrame, *order: str, name: str = "place") -> DataFrame:
     """df with the row's number in the order, from 0. Rows equal in all of the order stand in any order."""
     rows = ranged(df, *order)

@@ -284,73 +284,6 @@ class Region:
         return sorted(chosen)
 
 
-def regions(s: DataFrame, pairs: DataFrame, snp: DataFrame) -> DataFrame:
-    """One row for each chromosome: the arrays of its markers (sid, b, se, n_eff, 2pq, reference variance) and LD pairs.
-    s: (sid, b, se, freq, n_eff, v)."""
-    m = s.join(snp.select("sid", "chr", "bp"), "sid").groupBy("chr").agg(F.array_sort(F.collect_list(F.struct("bp", "sid", "b", "se", "freq", "n_eff", "v"))).alias("m"))
-    p = pairs.join(snp.select(F.col("sid").alias("sid1"), "chr"), "sid1").groupBy("chr").agg(F.collect_list(F.struct("sid1", "sid2", "r")).alias("ld"))
-    return m.join(p, "chr", "left")
-
-
-def region_of(m, ld, vp: float) -> Region:
-    col = lambda k: np.array([v[k] for v in m], float)
-    sid, f = np.array([v["sid"] for v in m]), col("freq")
-    at = {int(v): i for i, v in enumerate(sid)}
-    r = np.eye(len(sid))
-    for v in ld if ld is not None else ():
-        if v["sid1"] in at and v["sid2"] in at:
-            i, j = at[v["sid1"]], at[v["sid2"]]
-            r[i, j] = r[j, i] = v["r"]
-    return Region(sid, col("b"), col("se"), col("n_eff"), 2 * f * (1 - f), col("v"), r, vp)
-
-
-def cojo(s: DataFrame, pairs: DataFrame, snp: DataFrame, vp: float, most_p: float = 5e-8, top: int | None = None) -> DataFrame:
-    """(chr, sid, b, se, bj, bj_se, pj): markers that stepwise selection keeps on each chromosome, with joint effects."""
-
-    def select(batches):
-        for batch in batches:
-            rows = []
-            for c, m, ld in zip(batch["chr"], batch["m"], batch["ld"]):
-                g = region_of(m, ld, vp)
-                chosen = g.stepwise(most_p, top=top)
-                if chosen:
-                    bj, sj = g.joint(chosen)
-                    rows += [(int(c), int(g.sid[k]), g.b[k], g.se[k], b, e, chi2_tail(float((b / e) ** 2))) for k, b, e in zip(chosen, bj, sj)]
-            yield pd.DataFrame(rows, columns=["chr", "sid", "b", "se", "bj", "bj_se", "pj"])
-
-    return regions(s, pairs, snp).mapInPandas(select, "chr int, sid long, b double, se double, bj double, bj_se double, pj double")
-
-
-def cojo_conditional(s: DataFrame, pairs: DataFrame, snp: DataFrame, vp: float, given: list[int]) -> DataFrame:
-    """(chr, sid, bc, bc_se, chi2) of all markers given some of their chromosome; none given: as they are."""
-
-    def condition(batches):
-        for batch in batches:
-            rows = []
-            for c, m, ld in zip(batch["chr"], batch["m"], batch["ld"]):
-                g = region_of(m, ld, vp)
-                chosen = [i for i, v in enumerate(g.sid) if int(v) in given]
-                b, e = g.conditional(chosen) if chosen else (g.b, g.se)
-                rows += [(int(c), int(v), x, y, (x / y) ** 2) for v, x, y in zip(g.sid, b, e) if x == x]
-            yield pd.DataFrame(rows, columns=["chr", "sid", "bc", "bc_se", "chi2"])
-
-    return regions(s, pairs, snp).mapInPandas(condition, "chr int, sid long, bc double, bc_se double, chi2 double")
-
-
-def sblup(s: DataFrame, pairs: DataFrame, snp: DataFrame, shrink: float) -> DataFrame:
-    """(sid, u): solves (R_w N + shrink I) u = sqrt(2pq) N b on each chromosome; R_w is LD inside the window."""
-
-    def solve(batches):
-        for batch in batches:
-            for m, ld in zip(batch["m"], batch["ld"]):
-                g = region_of(m, ld, 1.0)
-                a = g.r * np.minimum.outer(g.n, g.n)
-                np.fill_diagonal(a, g.n + shrink)
-                yield pd.DataFrame({"sid": g.sid, "u": np.linalg.solve(a, np.sqrt(g.h) * g.n * g.b)})
-
-    return regions(s, pairs, snp).mapInPandas(solve, "sid long, u double")
-
-
 def instrument_ld(sids, pairs, n: int, most_r2: float = 0.05, fdr: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """(kept, r): instruments that stay and their correlations, of which those that chance explains are zero.
 

@@ -15,6 +15,7 @@ from lociflow.operators import markers as mk
 from lociflow.operators import matrix_free as mf
 from lociflow.operators import population as popn
 from lociflow.operators import relatedness as rel
+from lociflow.operators import sparse_ld as sp
 from lociflow.operators import summary as ss
 from lociflow.operators import variance as var
 from lociflow.plans.fixture import DUCKDB, Fixture, fixture
@@ -960,21 +961,35 @@ def _cojo_rows(f: Fixture) -> tuple[DataFrame, DataFrame, float]:
 @query()
 def m1_cojo(f: Fixture) -> DataFrame:
     rows, pairs, vp = _cojo_rows(f)
-    d = ss.cojo(rows, pairs, f.snp, vp, most_p=0.01)
+    d = sp.cojo(rows, pairs, f.snp, vp, most_p=0.01)
+    return rounded(d, *d.columns[2:])
+
+
+@query()
+def m1_cojo_top(f: Fixture) -> DataFrame:
+    rows, pairs, vp = _cojo_rows(f)
+    d = sp.cojo(rows, pairs, f.snp, vp, most_p=0.5, top=25, way="forward")
+    return rounded(d, *d.columns[2:])
+
+
+@query()
+def m2_cojo_joint(f: Fixture) -> DataFrame:
+    rows, pairs, vp = _cojo_rows(f)
+    d = sp.cojo_joint(rows, pairs, f.snp, vp, f.snp.where("sid % 20 = 0"))
     return rounded(d, *d.columns[2:])
 
 
 @query()
 def m3_cojo_conditional(f: Fixture) -> DataFrame:
     rows, pairs, vp = _cojo_rows(f)
-    d = ss.cojo_conditional(rows, pairs, f.snp, vp, [20, 60])
+    d = sp.cojo_conditional(rows, pairs, f.snp, vp, [20, 60])
     return rounded(d, *d.columns[2:])
 
 
 @query()
 def m5_sblup(f: Fixture) -> DataFrame:
     rows, pairs, _ = _cojo_rows(f)
-    return rounded(ss.sblup(rows, pairs, f.snp, 1000.0), "u")
+    return rounded(sp.sblup(rows, pairs, f.snp, 1000.0), "u")
 
 
 def _gene_ld(f: Fixture) -> DataFrame:
