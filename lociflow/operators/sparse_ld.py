@@ -87,7 +87,8 @@ class Model:
         self.rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # places, rows of both factors
         self.y: list[float] = []
 
-    def enter(self, c: int) -> None:
+    def enter(self, c: int) -> bool:
+        """Whether the marker could enter: not where the products with it aren't positive, as of copies of others."""
         g = self.band
         to, r = g.row(c)
         w, v = np.zeros((2, len(g.b)))
@@ -102,7 +103,7 @@ class Model:
             v[at] -= vr * vr[k]
             reach.append(at)
         if w[c] <= 1e-10 or v[c] <= 1e-10 * g.d[c]:
-            raise ValueError(f"marker {g.sid[c]} is a combination of others of the joint model")
+            return False
         at = np.unique(np.concatenate(reach))
         wr, vr = w[at] / np.sqrt(w[c]), v[at] / np.sqrt(v[c])
         self.y.append(y / np.sqrt(v[c]))
@@ -110,12 +111,19 @@ class Model:
         self.chosen.append(c)
         self.told[at] += wr * wr
         self.bc[at] -= vr * self.y[-1] / g.d[at]
+        return True
+
+    def take(self, markers) -> Model:
+        """The model with all of the markers; an error if one is a combination of others."""
+        for c in markers:
+            if not self.enter(int(c)):
+                raise ValueError(f"marker {self.band.sid[c]} is a combination of others of the joint model")
+        return self
 
     def leave(self, k: int) -> None:
         rest = [c for c in self.chosen if c != k]
         self.clear()
-        for c in rest:
-            self.enter(c)
+        self.take(rest)
 
     def chi(self, most: float) -> np.ndarray:
         """Chi-squares given the model; -1 for its markers and what it nearly tells."""
@@ -148,9 +156,7 @@ def stepwise(band: Band, most_p: float, most: float, way: str = "stepwise", top:
     all in, then out. top: stop at so many markers; steps: stop after so many entries."""
     model, taken, barred = Model(band), [], set()
     if way == "backward":
-        for c in range(len(band.b)):
-            model.enter(c)
-        thin(model, most_p, set())
+        thin(model.take(range(len(band.b))), most_p, set())
         return model, []
     while (top is None or len(model.chosen) < top) and (steps is None or len(taken) < steps):
         chi = model.chi(most)
@@ -162,7 +168,9 @@ def stepwise(band: Band, most_p: float, most: float, way: str = "stepwise", top:
             barred.add(k)
             continue
         size = len(model.chosen)
-        model.enter(k)
+        if not model.enter(k):
+            barred.add(k)
+            continue
         if way == "stepwise":
             thin(model, most_p, barred)
         taken.append((float(chi[k]), len(model.chosen) - size))
@@ -278,10 +286,7 @@ def cojo_joint(s: DataFrame, pairs: DataFrame, snp: DataFrame, vp: float, given:
     markers, runs = placed(given_rows(s, given).where("given").drop("given"), pairs, snp)
 
     def work(rows: pd.DataFrame, g: Band) -> pd.DataFrame:
-        model = Model(g)
-        for c in range(len(rows)):
-            model.enter(c)
-        return selected_rows(rows, g, model)
+        return selected_rows(rows, g, Model(g).take(range(len(rows))))
 
     return by_region(markers, runs, vp, work, JOINT)
 
@@ -295,9 +300,7 @@ def cojo_conditional(s: DataFrame, pairs: DataFrame, snp: DataFrame, vp: float,
     markers = markers.join(of, "chr", "left").fillna(False, ["told"])
 
     def work(rows: pd.DataFrame, g: Band) -> pd.DataFrame:
-        model = Model(g)
-        for c in np.flatnonzero(rows["given"].to_numpy()):
-            model.enter(int(c))
+        model = Model(g).take(np.flatnonzero(rows["given"].to_numpy()))
         se = np.sqrt(vp / g.d) if rows["told"].iat[0] else g.se
         left = (model.told < most) & ~rows["given"].to_numpy(bool)
         return pd.DataFrame({"chr": rows["chr"].to_numpy(), "sid": g.sid, "bc": model.bc, "bc_se": se, "chi2": (model.bc / se) ** 2})[left]

@@ -299,42 +299,6 @@ def project(g: DataFrame, loadings: DataFrame) -> DataFrame:
     return j.groupBy("iid", "k").agg(F.sum((F.col("gt") - mu) / F.sqrt(mu * (1 - mu / 2)) * F.col("loading")).alias("score"))
 
 
-def he_regression(y: DataFrame, *matrices: DataFrame) -> DataFrame:
-    """Haseman-Elston regression over pairs of relatives: cross products (cp) and squared differences (sd) of standardised
-    y on the matrices' off-diagonal values; coefficients with errors from least squares and from leaving out one
-    individual at a time. Pair sums are grouped by individual, so no pair reaches the driver."""
-    m = F.broadcast(y.agg(F.avg("y").alias("m"), F.stddev_samp("y").alias("s")))
-    z = y.join(m).select("iid", ((F.col("y") - F.col("m")) / F.col("s")).alias("z"))
-    pairs = matrices[0].where("i <> j").select("i", "j", F.col("value").alias("a1"))
-    for k, a in enumerate(matrices[1:], 2):
-        pairs = pairs.join(a.select("i", "j", F.col("value").alias(f"a{k}")), ["i", "j"])
-    pairs = pairs.join(z.select(F.col("iid").alias("i"), F.col("z").alias("zi")), "i").join(z.select(F.col("iid").alias("j"), F.col("z").alias("zj")), "j")
-    pairs = pairs.withColumn("cp", F.col("zi") * F.col("zj")).withColumn("sd", (F.col("zi") - F.col("zj")) * (F.col("zi") - F.col("zj"))).withColumn("a0", F.lit(1.0))
-    names = [f"a{k}" for k in range(len(matrices) + 1)] + ["cp", "sd"]
-    products = [F.sum(F.col(p) * F.col(q)).alias(f"{p}_{q}") for i, p in enumerate(names) for q in names[i:]]
-    by = pairs.withColumn("iid", F.explode(F.array("i", "j"))).groupBy("iid").agg(*products).toPandas()  # a row for each individual
-    total = by.drop(columns="iid").sum() / 2
-    k = len(matrices) + 1
-
-    def solve(s, response: str) -> tuple[np.ndarray, np.ndarray]:
-        at = lambda p, q: s[f"{p}_{q}"] if f"{p}_{q}" in s else s[f"{q}_{p}"]
-        xx = np.array([[at(p, q) for q in names[:k]] for p in names[:k]], float)
-        xy = np.array([at(p, response) for p in names[:k]], float)
-        inverse = np.linalg.pinv(xx)
-        b = inverse @ xy
-        s2 = (at(response, response) - b @ xy) / (xx[0, 0] - k)
-        return b, np.sqrt(np.maximum(s2 * np.diag(inverse), 0))
-
-    out = []
-    for response, scale in (("cp", 1.0), ("sd", -0.5)):
-        b, se = solve(total, response)
-        left = np.array([solve(total - row, response)[0] for _, row in by.drop(columns="iid").iterrows()])
-        n = len(left)
-        jack = np.sqrt(((left - left.mean(axis=0)) ** 2).sum(axis=0) * (n - 1) / n)
-        out += [(response, i, float(b[i]) * (scale if i else 1.0), float(se[i]) * (abs(scale) if i else 1.0), float(jack[i]) * (abs(scale) if i else 1.0)) for i in range(k)]
-    return y.sparkSession.createDataFrame(out, "response string, term int, estimate double, se_ols double, se_jackknife double")
-
-
 def pair_table(y: DataFrame, a: DataFrame, traits: tuple[str, ...] = ("y",)) -> DataFrame:
     """Off-diagonal pairs (i, j, value) with each trait standardised: z_TRAIT_i and z_TRAIT_j."""
     m = F.broadcast(y.agg(*[f(t).alias(f"{k}_{t}") for t in traits for k, f in (("m", F.avg), ("s", F.stddev_samp))]))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lociflow.functions import ranks, stats, text
 from lociflow.operators import association as assoc
 from lociflow.operators import family_mixed as fm
+from lociflow.operators import haseman_elston as he
 from lociflow.operators import linkage as ld
 from lociflow.operators import markers as mk
 from lociflow.operators import matrix_free as mf
@@ -808,9 +809,44 @@ def g16_g17_scan_matrix_free(f: Fixture) -> DataFrame:
     return rounded(d, *d.columns[1:])
 
 
-@query()
+#: Haseman-Elston regression by SQL's own regression aggregates: over all pairs c(response, i, j, value, c), and again
+#: without each individual, as the sums of all pairs less those of the individual.
+LEFT_OUT = """, sa AS (SELECT response, count(*) AS n, sum(value) AS sx, sum(value * value) AS sxx, sum(c) AS sc, sum(value * c) AS sxc, sum(c * c) AS scc FROM c GROUP BY response),
+si AS (SELECT response, iid, count(*) AS n, sum(value) AS sx, sum(value * value) AS sxx, sum(c) AS sc, sum(value * c) AS sxc FROM (SELECT *, i AS iid FROM c UNION ALL SELECT *, j FROM c) GROUP BY response, iid),
+lo AS (SELECT sa.response, iid, sa.n - si.n AS n, sa.sx - si.sx AS sx, sa.sxx - si.sxx AS sxx, sa.sc - si.sc AS sc, sa.sxc - si.sxc AS sxc FROM sa JOIN si ON si.response = sa.response),
+jb AS (SELECT response, iid, (n * sxc - sx * sc) / (n * sxx - sx * sx) AS b1, (sc * sxx - sx * sxc) / (n * sxx - sx * sx) AS b0 FROM lo),
+je AS (SELECT response, sqrt(var_pop(b0) * (count(*) - 1)) AS j0, sqrt(var_pop(b1) * (count(*) - 1)) AS j1 FROM jb GROUP BY response),
+ab AS (SELECT *, (n * sxc - sx * sc) / (n * sxx - sx * sx) AS b1, (sc * sxx - sx * sxc) / (n * sxx - sx * sx) AS b0, n * sxx - sx * sx AS det FROM sa),
+fit AS (SELECT ab.*, j0, j1, (scc - b0 * sc - b1 * sxc) / (n - 2) AS s2 FROM ab JOIN je ON je.response = ab.response)"""
+ZY = "zy AS (SELECT ind.iid, (y - avg(y) OVER ()) / stddev_samp(y) OVER () AS a, (bal - avg(bal) OVER ()) / stddev_samp(bal) OVER () AS b FROM ind JOIN pheno ON pheno.iid = ind.iid), pr AS (SELECT i, j, value, x.a AS ai, x.b AS bi, y.a AS aj, y.b AS bj FROM grm JOIN zy x ON x.iid = i JOIN zy y ON y.iid = j WHERE i <> j)"
+A28 = f"""{GRM}, {ZY}, c AS (SELECT 'cp' AS response, i, j, value, ai * aj AS c FROM pr UNION ALL SELECT 'sd', i, j, value, (ai - aj) * (ai - aj) FROM pr){LEFT_OUT},
+h AS (SELECT *, CASE response WHEN 'sd' THEN -0.5 ELSE 1.0 END::DOUBLE AS k FROM fit)
+SELECT response, CAST(0 AS INT) AS term, {R('b0', 'estimate')}, {R('sqrt(s2 * sxx / det)', 'se_ols')}, {R('j0', 'se_jackknife')} FROM h
+UNION ALL SELECT response, CAST(1 AS INT), {R('b1 * k', 'estimate')}, {R('sqrt(s2 * n / det) * abs(k)', 'se_ols')}, {R('j1 * abs(k)', 'se_jackknife')} FROM h"""
+A29 = f"""{GRM}, {ZY}, c AS (SELECT 'one' AS response, i, j, value, ai * aj AS c FROM pr UNION ALL SELECT 'two', i, j, value, bi * bj FROM pr UNION ALL SELECT 'both', i, j, value, ai * bj FROM pr UNION ALL SELECT 'both', i, j, value, bi * aj FROM pr){LEFT_OUT},
+rj AS (SELECT iid, max(CASE WHEN response = 'one' THEN b1 END) AS b1, max(CASE WHEN response = 'two' THEN b1 END) AS b2, max(CASE WHEN response = 'both' THEN b1 END) AS b12 FROM jb GROUP BY iid),
+re AS (SELECT sqrt(var_pop(b12 / sqrt(b1 * b2)) * (count(*) - 1)) AS se FROM rj WHERE b1 * b2 > 0),
+rg AS (SELECT max(CASE WHEN response = 'one' THEN b1 END) AS b1, max(CASE WHEN response = 'two' THEN b1 END) AS b2, max(CASE WHEN response = 'both' THEN b1 END) AS b12 FROM fit)
+SELECT response, CAST(0 AS INT) AS term, {R('b0', 'estimate')}, {R('sqrt(s2 * sxx / det)', 'se_ols')}, {R('j0', 'se_jackknife')} FROM fit
+UNION ALL SELECT response, CAST(1 AS INT), {R('b1', 'estimate')}, {R('sqrt(s2 * n / det)', 'se_ols')}, {R('j1', 'se_jackknife')} FROM fit
+UNION ALL SELECT 'rg', CAST(1 AS INT), CASE WHEN b1 * b2 > 0 THEN round(b12 / sqrt(b1 * b2), 6) + 0.0 END, CAST(NULL AS DOUBLE), CASE WHEN b1 * b2 > 0 THEN round(se, 6) + 0.0 END FROM rg LEFT JOIN re ON true"""
+
+
+@query(A28)
 def a28_he_regression(f: Fixture) -> DataFrame:
-    return rounded(var.he_regression(f.pheno, rel.grm(f.g)), "estimate", "se_ols", "se_jackknife")
+    return rounded(he.regression(f.pheno, rel.grm(f.g)), "estimate", "se_ols", "se_jackknife")
+
+
+@query()
+def a28_he_two_matrices(f: Fixture) -> DataFrame:
+    two = (rel.grm(f.g.where(f"sid % 2 = {k}")) for k in (0, 1))
+    return rounded(he.regression(f.pheno, *two), "estimate", "se_ols", "se_jackknife")
+
+
+@query(A29)
+def a29_he_jackknife(f: Fixture) -> DataFrame:
+    y = f.pheno.join(f.ind.select("iid", "bal"), "iid")
+    return rounded(he.bivariate(y, "y", "bal", rel.grm(f.g)), "estimate", "se_ols", "se_jackknife")
 
 
 @query(f"{GRM}, zy AS (SELECT ind.iid, (y - avg(y) OVER ()) / stddev_samp(y) OVER () AS a, (bal - avg(bal) OVER ()) / stddev_samp(bal) OVER () AS b FROM ind JOIN pheno ON pheno.iid = ind.iid), pr AS (SELECT value, x.a AS ai, x.b AS bi, y.a AS aj, y.b AS bj FROM grm JOIN zy x ON x.iid = i JOIN zy y ON y.iid = j WHERE i <> j), c AS (SELECT 'one' AS response, value, ai * aj AS c FROM pr UNION ALL SELECT 'two', value, bi * bj FROM pr UNION ALL SELECT 'both', value, ai * bj FROM pr UNION ALL SELECT 'both', value, bi * aj FROM pr) SELECT response, {R('regr_intercept(c, value)', 'intercept')}, {R('regr_slope(c, value)', 'slope')} FROM c GROUP BY response")
@@ -979,7 +1015,15 @@ def m2_cojo_joint(f: Fixture) -> DataFrame:
     return rounded(d, *d.columns[2:])
 
 
-@query()
+M3 = f"""{SCAN}, {VP}, m AS (SELECT scan.sid, chr, b, se, 2 * af * (1 - af) AS h, (vp - 2 * af * (1 - af) * b * b) / (2 * af * (1 - af) * se * se) + 1 AS n FROM scan CROSS JOIN vp JOIN snp ON snp.sid = scan.sid),
+x AS (SELECT g.sid, iid, chr, coalesce(gt - f.mu, 0) AS x FROM g JOIN (SELECT sid, avg(gt) AS mu FROM g GROUP BY sid) f ON f.sid = g.sid JOIN snp ON snp.sid = g.sid),
+ld AS (SELECT o.sid, sum(a.x * o.x) / sqrt(sum(a.x * a.x) * sum(o.x * o.x)) AS r FROM x a JOIN x o ON a.iid = o.iid AND a.chr = o.chr WHERE a.sid IN (20, 60) GROUP BY o.sid),
+j AS (SELECT m.*, c.sid AS given, coalesce(r, 0) AS r, c.b AS cb, c.n AS cn, c.h AS ch, vp FROM m CROSS JOIN vp LEFT JOIN m c ON c.sid IN (20, 60) AND c.chr = m.chr LEFT JOIN ld ON ld.sid = m.sid),
+q AS (SELECT chr, sid, CASE WHEN given IS NULL THEN b ELSE b - r * least(n, cn) * sqrt(h * ch) * cb / (h * n) END AS bc, CASE WHEN given IS NULL THEN se ELSE sqrt(vp / (h * n)) END AS bc_se FROM j WHERE sid NOT IN (20, 60) AND r * r < 0.9)
+SELECT chr, sid, {R('bc', 'bc')}, {R('bc_se', 'bc_se')}, {R('(bc / bc_se) * (bc / bc_se)', 'chi2')} FROM q"""
+
+
+@query(M3)
 def m3_cojo_conditional(f: Fixture) -> DataFrame:
     rows, pairs, vp = _cojo_rows(f)
     d = sp.cojo_conditional(rows, pairs, f.snp, vp, [20, 60])
