@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.functions.stats import cauchy_combine, chi2_mixture_tail, chi2_tail
+from lociflow.operators import heidi as hd
 from lociflow.operators.linkage import clump, window_pairs
 
 
@@ -311,12 +312,24 @@ def instrument_ld(sids, pairs, n: int, most_r2: float = 0.05, fdr: float = 0.05)
     return kept, r
 
 
-def gsmr(bzx, bzx_se, bzy, bzy_se, r: np.ndarray | None = None, heidi_p: float = 0.01) -> dict:
+def gsmr(bzx, bzx_se, bzy, bzy_se, r: np.ndarray | None = None, heidi_p: float = 0.01, heidi: str = "mean", global_p: float = 0.01) -> dict:
     """Effect of exposure on outcome over instruments: generalised least-squares mean of bzy / bzx, with the covariance of
-    ratios from both errors and LD; instruments whose ratio departs (HEIDI) are left out first, the worst at a time."""
+    ratios from both errors and LD; instruments whose ratio departs (HEIDI) are left out first.
+
+    heidi: from the `mean`, the worst at a time; from the `top` instrument of the middle fifth, in one pass; or
+    `iterated`, from a top that is chosen anew each time, and then all together by the global test at global_p, whose
+    p-value is global_p of the result (else None)."""
+    if heidi not in ("mean", "top", "iterated"):
+        raise ValueError(f"unknown form {heidi!r}")
     bzx, bzx_se, bzy, bzy_se = (np.asarray(v, float) for v in (bzx, bzx_se, bzy, bzy_se))
     r = np.eye(len(bzx)) if r is None else r
-    keep = np.arange(len(bzx))
+    keep, whole = np.arange(len(bzx)), None
+    if heidi != "mean" and heidi_p > 0:
+        ratio, chi, cov = bzy / bzx, (bzx / bzx_se) ** 2, hd.ratio_covariance(bzx, bzx_se, bzy, bzy_se, r)
+        if heidi == "top":
+            keep = hd.against_top(ratio, chi, cov, heidi_p)
+        else:
+            keep, whole = hd.iterated(ratio, chi, (bzy / bzy_se) ** 2, cov, heidi_p, global_p)
 
     def mean(k: np.ndarray) -> tuple[float, float, np.ndarray]:
         ratio = bzy[k] / bzx[k]
@@ -332,10 +345,10 @@ def gsmr(bzx, bzx_se, bzy, bzy_se, r: np.ndarray | None = None, heidi_p: float =
         var = np.diag(cov) + se * se - 2 * (cov @ w) * se * se
         p = np.array([chi2_tail(float(d * d / v)) if v > 0 else 1.0 for d, v in zip(diff, var)])
         worst = int(np.argmin(p))
-        if heidi_p <= 0 or p[worst] >= heidi_p or len(keep) <= 3:
+        if heidi != "mean" or heidi_p <= 0 or p[worst] >= heidi_p or len(keep) <= 3:
             break
         keep = np.delete(keep, worst)
-    return {"bxy": b, "se": se, "p": chi2_tail((b / se) ** 2), "n": len(keep), "kept": keep}
+    return {"bxy": b, "se": se, "p": chi2_tail((b / se) ** 2), "n": len(keep), "kept": keep, "global_p": whole}
 
 
 def selected_ld(g: DataFrame, selected: DataFrame) -> DataFrame:
@@ -345,12 +358,12 @@ def selected_ld(g: DataFrame, selected: DataFrame) -> DataFrame:
     return window_pairs(g.join(selected.select("sid"), "sid", "left_semi"), at_one_place, 0, "cosine")
 
 
-def gsmr_traits(s: DataFrame, g: DataFrame, snp: DataFrame, exposures: list[str], outcomes: list[str], store, direction: str = "forward", least_chi2: float = 29.7168, least: int = 10, window: int = 10_000_000, heidi_p: float = 0.01) -> tuple[DataFrame, DataFrame]:
+def gsmr_traits(s: DataFrame, g: DataFrame, snp: DataFrame, exposures: list[str], outcomes: list[str], store, direction: str = "forward", least_chi2: float = 29.7168, least: int = 10, window: int = 10_000_000, heidi_p: float = 0.01, heidi: str = "mean") -> tuple[DataFrame, DataFrame]:
     """(results, instruments) of every exposure on every outcome (`forward`), the other way round (`reverse`) or `both`.
 
     s: (sid, trait, b, se, chi2), alleles aligned. results: (exposure, outcome, bxy, se, p, n), null where fewer than
-    `least` instruments are left; instruments: (exposure, outcome, sid, outlier), outlier for those that HEIDI leaves out.
-    A pair's candidates have usable rows in both traits and reach least_chi2 in the exposure. LD is made once, of all
+    `least` instruments are left; instruments: (exposure, outcome, sid, outlier), outlier for those that HEIDI, in the form
+    that gsmr() describes, leaves out. A pair's candidates have usable rows in both traits and reach least_chi2 in the exposure. LD is made once, of all
     exposures' candidates; the instruments of a pair are few (one a clump) and come to the driver.
     """
     if direction not in ("forward", "reverse", "both"):
@@ -373,7 +386,7 @@ def gsmr_traits(s: DataFrame, g: DataFrame, snp: DataFrame, exposures: list[str]
         if len(rows) < max(least, 2):
             results.append((x, y, None, None, None, len(rows)))
             continue
-        found = gsmr(rows["bzx"], rows["bzx_se"], rows["bzy"], rows["bzy_se"], r, heidi_p)
+        found = gsmr(rows["bzx"], rows["bzx_se"], rows["bzy"], rows["bzy_se"], r, heidi_p, heidi)
         stays = set(found["kept"])
         used += [(x, y, int(sid), k not in stays) for k, sid in enumerate(rows["sid"])]
         results.append((x, y, float(found["bxy"]), float(found["se"]), float(found["p"]), int(found["n"])) if len(stays) >= max(least, 2) else (x, y, None, None, None, len(stays)))

@@ -1020,14 +1020,14 @@ x AS (SELECT g.sid, iid, chr, coalesce(gt - f.mu, 0) AS x FROM g JOIN (SELECT si
 ld AS (SELECT o.sid, sum(a.x * o.x) / sqrt(sum(a.x * a.x) * sum(o.x * o.x)) AS r FROM x a JOIN x o ON a.iid = o.iid AND a.chr = o.chr WHERE a.sid IN (20, 60) GROUP BY o.sid),
 j AS (SELECT m.*, c.sid AS given, coalesce(r, 0) AS r, c.b AS cb, c.n AS cn, c.h AS ch, vp FROM m CROSS JOIN vp LEFT JOIN m c ON c.sid IN (20, 60) AND c.chr = m.chr LEFT JOIN ld ON ld.sid = m.sid),
 q AS (SELECT chr, sid, CASE WHEN given IS NULL THEN b ELSE b - r * least(n, cn) * sqrt(h * ch) * cb / (h * n) END AS bc, CASE WHEN given IS NULL THEN se ELSE sqrt(vp / (h * n)) END AS bc_se FROM j WHERE sid NOT IN (20, 60) AND r * r < 0.9)
-SELECT chr, sid, {R('bc', 'bc')}, {R('bc_se', 'bc_se')}, {R('(bc / bc_se) * (bc / bc_se)', 'chi2')} FROM q"""
+SELECT chr, sid, {STEADY('bc', 'bc')}, {STEADY('bc_se', 'bc_se')}, {STEADY('(bc / bc_se) * (bc / bc_se)', 'chi2')} FROM q"""
 
 
 @query(M3)
 def m3_cojo_conditional(f: Fixture) -> DataFrame:
     rows, pairs, vp = _cojo_rows(f)
     d = sp.cojo_conditional(rows, pairs, f.snp, vp, [20, 60])
-    return rounded(d, *d.columns[2:])
+    return steady(d, *d.columns[2:])
 
 
 @query()
@@ -1071,6 +1071,17 @@ def m12_gsmr_traits(f: Fixture) -> DataFrame:
     return rounded(results, "bxy", "se", "p")
 
 
+@query()
+def m13_heidi_forms(f: Fixture) -> DataFrame:
+    """Instruments that each form of the test leaves out, of both traits as exposure."""
+    found, out = _sumstat(f), None
+    for form in ("mean", "top", "iterated"):
+        _, used = ss.gsmr_traits(found, f.g, f.snp, ["y"], ["bal"], keep, "both", least_chi2=3.0, least=2, heidi_p=0.05, heidi=form)
+        used = used.withColumn("form", F.lit(form))
+        out = used if out is None else out.unionByName(used)
+    return out
+
+
 @query(f"""{SCAN}, x AS (SELECT g.sid, iid, coalesce(gt - f.mu, 0) AS x FROM g JOIN (SELECT sid, avg(gt) AS mu FROM g GROUP BY sid) f ON f.sid = g.sid WHERE g.sid IN (SELECT sid FROM scan WHERE (b / se) * (b / se) > 6))
 SELECT a.sid AS sid1, b.sid AS sid2, {R('sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x))', 'r')} FROM x a JOIN x b ON a.iid = b.iid AND a.sid < b.sid GROUP BY a.sid, b.sid""")
 def m4_ld_of_selected(f: Fixture) -> DataFrame:
