@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lociflow.functions import ranks, stats, text
 from lociflow.operators import association as assoc
+from lociflow.operators import bivariate as bv
 from lociflow.operators import family_mixed as fm
 from lociflow.operators import haseman_elston as he
 from lociflow.operators import linkage as ld
@@ -756,6 +757,21 @@ def v14_bivariate_reml(f: Fixture) -> DataFrame:
     return rounded(f.ind.sparkSession.createDataFrame([(k, float(v)) for k, v in rows], "source string, value double"), "value")
 
 
+@query()
+def v14_bivariate_two_matrices(f: Fixture) -> DataFrame:
+    """Components of markers of even and of odd sid; every third individual has the first trait alone."""
+    import numpy as np
+
+    ids, y = (v for k, v in enumerate(_null(f)) if k in (0, 2))
+    matrices = [rel.dense(rel.grm(f.g.where(f"sid % 2 = {k}")))[1] for k in (0, 1)]
+    bal = np.where(ids % 3 == 0, np.nan, f.ind.orderBy("iid").toPandas().set_index("iid").reindex(ids)["bal"].to_numpy() / 1000)
+    m = bv.fit(y, bal, matrices)
+    rows = [(f"{name}_{k + 1}", float(p[i, j])) for k, p in enumerate(m.parts) for name, i, j in (("v1", 0, 0), ("v2", 1, 1), ("c12", 0, 1))]
+    rows += [(f"rg_{'_'.join(str(k + 1) for k in w)}", m.correlation(w)[0]) for w in ([0], [1], [0, 1])]
+    rows += [(f"h2_{trait + 1}", m.heritability(trait, [0, 1])[0]) for trait in (0, 1)] + [("logl", m.logl)]
+    return rounded(f.ind.sparkSession.createDataFrame(rows, "source string, value double"), "value")
+
+
 @query()
 def v16_pca(f: Fixture) -> DataFrame:
     a = mf.Tiles(rel.grm(f.g), keep)
