@@ -85,9 +85,11 @@ def interaction_scan(g: DataFrame, y: DataFrame, env: DataFrame, robust: bool =
         else:
             s2 = (res * res).sum(1) / (n - 3)
             vg, vi, cov = s2 * c / det, s2 * a / det, -s2 * b / det
-        chi = (bg * bg * vi - 2 * bg * bi * cov + bi * bi * vg) / (vg * vi - cov * cov)
+        whole = vg * vi - cov * cov
+        whole = np.where(whole > 1e-9 * vg * vi, whole, np.nan)  # squared residuals of few individuals may tell but one effect
+        chi = (bg * bg * vi - 2 * bg * bi * cov + bi * bi * vg) / whole
         out = pd.DataFrame({"sid": sids, "b_g": bg, "b_ge": bi, "se_g": np.sqrt(vg), "se_ge": np.sqrt(vi), "cov": cov, "chi2_g": bg * bg / vg, "chi2_ge": bi * bi / vi, "chi2_2df": chi})
-        out["p_2df"] = [chi2_tail(v, 2) for v in chi]
+        out["p_2df"] = [chi2_tail(v, 2) if v == v else np.nan for v in chi]
         return out[ok]
 
     return scan(packed(kept, ids=np.asarray(ids, np.int64)), fit, "sid long, b_g double, b_ge double, se_g double, se_ge double, cov double, chi2_g double, chi2_ge double, chi2_2df double, p_2df double")

@@ -213,6 +213,50 @@ def condition_on_traits(s: DataFrame, outcome: str, exposures: list[str], bxy: n
     return j.select("snp", b.alias("bc"), F.sqrt(v).alias("bc_se"), (b * b / v).alias("chi2"))
 
 
+@dataclass
+class Conditioning:
+    """What mtcojo() estimates: single and joint effects of the exposures, their heritabilities and correlations, and
+    intercepts of all traits, the outcome first."""
+
+    bxy: np.ndarray
+    joint: np.ndarray
+    h2: np.ndarray
+    rg: np.ndarray
+    intercepts: np.ndarray
+
+
+def mtcojo(s: DataFrame, g: DataFrame, snp: DataFrame, scores: DataFrame, outcome: str, exposures: list[str], store, m: int, two_steps: bool = True, least_chi2: float = 29.7168, least: int = 10, heidi_p: float = 0.01, heidi: str = "iterated") -> tuple[DataFrame, Conditioning]:
+    """(condition_on_traits() of the outcome, the estimates that it took): effects of each exposure by GSMR over its
+    instruments, heritabilities, correlations and sample overlap by LD-score regression.
+
+    s: (sid, snp, trait, b, se, chi2, n), alleles aligned; scores: (sid, ld, w_ld) of m markers. Rows without b or
+    with an error that isn't positive take no part. An error where an exposure has fewer than `least` instruments or no
+    heritability, or where two have no correlation within one."""
+    s = store(s.where("b is not null and se > 0"))
+    found = {r.exposure: r.bxy for r in gsmr_traits(s, g, snp, exposures, [outcome], store, "forward", least_chi2, least, heidi_p=heidi_p, heidi=heidi)[0].collect()}  # a row an exposure
+    traits = [outcome, *exposures]
+    rows = {t: store(s.where(F.col("trait") == t).select("sid", "chi2", (F.col("b") / F.col("se")).alias("z"), "n").join(scores, "sid")) for t in traits}
+    fits = {t: ldsc_h2(rows[t], m, two_steps) for t in traits}
+    for t in exposures:
+        if found[t] is None:
+            raise ValueError(f"fewer than {least} instruments of {t}")
+        if not fits[t].value > 0:
+            raise ValueError(f"no heritability of {t}: {fits[t].value}")
+    rg, intercepts = np.eye(len(traits)), np.diag([fits[t].intercept for t in traits])
+    for i, one in enumerate(traits):
+        for j, two in enumerate(traits[:i]):
+            pair = rows[one].select("sid", F.col("z").alias("z1"), F.col("n").alias("n1"), "ld", "w_ld").join(rows[two].select("sid", F.col("z").alias("z2"), F.col("n").alias("n2")), "sid")
+            fit = ldsc_rg(pair, m, fits[one], fits[two])
+            rg[i, j] = rg[j, i] = fit.value
+            intercepts[i, j] = intercepts[j, i] = fit.intercept
+            if j and not abs(fit.value) < 1:
+                raise ValueError(f"no correlation of {one} and {two} within one: {fit.value}")
+    bxy, h2 = np.array([found[t] for t in exposures]), np.array([fits[t].value for t in exposures])
+    d = np.sqrt(h2)
+    joint = np.linalg.solve(rg[1:, 1:], d * bxy) / d
+    return condition_on_traits(s, outcome, exposures, bxy, rg[1:, 1:], h2, intercepts), Conditioning(bxy, joint, h2, rg[1:, 1:], intercepts)
+
+
 @dataclass
 class Region:
     """Summary rows of a stretch of markers, sorted by position, with their LD reference: r of pairs inside the window."""

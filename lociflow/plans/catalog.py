@@ -605,11 +605,14 @@ def g2_project_covariates(f: Fixture) -> DataFrame:
     return rounded(assoc.project_out(f.pheno, f.ind.select("iid", "bal"), ["bal"]), "y")
 
 
-@query(f"""e AS (SELECT iid, (bal - avg(bal) OVER ()) / stddev_samp(bal) OVER () AS e FROM ind), yy AS (SELECT iid, y - avg(y) OVER () AS y FROM pheno), f AS (SELECT sid, avg(gt) AS mu FROM g GROUP BY sid),
+INTERACTION = """e AS (SELECT iid, (bal - avg(bal) OVER ()) / stddev_samp(bal) OVER () AS e FROM ind), yy AS (SELECT iid, y - avg(y) OVER () AS y FROM pheno), f AS (SELECT sid, avg(gt) AS mu FROM g GROUP BY sid),
 x AS (SELECT g.sid, g.iid, coalesce(gt - mu, 0) AS x, e, y FROM g JOIN f ON f.sid = g.sid JOIN e ON e.iid = g.iid JOIN yy ON yy.iid = g.iid),
 xc AS (SELECT sid, x, x * e - avg(x * e) OVER (PARTITION BY sid) AS w, y FROM x),
 s AS (SELECT sid, count(*) AS n, sum(x * x) AS a, sum(x * w) AS b, sum(w * w) AS c, sum(x * y) AS p, sum(w * y) AS q, sum(y * y) AS yy FROM xc GROUP BY sid),
-t AS (SELECT *, a * c - b * b AS det FROM s), u AS (SELECT *, (c * p - b * q) / det AS bg, (a * q - b * p) / det AS bi FROM t WHERE det > 1e-9 * greatest(a * c, 1e-12)),
+t AS (SELECT *, a * c - b * b AS det FROM s), u AS (SELECT *, (c * p - b * q) / det AS bg, (a * q - b * p) / det AS bi FROM t WHERE det > 1e-9 * greatest(a * c, 1e-12)),"""
+
+
+@query(f"""{INTERACTION}
 v AS (SELECT *, (yy - bg * p - bi * q) / (n - 3) AS s2 FROM u)
 SELECT sid, {R('bg', 'b_g')}, {R('bi', 'b_ge')}, {R('sqrt(s2 * c / det)', 'se_g')}, {R('sqrt(s2 * a / det)', 'se_ge')}, {R('-s2 * b / det', 'cov')}, {R('bg * bg / (s2 * c / det)', 'chi2_g')}, {R('bi * bi / (s2 * a / det)', 'chi2_ge')}, {R('(bg * p + bi * q) / s2', 'chi2_2df')} FROM v""")
 def g8_interaction_scan(f: Fixture) -> DataFrame:
@@ -617,7 +620,13 @@ def g8_interaction_scan(f: Fixture) -> DataFrame:
     return rounded(d, *d.columns[1:])
 
 
-@query()
+@query(f"""{INTERACTION}
+h AS (SELECT xc.sid, x, w, (y - bg * x - bi * w) * (y - bg * x - bi * w) / (1 - (x * x * c - 2 * x * w * b + w * w * a) / det) AS q FROM xc JOIN u ON u.sid = xc.sid),
+m AS (SELECT sid, sum(q * x * x) AS m0, sum(q * x * w) AS m1, sum(q * w * w) AS m2 FROM h GROUP BY sid),
+k AS (SELECT u.sid, bg, bi, c / det AS ia, -b / det AS ib, a / det AS ic, m0, m1, m2 FROM u JOIN m ON m.sid = u.sid),
+v AS (SELECT sid, bg, bi, ia * ia * m0 + 2 * ia * ib * m1 + ib * ib * m2 AS vg, ib * ib * m0 + 2 * ib * ic * m1 + ic * ic * m2 AS vi, ia * ib * m0 + (ia * ic + ib * ib) * m1 + ib * ic * m2 AS cov FROM k),
+j AS (SELECT *, CASE WHEN vg * vi - cov * cov > 1e-9 * vg * vi THEN (bg * bg * vi - 2 * bg * bi * cov + bi * bi * vg) / (vg * vi - cov * cov) END AS chi FROM v)
+SELECT sid, {R('bg', 'b_g')}, {R('bi', 'b_ge')}, {R('sqrt(vg)', 'se_g')}, {R('sqrt(vi)', 'se_ge')}, {R('cov', 'cov')}, {R('bg * bg / vg', 'chi2_g')}, {R('bi * bi / vi', 'chi2_ge')}, {R('chi', 'chi2_2df')}, {R('exp(-chi / 2)', 'p_2df')} FROM j""")
 def g9_interaction_scan_robust(f: Fixture) -> DataFrame:
     d = assoc.interaction_scan(f.g, f.pheno, f.env, robust=True)
     return rounded(d, *d.columns[1:])
@@ -973,6 +982,22 @@ def m15_condition_on_trait(f: Fixture) -> DataFrame:
     return rounded(d.select("sid", "bc", "bc_se"), "bc", "bc_se")
 
 
+@query(f"""{SUMSTAT}, x AS (SELECT o.sid, o.b AS by_, o.se AS sey, e.b AS b1, e.se AS se1, 0.5 * o.b - 0.2 * e.b AS b2, 1.5 * e.se AS se2 FROM ma o JOIN ma e ON e.sid = o.sid AND o.trait = 'y' AND e.trait = 'bal'),
+j AS (SELECT (sqrt(0.4) * 0.3 - 0.25 * sqrt(0.3) * 0.2) / (1 - 0.25 * 0.25) / sqrt(0.4) AS j1, (sqrt(0.3) * 0.2 - 0.25 * sqrt(0.4) * 0.3) / (1 - 0.25 * 0.25) / sqrt(0.3) AS j2),
+v AS (SELECT sid, by_ - j1 * b1 - j2 * b2 AS bc, sqrt(sey * sey - 2 * j1 * 0.1 * se1 * sey - 2 * j2 * 0.05 * se2 * sey + j1 * j1 * se1 * se1 + j2 * j2 * se2 * se2 + 2 * j1 * j2 * 0.2 * se1 * se2) AS bc_se FROM x CROSS JOIN j)
+SELECT sid, {STEADY('bc', 'bc')}, {STEADY('bc_se', 'bc_se')}, {STEADY('(bc / bc_se) * (bc / bc_se)', 'chi2')} FROM v""")
+def m16_condition_on_traits(f: Fixture) -> DataFrame:
+    """The outcome given two exposures; the second one's rows are a mixture of both traits'."""
+    import numpy as np
+
+    s = keep(_sumstat(f).select("trait", "snp", "b", "se"))
+    o, e = (s.where(F.col("trait") == t).select("snp", F.col("b").alias(f"b_{t}"), F.col("se").alias(f"se_{t}")) for t in ("y", "bal"))
+    mixed = o.join(e, "snp").select(F.lit("mixed").alias("trait"), "snp", (0.5 * F.col("b_y") - 0.2 * F.col("b_bal")).alias("b"), (1.5 * F.col("se_bal")).alias("se"))
+    overlap = np.array([[1, 0.1, 0.05], [0.1, 1, 0.2], [0.05, 0.2, 1]])
+    d = ss.condition_on_traits(s.unionByName(mixed), "y", ["bal", "mixed"], np.array([0.3, 0.2]), np.array([[1, 0.25], [0.25, 1]]), np.array([0.4, 0.3]), overlap)
+    return steady(d.join(f.snp.select("sid", F.col("name").alias("snp")), "snp").drop("snp"), "bc", "bc_se", "chi2")
+
+
 def _acat_rows(f: Fixture) -> DataFrame:
     return _sumstat(f, "y").select("sid", "freq", (F.col("n") * 100).alias("n"), "p")
 
