@@ -1049,15 +1049,25 @@ def m1_cojo_top(f: Fixture) -> DataFrame:
     return rounded(d, *d.columns[2:])
 
 
-@query()
+COJO = f"""{SCAN}, {VP}, m AS (SELECT scan.sid, chr, b, se, 2 * af * (1 - af) AS h, (vp - 2 * af * (1 - af) * b * b) / (2 * af * (1 - af) * se * se) + 1 AS n FROM scan CROSS JOIN vp JOIN snp ON snp.sid = scan.sid),
+x AS (SELECT g.sid, iid, chr, coalesce(gt - f.mu, 0) AS x FROM g JOIN (SELECT sid, avg(gt) AS mu FROM g GROUP BY sid) f ON f.sid = g.sid JOIN snp ON snp.sid = g.sid),"""
+M2 = f"""{COJO}
+pick AS (SELECT * FROM m WHERE sid % 25 = 10),
+ld AS (SELECT a.sid AS sid1, o.sid AS sid2, sum(a.x * o.x) / sqrt(sum(a.x * a.x) * sum(o.x * o.x)) AS r FROM x a JOIN x o ON a.iid = o.iid AND a.chr = o.chr AND a.sid <> o.sid WHERE a.sid % 25 = 10 AND o.sid % 25 = 10 GROUP BY a.sid, o.sid),
+j AS (SELECT c.*, c.h * c.n AS d, o.b AS ob, o.h * o.n AS od, coalesce(r, 0) * least(c.n, o.n) * sqrt(c.h * o.h) AS z FROM pick c LEFT JOIN pick o ON o.chr = c.chr AND o.sid <> c.sid LEFT JOIN ld ON sid1 = c.sid AND sid2 = o.sid),
+q AS (SELECT chr, sid, b, se, CASE WHEN od IS NULL THEN b ELSE (od * d * b - z * od * ob) / (d * od - z * z) END AS bj, CASE WHEN od IS NULL THEN sqrt(vp / d) ELSE sqrt(vp * od / (d * od - z * z)) END AS bj_se FROM j CROSS JOIN vp)
+SELECT chr, sid, {STEADY('b', 'b')}, {STEADY('se', 'se')}, {STEADY('bj', 'bj')}, {STEADY('bj_se', 'bj_se')} FROM q"""
+
+
+@query(M2)
 def m2_cojo_joint(f: Fixture) -> DataFrame:
+    """Two markers of each chromosome in one model."""
     rows, pairs, vp = _cojo_rows(f)
-    d = sp.cojo_joint(rows, pairs, f.snp, vp, f.snp.where("sid % 20 = 0"))
-    return rounded(d, *d.columns[2:])
+    d = sp.cojo_joint(rows, pairs, f.snp, vp, f.snp.where("sid % 25 = 10")).drop("pj")
+    return steady(d, *d.columns[2:])
 
 
-M3 = f"""{SCAN}, {VP}, m AS (SELECT scan.sid, chr, b, se, 2 * af * (1 - af) AS h, (vp - 2 * af * (1 - af) * b * b) / (2 * af * (1 - af) * se * se) + 1 AS n FROM scan CROSS JOIN vp JOIN snp ON snp.sid = scan.sid),
-x AS (SELECT g.sid, iid, chr, coalesce(gt - f.mu, 0) AS x FROM g JOIN (SELECT sid, avg(gt) AS mu FROM g GROUP BY sid) f ON f.sid = g.sid JOIN snp ON snp.sid = g.sid),
+M3 = f"""{COJO}
 ld AS (SELECT o.sid, sum(a.x * o.x) / sqrt(sum(a.x * a.x) * sum(o.x * o.x)) AS r FROM x a JOIN x o ON a.iid = o.iid AND a.chr = o.chr WHERE a.sid IN (20, 60) GROUP BY o.sid),
 j AS (SELECT m.*, c.sid AS given, coalesce(r, 0) AS r, c.b AS cb, c.n AS cn, c.h AS ch, vp FROM m CROSS JOIN vp LEFT JOIN m c ON c.sid IN (20, 60) AND c.chr = m.chr LEFT JOIN ld ON ld.sid = m.sid),
 q AS (SELECT chr, sid, CASE WHEN given IS NULL THEN b ELSE b - r * least(n, cn) * sqrt(h * ch) * cb / (h * n) END AS bc, CASE WHEN given IS NULL THEN se ELSE sqrt(vp / (h * n)) END AS bc_se FROM j WHERE sid NOT IN (20, 60) AND r * r < 0.9)
