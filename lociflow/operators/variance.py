@@ -303,7 +303,7 @@ def pair_table(y: DataFrame, a: DataFrame, traits: tuple[str, ...] = ("y",)) ->
     """Off-diagonal pairs (i, j, value) with each trait standardised: z_TRAIT_i and z_TRAIT_j."""
     m = F.broadcast(y.agg(*[f(t).alias(f"{k}_{t}") for t in traits for k, f in (("m", F.avg), ("s", F.stddev_samp))]))
     z = y.join(m).select("iid", *[((F.col(t) - F.col(f"m_{t}")) / F.col(f"s_{t}")).alias(t) for t in traits])
-    side = lambda k: z.select(F.col("iid").alias(k), *[F.col(t).alias(f"z_{t}_{k}") for t in traits])
+    side = lambda k: F.broadcast(z.select(F.col("iid").alias(k), *[F.col(t).alias(f"z_{t}_{k}") for t in traits]))  # noqa: E731  # a row an individual
     return a.where("i <> j").select("i", "j", "value").join(side("i"), "i").join(side("j"), "j")
 
 
@@ -312,13 +312,9 @@ def he_bivariate(y: DataFrame, a: DataFrame, one: str, two: str) -> DataFrame:
     matrix, and the genetic correlation that the slopes give."""
     p = pair_table(y, a, (one, two))
     z = lambda t, k: F.col(f"z_{t}_{k}")
-    rows = {"one": z(one, "i") * z(one, "j"), "two": z(two, "i") * z(two, "j")}
-    both = p.select("value", (z(one, "i") * z(two, "j")).alias("c")).unionByName(p.select("value", (z(two, "i") * z(one, "j")).alias("c")))
-    fits = None
-    for name, d in [*((k, p.select("value", c.alias("c"))) for k, c in rows.items()), ("both", both)]:
-        f = d.agg(F.lit(name).alias("response"), F.regr_intercept("c", "value").alias("intercept"), F.regr_slope("c", "value").alias("slope"))
-        fits = f if fits is None else fits.unionByName(f)
-    return fits
+    rows = [("one", z(one, "i") * z(one, "j")), ("two", z(two, "i") * z(two, "j")), ("both", z(one, "i") * z(two, "j")), ("both", z(two, "i") * z(one, "j"))]
+    each = p.select("value", F.explode(F.array(*[F.struct(F.lit(k).alias("response"), c.alias("c")) for k, c in rows])).alias("o"))
+    return each.groupBy("o.response").agg(F.regr_intercept("o.c", "value").alias("intercept"), F.regr_slope("o.c", "value").alias("slope"))
 
 
 def he_sparse(y: DataFrame, a: DataFrame, cutoff: float) -> DataFrame:
