@@ -178,3 +178,13 @@ def test_streams(spark, tmp_path):
     assert values(spark.table("freqs")) == values(accumulate.running_frequencies(g))
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert accumulate.event_windows(e).agg({"n": "sum"}).first()[0] == e.count() == accumulate.sessions(e).agg({"n": "sum"}).first()[0]
+
+
+def test_many_bim_files_keep_all_chromosomes(spark, tmp_path):
+    """Scaffolds are numbered far beyond a thousand; without a highest chromosome none is left out."""
+    for k in (0, 1):
+        (tmp_path / f"{k}.bim").write_text("".join(f"{c}\trs{c}\t0\t{c}\tA\tG\n" for c in (1 + k, 999 + k, 1001 + k, 2401 + k)))
+    read = lambda s, p: text.read_bim(s, p, autosomes=1000)
+    many = text.read_many(read, spark, [str(tmp_path / f"{k}.bim") for k in (0, 1)])
+    assert sorted((r.file, r.chr, r.idx) for r in many.collect()) == [(k, c + k, i) for k in (0, 1) for i, c in enumerate((1, 999, 1001, 2401))]
+    assert text.read_bim(spark, str(tmp_path / "0.bim"), high=999).count() == 2
