@@ -74,3 +74,29 @@ def test_top_percentile(spark):
     d = spark.createDataFrame([(float(v),) for v in x], "value double")
     for p in (0.5, 0.97, 0.991, 1.0):
         assert top_percentile(d, p) == pytest.approx(d.agg(F.percentile("value", p)).first()[0], abs=1e-15)
+
+
+@pytest.mark.parametrize("algorithm", [1, 2, 3])
+def test_expression_matrices_join_no_pairs(spark, monkeypatch, algorithm):
+    """One product of pairs gives all of a matrix: a join of two could be planned as a broadcast of all pairs."""
+    made = []
+    real = relatedness.pair_products
+    monkeypatch.setattr(relatedness, "pair_products", lambda *a, **k: made.append(1) or real(*a, **k))
+    rng = np.random.default_rng(algorithm)
+    x = rng.normal(size=(9, 12))
+    x[2, 3] = x[4, 5] = np.nan
+    p = spark.createDataFrame([(i + 508, j, float(v)) for (i, j), v in np.ndenumerate(x) if not np.isnan(v)], "iid long, probe int, val double")
+    d = relatedness.erm(p, algorithm)
+    assert len(made) == 1
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") <= 2
+    have = ~np.isnan(x)
+    if algorithm == 3:
+        c = np.nan_to_num(x - np.nanmean(x, axis=1, keepdims=True))
+        a = c @ c.T / np.sqrt(np.outer((c * c).sum(1), (c * c).sum(1)))
+    else:
+        v = np.nanvar(x, axis=0, ddof=1)
+        c = np.nan_to_num(x - np.nanmean(x, axis=0))
+        a = (c / np.sqrt(v)) @ (c / np.sqrt(v)).T / (have.astype(int) @ have.T) if algorithm == 1 else c @ c.T / ((have * v) @ have.T)
+    a /= np.diag(a).mean()
+    got = {(r.i - 508, r.j - 508): r.value for r in d.collect()}
+    assert len(got) == 45 and all(y == pytest.approx(a[k]) for k, y in got.items())
