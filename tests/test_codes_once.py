@@ -54,7 +54,7 @@ def test_counts_of_packed_calls(spark, monkeypatch):
     assert one == two
 
 
-@pytest.mark.parametrize("name", ["a4_grm", "a5_grm_centred"])
+@pytest.mark.parametrize("name", ["a4_grm", "a5_grm_centred", "a29_he_jackknife"])
 def test_genotypes_are_not_written_for_a_matrix(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(fixture, "_made", {})
     d = catalog.QUERIES[name](spark, sf_dir)
