@@ -331,12 +331,13 @@ class BinaryMixed:
     tau: float
     mu: np.ndarray
     alpha: np.ndarray
-    p: np.ndarray
+    p: np.ndarray | None
 
 
-def fit_binary_mixed(y: np.ndarray, x: np.ndarray, matrix: np.ndarray, rounds: int = 20, grid: int = 51, refine: int = 6) -> BinaryMixed:
+def fit_binary_mixed(y: np.ndarray, x: np.ndarray, matrix: np.ndarray, rounds: int = 20, grid: int = 51, refine: int = 6, covariance: bool = True) -> BinaryMixed:
     """Penalised quasi-likelihood: each round linearises the logistic model about the current effects and finds the random
-    effect's variance by a refined grid of the restricted likelihood, until it moves by less than 5e-5 of itself."""
+    effect's variance by a refined grid of the restricted likelihood, until it moves by less than 5e-5 of itself. The weighted
+    matrix is decomposed once a round, and a point of the grid is sums over its eigenvalues. covariance: make p."""
     beta = np.zeros(x.shape[1])
     for _ in range(50):
         mu = 1 / (1 + np.exp(-x @ beta))
@@ -347,33 +348,44 @@ def fit_binary_mixed(y: np.ndarray, x: np.ndarray, matrix: np.ndarray, rounds: i
             break
     eta, tau, zeros = x @ beta, 1.0, 0
 
-    def solve(t: float, w: np.ndarray, z: np.ndarray):
-        v = t * matrix + np.diag(1 / w)
-        inverse = np.linalg.inv(v)
-        vx = inverse @ x
-        xvx = x.T @ vx
-        p = inverse - vx @ np.linalg.solve(xvx, vx.T)
-        logl = -0.5 * (np.linalg.slogdet(v)[1] + np.linalg.slogdet(xvx)[1] + z @ p @ z)
-        return logl, p, np.linalg.solve(xvx, vx.T @ z), inverse
+    def spectrum(w: np.ndarray, z: np.ndarray):
+        """Of V = (t S + 1), scaled by the root of w on either side: S's eigenvalues and vectors, x and z in its basis."""
+        root = np.sqrt(w)
+        s = matrix * root[:, None]
+        s *= root
+        values, vectors = np.linalg.eigh(s)
+        return values, vectors, vectors.T @ (x * root[:, None]), vectors.T @ (z * root)
+
+    def solve(t: float, w: np.ndarray, values: np.ndarray, xs: np.ndarray, zs: np.ndarray):
+        d = t * values + 1
+        xd = xs / d[:, None]
+        xvx, xvz = xs.T @ xd, xd.T @ zs
+        beta = np.linalg.solve(xvx, xvz)
+        return -0.5 * (np.log(np.abs(d)).sum() - np.log(w).sum() + np.linalg.slogdet(xvx)[1] + zs @ (zs / d) - xvz @ beta), beta
 
     for _ in range(rounds):
         mu = 1 / (1 + np.exp(-eta))
         w = np.maximum(mu * (1 - mu), 1e-10)
         z = eta + (y - mu) / w
+        values, vectors, xs, zs = spectrum(w, z)
         points = np.linspace(0, 4 * max(tau, 0.25), grid)
         for _ in range(refine):
-            k = int(np.argmax([solve(t, w, z)[0] for t in points]))
+            k = int(np.argmax([solve(t, w, values, xs, zs)[0] for t in points]))
             points = np.linspace(points[max(k - 1, 0)], points[min(k + 1, len(points) - 1)], 9)
         new = float(points[len(points) // 2])
-        _, p, beta, inverse = solve(new, w, z)
-        eta = x @ beta + new * matrix @ (inverse @ (z - x @ beta))
+        beta = solve(new, w, values, xs, zs)[1]
+        eta = x @ beta + new * matrix @ (np.sqrt(w) * (vectors @ ((zs - xs @ beta) / (new * values + 1))))
         zeros = zeros + 1 if new < 1e-6 else 0
         settled = abs(new - tau) < 5e-5 * max(new, 1e-6) or zeros >= 5
         tau = new
         if settled:
             break
     mu = 1 / (1 + np.exp(-eta))
-    return BinaryMixed(tau, mu, beta, solve(tau, np.maximum(mu * (1 - mu), 1e-10), z)[1])
+    if not covariance:
+        return BinaryMixed(tau, mu, beta, None)
+    inverse = np.linalg.inv(tau * matrix + np.diag(1 / np.maximum(mu * (1 - mu), 1e-10)))
+    vx = inverse @ x
+    return BinaryMixed(tau, mu, beta, inverse - vx @ np.linalg.solve(x.T @ vx, vx.T))
 
 
 def fixed_correlation_test(y1: np.ndarray, y2: np.ndarray, matrix: np.ndarray, rg: float = 0.0) -> tuple[float, float]:

@@ -61,3 +61,36 @@ def test_genotypes_are_not_written_for_a_matrix(spark, sf_dir, monkeypatch, name
     (f,) = fixture._made.values()
     assert "g" not in vars(f) and d.count() > 0
     assert f.g.count() == f.ind.count() * f.snp.count() and f.calls is f.g
+
+
+def test_a_dense_matrix_is_gathered_as_bytes(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    a = spark.createDataFrame([(7, 7, 1.0), (9, 9, 2.0), (9, 7, -0.5), (3, 3, None), (7, 3, 0.25)], "i long, j long, value double").repartition(3)
+    ind = spark.createDataFrame([(3,), (7,), (9,), (11,)], "iid long")
+    monkeypatch.delattr(type(a), "toPandas", raising=False)
+    monkeypatch.delattr(DataFrame, "toPandas", raising=False)
+    for individuals in (None, ind):
+        ids, m = relatedness.dense(a, individuals=individuals)
+        assert ids.tolist() == [3, 7, 9]
+        assert np.array_equal(m, [[np.nan, 0.25, 0], [0.25, 1, -0.5], [0, -0.5, 2]], equal_nan=True)
+        with pytest.raises(ValueError, match="over 2 individuals"):
+            relatedness.dense(a, 2, individuals)
+
+
+def test_a_binary_model_inverts_no_matrix_for_a_point_of_its_grid(monkeypatch):
+    from lociflow.operators import variance
+
+    rng = np.random.default_rng(6)
+    z = rng.normal(size=(80, 160))
+    k = z @ z.T / 160
+    y = (rng.random(80) < 1 / (1 + np.exp(-2 * np.linalg.cholesky(k) @ rng.normal(size=80)))).astype(float)
+    x = np.column_stack([np.ones(80), rng.normal(size=80)])
+    whole = variance.fit_binary_mixed(y, x, k)
+    w = whole.mu * (1 - whole.mu)
+    inverse = np.linalg.inv(whole.tau * k + np.diag(1 / w))
+    p = inverse - inverse @ x @ np.linalg.solve(x.T @ inverse @ x, x.T @ inverse)
+    assert np.allclose(whole.p, p)
+    monkeypatch.setattr(np.linalg, "inv", None)
+    less = variance.fit_binary_mixed(y, x, k, covariance=False)
+    assert less.p is None and less.tau == whole.tau and np.array_equal(less.mu, whole.mu)
